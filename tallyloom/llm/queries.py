@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, line_dedup, ngram_join, quality_rules, toxicity
+from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, site_quality, toxicity, url_filter
 from tallyloom.llm._common import table
 
 
@@ -27,6 +27,35 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a rule fits are the labelled ones."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train_url_model(url_filter.rule_labels(pages, URL_RULES))
+    return url_filter.judge_urls(pages, URL_RULES, model)
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="tallyloom-demo-key")
+
+
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), max_repetition=2.0)
+
+
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is a host here, its languages are the paths."""
+    docs = table(spark, sf_dir, "documents")
+    model = site_quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    return site_quality.site_quality(docs, model, F.col("source"), F.col("lang")).withColumnsRenamed({"host": "source", "path": "lang"})
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -43,6 +72,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TRIMMED = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 
+OP6_SQL = """
+with turns as (
+  select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) as place from conversations where conv_id is not null),
+whole as (
+  select conv_id, count(*) as n_turns, to_json(list([role, text] order by place)) as body from turns group by conv_id),
+held as (
+  select conv_id, place, to_json(list([role, text]) over (partition by conv_id order by place)) as body from turns),
+kept as (
+  select min(conv_id) as conv_id from whole where body not in (select body from held join (select conv_id, n_turns from whole) using (conv_id) where place < n_turns) group by body)
+select conv_id, count(*)::bigint as n_turns,
+       string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by place) as rendered
+from turns join kept using (conv_id) group by conv_id
+"""
+
 OP9_SQL = rf"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -87,10 +130,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_quality_rules": op3_quality_rules,
+        "op4_url_filter": op4_url_filter,
+        "op5_pii_pseudonyms": op5_pii_pseudonyms,
+        "op6_chat_snapshots": op6_chat_snapshots,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_site_quality": op8_site_quality,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_chat_snapshots": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}

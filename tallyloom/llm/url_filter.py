@@ -78,7 +78,6 @@ class UrlModel:
     trees: list
     base: float
     suffix_rates: dict[str, float]
-    prior: float
 
     def margin(self) -> Column:
         def value(node: object) -> Column:
@@ -90,7 +89,7 @@ class UrlModel:
         return sum((value(t) for t in self.trees), F.lit(self.base))
 
     def with_suffix_rate(self, df: DataFrame) -> DataFrame:
-        rate = F.lit(self.prior)
+        rate = F.lit(0.0)  # a suffix without labelled URLs speaks for no block
         for name, r in self.suffix_rates.items():
             rate = F.when(F.col("suffix") == name, r).otherwise(rate)
         return df.withColumn("suffix_rate", rate)
@@ -121,7 +120,7 @@ def train_url_model(
     prior = (pos + 1) / (n + 2)
     counts = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
     rates = {r["suffix"]: round((r["s"] + 10 * prior) / (r["n"] + 10), 6) for r in counts}
-    model = UrlModel([], math.log(prior / (1 - prior)), rates, prior)
+    model = UrlModel([], math.log(prior / (1 - prior)), rates)
     if pos == 0 or pos == n:
         return model
     sample = model.with_suffix_rate(sample)

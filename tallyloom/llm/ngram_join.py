@@ -4,10 +4,13 @@ How a pair of documents meets, without pairing up all documents:
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one class, stood for by its smallest id.
 2. Two sets with Jaccard >= t share a shingle among the first ``n - ceil(t n) + 1`` of each, under any
-   order that all sets use. The order here: the block of small hashes first, rare before frequent in it,
-   then the other hashes. Only that block's shingles are counted, over all classes. A prefix of shingles
-   that no other class has needs no partner; most classes end here.
-3. Classes that share a shingle of their prefixes form clusters (connected components of stars).
+   order that both use. Sets of similar size have a cell in common, and an order holds within a cell: the
+   block of small hashes first, rare before frequent in it, then the other hashes. Only that block's
+   shingles are counted, over all classes. A prefix of shingles that no other class has needs no partner;
+   most classes end here.
+3. A prefix longer by ``s - 1`` shares ``s`` shingles. A shingle that few classes of similar size hold counts
+   for each of their pairs (a fixed number at most), and pairs counted ``s`` times meet; one that more hold
+   makes all of them meet by a star. Classes that meet form clusters (connected components).
 4. In each cluster sets are searched in ascending size. The inverted lists lead from a shingle to the
    components found so far; T-occurrence search (heap-merge of short lists, binary probes into long ones)
    keeps the components that hold at least T of the set's shingles, and exact intersection with their
@@ -20,7 +23,8 @@ How a pair of documents meets, without pairing up all documents:
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,12 @@ from tallyloom.llm._common import WordIds, connected_components, digest, materia
 
 #: Shingles of one search task; larger clusters are dealt into blocks.
 BLOCK_TOKENS = 2_000_000
+#: Shingles that two sets must share in prefixes that are longer by one less.
+SUPPORT = 4
+#: Sets with a shingle in a cell of sizes up to which their pairs are counted; more form a star at once.
+PAIRED = 12
+#: Ids of copies (8 bytes each) up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def _at_least(n: int, percent: int) -> int:
@@ -172,9 +182,24 @@ def _search(sets: DataFrame, percent: int, keys: list[str]) -> DataFrame:
     )
 
 
+def _size_class(n: int, percent: int) -> int:
+    """Similar sets are in the same class or in neighbouring ones."""
+    return int(math.log(n) / _class_width(percent))
+
+
+def _class_width(percent: int) -> float:
+    return 1.0001 * math.log(100 / min(percent, 99))
+
+
+def _cell_share(cell: int, percent: int) -> float:
+    """The share of all hashes that is counted for sets of a cell: somewhat more than their prefixes need."""
+    n = max(1.0, math.exp((cell - 1) * _class_width(percent)))
+    return min(1.0, (1.25 * (n * (100 - percent) / 100 + 1) + 12) / n)
+
+
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(id, n, fp, head): set size, fingerprint of the set, the shingles that may be in its prefix."""
-    share = np.uint64(int(min(1.0, 1.6 * (100 - percent) / 100) * (2**64 - 1)))
+    """(id, n, fp, size, head_0, head_1, head): set size, fingerprint of the set, size class, and the
+    smallest hashes: so many of them may be in the set's prefix in the cell of its class and in the next."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
@@ -183,14 +208,18 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
             for text in frame["text"]:
                 h = shingles(text, k, ids)
                 n = len(h)
-                least = n - _at_least(n, percent) + 1 if n else 0
-                head = h[: max(least, int(np.searchsorted(h, share)))].view(np.int64)
-                rows.append((n, digest(h.tobytes()) if n else None, least, head))
-            n, fp, least, head = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"id": frame["id"], "n": n, "fp": fp, "least": least, "head": head})
+                if not n:
+                    rows.append((0, None, 0, 0, 0, h.view(np.int64)))
+                    continue
+                size, least = _size_class(n, percent), n - _at_least(n, percent) + 1
+                cut = [int(np.searchsorted(h, np.uint64(int(_cell_share(c, percent) * (2**64 - 2**11))), "right")) for c in (size, size + 1)]
+                cut = [n if _cell_share(c, percent) == 1 else max(least, x) for c, x in zip((size, size + 1), cut)]
+                rows.append((n, digest(h.tobytes()), size, *cut, h[: max(cut)].view(np.int64)))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            yield pd.DataFrame(dict(zip(("id", "n", "fp", "size", "head_0", "head_1", "head"), (frame["id"], *columns))))
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "id long, n long, fp binary, least long, head array<long>")
+    return picked.mapInPandas(run, "id long, n long, fp binary, size int, head_0 int, head_1 int, head array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -223,36 +252,44 @@ def ngram_jaccard_components(
     have a null component unless a linked row has an id. No rows give no rows; other columns are not read.
     """
     prints = materialise(_fingerprints(docs, id_col, text_col, k, percent), "fp")
-    classes = prints.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    one = (
-        prints.where("fp is not null and id is not null")
-        .groupBy("fp")
-        .agg(F.min_by(F.struct("id", "least", "head"), "id").alias("x"))
-        .select("x.id", "x.least", "x.head")
-    )
-    heads = materialise(
-        one.select(F.col("id").alias("rep"), "least", F.size("head").alias("n_head"), F.explode("head").alias("token")), "heads"
-    )
+    named = prints.where("fp is not null and id is not null")
+    classes = materialise(named.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    copies = materialise(named.select("id", "fp").join(classes, "fp").where("id <> rep").select("id"), "copies")
+    alone = named.join(maybe_broadcast(copies, copies.count(), BROADCAST_IDS), "id", "left_anti")
+    # a set is in the cell of its size class and in the next one; a token is told apart by cell
+    celled = alone.select(
+        F.col("id").alias("rep"), "n", "head", "size",
+        F.explode(F.array(F.struct(F.col("size").alias("cell"), F.col("head_0").alias("n_head")), F.struct((F.col("size") + 1).alias("cell"), F.col("head_1").alias("n_head")))).alias("c"),
+    ).select("rep", "n", "size", "c.cell", "c.n_head", "head")
+    heads = celled.select("rep", "cell", F.explode(F.slice("head", F.lit(1), F.col("n_head"))).alias("t")).select("rep", "cell", F.xxhash64("t", "cell").alias("token"))
     shared = heads.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = heads.join(shared, "token").groupBy("rep", "cell").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
+    least = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     prefix = (
-        heads.join(shared, "token")
-        .groupBy("rep")
-        .agg(
-            F.first("least").alias("least"),
-            F.first("n_head").alias("n_head"),
-            F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"),
-        )
+        held.join(celled.drop("head").distinct(), ["rep", "cell"])
+        .withColumn("need", F.least(F.lit(SUPPORT), F.col("n_head") - least + 1).cast("int"))
         # shingles of one class only come first; what the prefix has left are the rarest others
-        .withColumn("left", F.when(F.col("n_head") == F.col("least"), F.size("held")).otherwise(F.col("least") - F.col("n_head") + F.size("held")))
+        .withColumn("left", F.when(F.col("n_head") == least, F.size("held")).otherwise(least + F.col("need") - 1 - F.col("n_head") + F.size("held")))
         .where("left > 0")
-        .select("rep", F.explode(F.slice("held", 1, F.col("left").cast("int"))["token"]).alias("token"))
+        .select("rep", "need", "size", "cell", F.explode(F.slice("held", 1, F.col("left").cast("int"))["token"]).alias("token"))
     )
     prefix = materialise(prefix, "prefix")
-    lead = prefix.groupBy("token").agg(F.min("rep").alias("lead"), F.count("*").alias("df")).where("df > 1")
-    stars = prefix.join(lead, "token").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    cells = prefix.groupBy("token", "cell").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
+    placed = materialise(prefix.join(cells, ["token", "cell"]), "placed")
+    stars = placed.where(F.col("held") > PAIRED).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    few = placed.where(F.col("held") <= PAIRED).groupBy("token", "cell").agg(F.collect_list(F.struct("rep", "need", (F.col("size") == F.col("cell")).alias("own"))).alias("m"))
+    pairs = (
+        few.select("m", F.explode("m").alias("x"))
+        .select("x", F.explode("m").alias("y"))
+        .where("x.rep < y.rep and (x.own or y.own)")
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
+        .where("shared >= need")
+    )
+    stars = stars.unionByName(pairs.select("a", "b"))
     clusters = materialise(connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
 
-    active = maybe_broadcast(clusters.select(F.col("rep").alias(id_col)), clusters.count())
+    active = maybe_broadcast(clusters.select(F.col("rep").alias(id_col)), clusters.count(), BROADCAST_IDS)
     sets = _sets(docs.join(active, id_col, "left_semi"), id_col, text_col, k).join(clusters, "rep").where("n > 0")
     links = _cluster_links(sets, percent, block_tokens)
     components = connected_components(links)

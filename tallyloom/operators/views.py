@@ -49,7 +49,9 @@ def option_counts(options: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def redaction_profile(respondents: DataFrame, keys: list[str]) -> DataFrame:
-    return respondents.groupBy(*keys).agg(F.count("*").alias("n_respondents"), F.round(F.avg("completion_pct"), 1).alias("mean_completion_pct"))
+    # whole tenths add up alike in any order, so a mean that lies between two tenths rounds up everywhere
+    tenths = F.sum(F.round(F.col("completion_pct") * 10).cast("long"))
+    return respondents.groupBy(*keys).agg(F.count("*").alias("n_respondents"), F.round(tenths / (10.0 * F.count("completion_pct")), 1).alias("mean_completion_pct"))
 
 
 def scale_by_redaction(answers: DataFrame, keys: list[str]) -> DataFrame:

@@ -138,7 +138,7 @@ def view_scale_by_redaction(s, d):
     return V.scale_by_redaction(V.scale_answers(S.answers(s, d), S.questions(s), S.respondents(s, d)), ["shorthand", "question_type"])
 
 
-@query("select organization_type, is_redacted, region, count(*) as n_respondents, round(avg(completion_pct), 1) as mean_completion_pct from respondents group by 1, 2, 3", True)
+@query("select organization_type, is_redacted, region, count(*) as n_respondents, round(sum(round(completion_pct * 10)::bigint)::double / (10.0::double * count(completion_pct)), 1) as mean_completion_pct from respondents group by 1, 2, 3", True)
 def view_redaction_profile(s, d):
     return V.redaction_profile(S.respondents(s, d), ["organization_type", "is_redacted", "region"])
 

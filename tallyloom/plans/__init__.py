@@ -1,0 +1,6 @@
+"""Registered queries; importing the panels adds theirs to the registry."""
+
+from tallyloom.plans import panels  # noqa: F401
+from tallyloom.plans.registry import oracle_sql, queries
+
+__all__ = ["oracle_sql", "queries"]

@@ -44,7 +44,7 @@ def likert_cells(answers: DataFrame, segments: DataFrame, rungs: list[int], mask
     cells = answers.join(segments, "respondent_id").groupBy(key, "dim", "key").agg(
         F.array(*(F.count_if(x == r) for r in rungs)).alias("c"), F.count_if(x.isNull()).alias("off"), F.count(x).alias("n"), F.round(F.avg(x), 2).alias("mean")
     )
-    cells = cells.join(F.broadcast(sizes), ["dim", "key"])
+    cells = cells.join(sizes, ["dim", "key"])
     hide = F.col("masked") & (F.col("dim") != OVERALL)
     return cells.select(key, "dim", "key", *(F.when(~hide, F.col(c)).alias(c) for c in ("c", "off", "n", "mean")), hide.alias("masked"))
 
@@ -57,7 +57,7 @@ def stance_cells(answers: DataFrame, segments: DataFrame, ladder: list[str], mas
     a = F.col("answer_text")
     sizes = segment_values(segments, mask).select("dim", "key", "masked")
     cells = answers.join(segments, "respondent_id").groupBy(key, "dim", "key").agg(F.array(*(F.count_if(a == v) for v in ladder)).alias("c"), F.count_if(a.isin(*ladder)).alias("n"))
-    cells = cells.join(F.broadcast(sizes), ["dim", "key"])
+    cells = cells.join(sizes, ["dim", "key"])
     part = F.col("dim") != OVERALL
     cells = cells.withColumn("hide", part & (F.col("masked") | (F.col("n") < mask)))
     if policy == "complementary":
@@ -72,7 +72,7 @@ def stance_cells(answers: DataFrame, segments: DataFrame, ladder: list[str], mas
 def pick_cells(selections: DataFrame, segments: DataFrame, mask: int = MASK, key: str = "question_number", option: str = "option_text") -> DataFrame:
     """Distinct respondents by option and segment; masked by the segment's size only."""
     sizes = segment_values(segments, mask).select("dim", "key", "masked")
-    cells = selections.join(segments, "respondent_id").groupBy(key, option, "dim", "key").agg(F.countDistinct("respondent_id").alias("n")).join(F.broadcast(sizes), ["dim", "key"])
+    cells = selections.join(segments, "respondent_id").groupBy(key, option, "dim", "key").agg(F.countDistinct("respondent_id").alias("n")).join(sizes, ["dim", "key"])
     hide = F.col("masked") & (F.col("dim") != OVERALL)
     return cells.select(key, option, "dim", "key", F.when(~hide, F.col("n")).alias("n"), hide.alias("masked"))
 
@@ -80,7 +80,7 @@ def pick_cells(selections: DataFrame, segments: DataFrame, mask: int = MASK, key
 def picklist(selections: DataFrame, answered: DataFrame, key: str = "question_number", option: str = "option_text") -> DataFrame:
     """Option, distinct respondents, and their share of the question's own base."""
     n = selections.groupBy(key, option).agg(F.countDistinct("respondent_id").alias("n"))
-    return n.join(F.broadcast(answered), key).select(key, option, "n", pct(F.col("n"), F.col("n_answered")).alias("pct"))
+    return n.join(answered, key).select(key, option, "n", pct(F.col("n"), F.col("n_answered")).alias("pct"))
 
 
 def stance_bucket(score: Column) -> Column:

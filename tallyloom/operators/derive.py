@@ -9,34 +9,54 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as T
 
 
-def text_clusters(answers: DataFrame, id_col: str, text_col: str, min_chars: int = 200, min_members: int = 3, preview: int = 240) -> DataFrame:
-    """(cluster_hash, n_respondents, chars, preview, member_ids): equal normalised texts of several respondents.
+def text_members(answers: DataFrame, id_col: str, text_col: str, min_chars: int = 200, preview: int = 240) -> DataFrame:
+    """(cluster_hash, id, chars, preview), distinct: who gave which normalised text of at least ``min_chars``.
 
-    The length filter comes before hashing; only hash, id and length go through the shuffle."""
+    The length filter comes before hashing; the text itself never goes through a shuffle."""
     norm = T.normalize(F.col(text_col))
     long = answers.select(F.col(id_col).alias("id"), norm.alias("t")).where(F.length("t") >= min_chars)
-    hashed = long.select("id", F.sha1("t").alias("cluster_hash"), F.length("t").alias("chars"), F.substring("t", 1, preview).alias("preview"))
-    grouped = hashed.groupBy("cluster_hash").agg(
-        F.countDistinct("id").alias("n_respondents"), F.max("chars").alias("chars"), F.min("preview").alias("preview"), F.array_sort(F.collect_set("id")).alias("member_ids")
+    return long.select(F.sha1("t").alias("cluster_hash"), "id", F.length("t").alias("chars"), F.substring("t", 1, preview).alias("preview")).distinct()
+
+
+def text_clusters(members: DataFrame, min_members: int = 3) -> DataFrame:
+    """(cluster_hash, n_respondents, chars, preview, first_id) of texts that several respondents gave.
+
+    Counted, not collected: a text that everybody gave is still one row. Members stay a long table."""
+    grouped = members.groupBy("cluster_hash").agg(
+        F.count("*").alias("n_respondents"), F.max("chars").alias("chars"), F.min("preview").alias("preview"), F.min("id").alias("first_id")
     )
     return grouped.where(F.col("n_respondents") >= min_members)
 
 
-def sharing_summary(clusters: DataFrame) -> DataFrame:
+def listed(members: DataFrame, key: str, id_col: str, max_members: int = 100_000) -> DataFrame:
+    """(key, member_ids joined by ``|``) for publishing; a group beyond ``max_members`` raises in the query."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("n")).where(F.assert_true(F.col("n") <= max_members, "too many members to list").isNull())
+    return members.join(sizes.select(key), key).groupBy(key).agg(T.join_ids(F.collect_set(id_col)).alias("members"))
+
+
+def sharing_summary(members: DataFrame) -> DataFrame:
     """(id, n_shared, n_co_sharers): clusters that hold a respondent, and distinct others in them.
 
-    Members meet inside their own cluster's list, so no pair is formed outside a cluster."""
-    each = clusters.select("member_ids", F.explode("member_ids").alias("id"))
-    return each.groupBy("id").agg(F.count("*").alias("n_shared"), (F.size(F.array_distinct(F.flatten(F.collect_list("member_ids")))) - 1).alias("n_co_sharers"))
+    Respondents in the same clusters are one profile; profiles meet by cluster, respondents never do, so a
+    cluster of all respondents costs what its profiles do."""
+    own = members.select("cluster_hash", "id").distinct().groupBy("id").agg(F.array_sort(F.collect_set("cluster_hash")).alias("clusters"))
+    own = own.withColumn("profile", F.sha1(F.array_join("clusters", ",")))
+    profiles = own.groupBy("profile").agg(F.count("*").alias("size"), F.first("clusters").alias("clusters"))
+    each = profiles.select("profile", "size", F.explode("clusters").alias("c"))
+    met = each.select("profile", "c").join(each.select(F.col("profile").alias("other"), F.col("size").alias("others"), "c"), "c").select("profile", "other", "others").distinct()
+    totals = met.groupBy("profile").agg((F.sum("others") - 1).alias("n_co_sharers"))
+    return own.join(totals, "profile").select("id", F.size("clusters").alias("n_shared"), "n_co_sharers")
 
 
-def vector_clusters(scores: DataFrame, id_col: str, key: str, score: str, min_length: int = 10, min_members: int = 2) -> DataFrame:
-    """(cluster_id, n_respondents, vector_length, member_ids): respondents whose whole score vectors are equal."""
+def vector_clusters(scores: DataFrame, id_col: str, key: str, score: str, min_length: int = 10, min_members: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Clusters (cluster_id, n_respondents, vector_length, h) of respondents whose whole score vectors are equal,
+    and their members (cluster_id, id). A vector is as long as the questionnaire; groups are counted."""
     vectors = scores.where(F.col(score).isNotNull()).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("q"), F.col(score).alias("s")))).alias("v"))
-    vectors = vectors.where(F.size("v") >= min_length).select(id_col, F.sha2(F.to_json("v"), 256).alias("h"), F.size("v").alias("vector_length"))
-    groups = vectors.groupBy("h", "vector_length").agg(F.count("*").alias("n_respondents"), F.array_sort(F.collect_list(id_col)).alias("member_ids")).where(F.col("n_respondents") >= min_members)
-    order = W.orderBy(F.desc("n_respondents"), F.desc("vector_length"), F.col("member_ids")[0])  # one row for each cluster
-    return groups.select(F.format_string("vc%02d", F.row_number().over(order)).alias("cluster_id"), "n_respondents", "vector_length", "member_ids")
+    vectors = vectors.where(F.size("v") >= min_length).select(F.col(id_col).alias("id"), F.sha2(F.to_json("v"), 256).alias("h"), F.size("v").alias("vector_length"))
+    groups = vectors.groupBy("h", "vector_length").agg(F.count("*").alias("n_respondents"), F.min("id").alias("first_id")).where(F.col("n_respondents") >= min_members)
+    order = W.orderBy(F.desc("n_respondents"), F.desc("vector_length"), "first_id")  # one row for each cluster
+    named = groups.select(F.format_string("vc%02d", F.row_number().over(order)).alias("cluster_id"), "n_respondents", "vector_length", "h")
+    return named, vectors.join(named.select("cluster_id", "h"), "h").select("cluster_id", "id")
 
 
 def anchor_signature(scores: DataFrame, id_col: str, key: str, score: str, anchors: list[int], mapped: dict[int, dict[str, str]] | None = None) -> DataFrame:
@@ -70,10 +90,10 @@ def families_by_pattern(entities: DataFrame, name: str, patterns: list[tuple[str
 
 
 def families_by_name(entities: DataFrame, name: str, id_col: str, min_members: int = 2) -> DataFrame:
-    """(family, n_members, member_ids): equal normalised names that are no placeholder."""
-    norm = entities.where(~T.is_placeholder(F.col(name))).select(id_col, T.normalize(F.col(name)).alias("n"))
-    grouped = norm.groupBy("n").agg(F.count("*").alias("n_members"), F.array_sort(F.collect_set(id_col)).alias("member_ids"))
-    return grouped.where(F.col("n_members") >= min_members).select(F.substring(T.slugify(F.col("n")), 1, 40).alias("family"), "n_members", "member_ids")
+    """(id, family, n_members): entities with equal normalised names that are no placeholder."""
+    norm = entities.where(~T.is_placeholder(F.col(name))).select(id_col, T.normalize(F.col(name)).alias("n")).distinct()
+    sizes = norm.groupBy("n").agg(F.count("*").alias("n_members")).where(F.col("n_members") >= min_members)
+    return norm.join(sizes, "n").select(id_col, F.substring(T.slugify(F.col("n")), 1, 40).alias("family"), "n_members")
 
 
 def resubmissions(entities: DataFrame, name: str, id_col: str) -> DataFrame:
@@ -86,15 +106,17 @@ def resubmissions(entities: DataFrame, name: str, id_col: str) -> DataFrame:
     ).where("n > 1").drop("n")
 
 
-def shared_edges(clusters: DataFrame, min_shared: int = 2, max_members: int = 200) -> DataFrame:
+def shared_edges(members: DataFrame, min_shared: int = 2, max_members: int = 200) -> DataFrame:
     """(a, b, n_shared): respondents in several clusters together. Larger clusters than ``max_members`` join by a
     star on their smallest member instead of by pairs, so a popular text stays linear."""
-    small = clusters.where(F.size("member_ids") <= max_members)
-    a = small.select("cluster_hash", F.explode("member_ids").alias("a"))
-    b = small.select("cluster_hash", F.explode("member_ids").alias("b"))
-    pairs = a.join(b, "cluster_hash").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    stars = clusters.where(F.size("member_ids") > max_members).select(F.col("member_ids")[0].alias("a"), F.explode("member_ids").alias("b")).where("a < b")
-    return pairs.where(F.col("n_shared") >= min_shared).unionByName(stars.distinct().withColumn("n_shared", F.lit(min_shared).cast("long")))
+    m = members.select("cluster_hash", "id").distinct()
+    sizes = m.groupBy("cluster_hash").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+    sized = m.join(sizes, "cluster_hash")
+    small = sized.where(F.col("size") <= max_members)
+    pairs = small.select("cluster_hash", F.col("id").alias("a")).join(small.select("cluster_hash", F.col("id").alias("b")), "cluster_hash").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= min_shared)
+    stars = sized.where(F.col("size") > max_members).select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+    return pairs.unionByName(stars.withColumn("n_shared", F.lit(min_shared).cast("long")))
 
 
 def blocs(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -141,20 +163,20 @@ def junk_candidates(answers: DataFrame, id_col: str, text_col: str, min_share: f
     return out.where(F.col("n_gibberish") / F.col("n_answers") >= min_share)
 
 
-def contained_runs(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+def contained_runs(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_id, cluster_id): clusters whose members all belong to the group (relational division).
 
-    Members meet by equi-join and are counted, so no cluster is set against every group."""
-    v = vectors.select("cluster_id", F.size("member_ids").alias("all"), F.explode("member_ids").alias("id")).where(F.col("all") > 0)
-    g = groups.select("group_id", F.explode("member_ids").alias("id")).distinct()
-    return v.join(g, "id").groupBy("group_id", "cluster_id", "all").agg(F.countDistinct("id").alias("held")).where("held = all").select("group_id", "cluster_id")
+    ``members`` (cluster_id, id) and ``groups`` (group_id, id) meet by equi-join and are counted."""
+    v, g = members.select("cluster_id", "id").distinct(), groups.select("group_id", "id").distinct()
+    sizes = v.groupBy("cluster_id").agg(F.count("*").alias("all"))
+    held = v.join(g, "id").groupBy("group_id", "cluster_id").agg(F.count("*").alias("held"))
+    return held.join(sizes, "cluster_id").where("held = all").select("group_id", "cluster_id")
 
 
-def overlapping(clusters: DataFrame, groups: DataFrame) -> DataFrame:
+def overlapping(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_id, cluster_id, n_shared): pairs with a member in common."""
-    c = clusters.select("cluster_id", F.explode("member_ids").alias("id")).distinct()
-    g = groups.select("group_id", F.explode("member_ids").alias("id")).distinct()
-    return c.join(g, "id").groupBy("group_id", "cluster_id").agg(F.count("*").alias("n_shared"))
+    v, g = members.select("cluster_id", "id").distinct(), groups.select("group_id", "id").distinct()
+    return v.join(g, "id").groupBy("group_id", "cluster_id").agg(F.count("*").alias("n_shared"))
 
 
 def changed_answers(answers: DataFrame, pairs: DataFrame, id_col: str, key: str, text_col: str) -> DataFrame:

@@ -82,7 +82,7 @@ def option_catalogue(picks: DataFrame, answered: DataFrame, key: str, rules: Rul
     Canonical: at least max(floor, share of the base) picks, or a short "other" label, or a standard option.
     Order: most chosen first, ties by first appearance.
     """
-    opts = picks.groupBy(key, "option_text").agg(F.count("*").alias("n_selected"), F.min("row_ord").alias("first_seen")).join(F.broadcast(answered), key)
+    opts = picks.groupBy(key, "option_text").agg(F.count("*").alias("n_selected"), F.min("row_ord").alias("first_seen")).join(answered, key)
     other = F.col("option_text").rlike(rules.other_pattern)
     often = F.col("n_selected") >= F.greatest(F.lit(float(rules.canonical_floor)), rules.canonical_share * F.col("n_answered"))
     canonical = often | (other & (F.length("option_text") <= rules.other_max_chars)) | (standard if standard is not None else F.lit(False))
@@ -147,4 +147,4 @@ def labelled(columns: DataFrame, labels: DataFrame, key: str) -> DataFrame:
         missing = [r[0] for r in a.join(b, key, "left_anti").select(key).limit(10).collect()]
         if missing:
             raise ValueError(f"no {side} for {missing}")
-    return columns.join(F.broadcast(labels), key)
+    return columns.join(labels, key)

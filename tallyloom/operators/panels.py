@@ -59,10 +59,10 @@ def evidence_flags(selections: DataFrame, prefixes: dict[str, str], id_col: str
     return out.withColumn("general_only", F.col("general") & ~reduce(lambda a, b: a | b, others)) if "general" in prefixes else out
 
 
-def spanned(groups: DataFrame, clusters: DataFrame, min_shared: int = 2) -> DataFrame:
+def spanned(groups: DataFrame, members: DataFrame, min_shared: int = 2) -> DataFrame:
     """Per group: clusters with ``min_shared`` of its members, and distinct members over these clusters."""
     g = groups.select("group_id", "respondent_id").distinct()
-    c = clusters.select("cluster_id", F.explode("member_ids").alias("respondent_id")).distinct()
+    c = members.select("cluster_id", "respondent_id").distinct()
     shared = g.join(c, "respondent_id").groupBy("group_id", "cluster_id").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
     heads = shared.join(c, "cluster_id").groupBy("group_id").agg(F.countDistinct("respondent_id").alias("n_spanned"))
     return shared.groupBy("group_id").agg(F.count("*").alias("n_shared_texts")).join(heads, "group_id")

@@ -56,8 +56,8 @@ sh as (select group_id, cluster_id, count(*) as k from g join c using (responden
 select group_id, any_value(n) as n_shared_texts, count(distinct respondent_id) as n_spanned from sh join c using (cluster_id) join (select group_id, count(*) as n from sh group by 1) using (group_id) group by 1""")
 def a38_spanned_headcount(s, d):
     p = S.table(s, d, "part")
-    clusters = p.groupBy(F.col("p_name").alias("cluster_id")).agg(F.collect_set("p_partkey").alias("member_ids"))
-    return P.spanned(p.select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("respondent_id")), clusters)
+    members = p.select(F.col("p_name").alias("cluster_id"), F.col("p_partkey").alias("respondent_id"))
+    return P.spanned(p.select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("respondent_id")), members)
 
 
 @query("""with x as (select p_name, count(*) as n, max((p_size > 45)::int) as c, sum((p_size > 45)::int) as k from part group by 1)
@@ -110,9 +110,8 @@ def j21_changed_answers(s, d):
 select group_id, cluster_id from v join g using (id) group by 1, 2 having count(*) = (select count(*) from v v2 where v2.cluster_id = v.cluster_id)""")
 def j18_contained_runs(s, d):
     p = S.table(s, d, "part").where("p_partkey % 10 = 0")
-    v = p.groupBy(F.col("p_name").alias("cluster_id")).agg(F.collect_set("p_partkey").alias("member_ids"))
-    g = p.groupBy(F.col("p_type").alias("group_id")).agg(F.collect_set("p_partkey").alias("member_ids"))
-    return D.contained_runs(v, g)
+    members = p.select(F.col("p_name").alias("cluster_id"), F.col("p_partkey").alias("id"))
+    return D.contained_runs(members, p.select(F.col("p_type").alias("group_id"), F.col("p_partkey").alias("id")))
 
 
 @query(_SUMMARY + "select coalesce(scale_construct, 'none') as construct, count(mean_score) as n_questions, round(avg(mean_score), 2) as mean_of_means from summary group by 1", True)

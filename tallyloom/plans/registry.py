@@ -372,17 +372,22 @@ def m8_shares_and_mean_rung(s, d):
 _NORM = r"trim(regexp_replace(lower(text), '[\s\x0B\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))"
 
 
-@query(f"""with h as (select doc_id, {_NORM} as t from documents), c as (select sha1(t) as cluster_hash, count(distinct doc_id) as n_respondents, max(length(t)) as chars, string_agg(doc_id::varchar, '|' order by doc_id) as members from h where length(t) >= 200 group by 1)
-select * from c where n_respondents >= 3""")
+@query(f"""with h as (select doc_id, {_NORM} as t from documents) select sha1(t) as cluster_hash, count(distinct doc_id) as n_respondents, max(length(t)) as chars, min(doc_id) as first_id, min(substr(t, 1, 240)) as preview from h where length(t) >= 200 group by 1 having count(distinct doc_id) >= 3""")
 def a26_text_clusters(s, d):
-    out = D.text_clusters(S.table(s, d, "documents"), "doc_id", "text")
-    return out.select("cluster_hash", "n_respondents", "chars", T.join_ids(F.col("member_ids")).alias("members"))
+    return D.text_clusters(D.text_members(S.table(s, d, "documents"), "doc_id", "text"))
+
+
+@query(f"""with h as (select distinct sha1({_NORM}) as cluster_hash, doc_id from documents where length({_NORM}) >= 200) select cluster_hash, string_agg(doc_id::varchar, '|' order by doc_id) as members from h group by 1 having count(*) >= 3""")
+def a26_text_cluster_members(s, d):
+    members = D.text_members(S.table(s, d, "documents"), "doc_id", "text")
+    return D.listed(members.join(D.text_clusters(members).select("cluster_hash"), "cluster_hash", "left_semi"), "cluster_hash", "id")
 
 
 @query(f"""with h as (select doc_id, sha1({_NORM}) as k from documents where length({_NORM}) >= 200), c as (select k from h group by 1 having count(*) >= 2), m as (select h.* from h join c using (k))
-select a.doc_id as id, count(distinct a.k) as n_shared, (count(distinct b.doc_id) - 1)::int as n_co_sharers from m a join m b using (k) group by 1""")
+select a.doc_id as id, count(distinct a.k)::int as n_shared, count(distinct b.doc_id) - 1 as n_co_sharers from m a join m b using (k) group by 1""")
 def a27_sharing_summary(s, d):
-    return D.sharing_summary(D.text_clusters(S.table(s, d, "documents"), "doc_id", "text", min_members=2))
+    members = D.text_members(S.table(s, d, "documents"), "doc_id", "text")
+    return D.sharing_summary(members.join(D.text_clusters(members, 2).select("cluster_hash"), "cluster_hash", "left_semi"))
 
 
 @query(""", a as (select respondent_id, question_number, max(answer_numeric) as sc from answers where answer_numeric is not null group by 1, 2),
@@ -392,8 +397,8 @@ select 'vc' || lpad((row_number() over (order by n_respondents desc, vector_leng
 """, True)
 def a28_vector_clusters(s, d):
     a = S.answers(s, d).groupBy("respondent_id", "question_number").agg(F.max("answer_numeric").alias("sc"))
-    out = D.vector_clusters(a, "respondent_id", "question_number", "sc", 3)
-    return out.select("cluster_id", "n_respondents", "vector_length", T.join_ids(F.col("member_ids")).alias("members"))
+    clusters, members = D.vector_clusters(a, "respondent_id", "question_number", "sc", 3)
+    return clusters.join(D.listed(members, "cluster_id", "id"), "cluster_id").select("cluster_id", "n_respondents", "vector_length", "members")
 
 
 @query(""", a as (select respondent_id, question_number, max(answer_numeric)::int as sc from answers group by 1, 2)
@@ -420,10 +425,9 @@ def j9_families_by_pattern(s, d):
     return out.withColumnRenamed("p_partkey", "id")
 
 
-@query("""select regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') as family, count(*) as n_members, string_agg(p_partkey::varchar, '|' order by p_partkey) as members from part group by 1 having count(*) >= 2""")
+@query("""select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') as family, count(*) over (partition by lower(p_name)) as n_members from part qualify count(*) over (partition by lower(p_name)) >= 2""")
 def a35_families_by_name(s, d):
-    out = D.families_by_name(S.table(s, d, "part"), "p_name", "p_partkey")
-    return out.select("family", "n_members", T.join_ids(F.col("member_ids")).alias("members"))
+    return D.families_by_name(S.table(s, d, "part"), "p_name", "p_partkey")
 
 
 @query("""with x as (select p_partkey, lower(p_name) as n from part) select p_partkey, max(p_partkey) over (partition by n) as kept_id, lead(p_partkey) over (partition by n order by p_partkey) as next_id, p_partkey < max(p_partkey) over (partition by n) as superseded from x qualify count(*) over (partition by n) > 1""")
@@ -456,7 +460,7 @@ def f21_gibberish_words(s, d):
 def d15_blocs_by_shared_lines(s, d):
     """Documents in two or more clusters of long shared lines together; rows only, SQL has no closure of cycles."""
     lines = S.table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return D.blocs(D.shared_edges(D.text_clusters(lines, "doc_id", "line", min_chars=60, min_members=2), min_shared=2))
+    return D.blocs(D.shared_edges(D.text_members(lines, "doc_id", "line", min_chars=60), min_shared=2))
 
 
 @query("""with w as (select doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '_', 'g') as x, regexp_replace(text, '\\s+', ' ', 'g') as c from documents)

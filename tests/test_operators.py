@@ -50,15 +50,17 @@ def test_masks_and_complementary_policy(spark):
 
 
 def test_blocs_close_cycles_and_popular_clusters(spark):
-    clusters = spark.createDataFrame([("a", [1, 2, 3]), ("b", [1, 2, 3]), ("c", [3, 4]), ("d", [3, 4]), ("e", list(range(100, 160)))], "cluster_hash string, member_ids array<int>")
-    edges = D.shared_edges(clusters, 2, max_members=20)
+    groups = {"a": [1, 2, 3], "b": [1, 2, 3], "c": [3, 4], "d": [3, 4], "e": range(100, 160)}
+    members = spark.createDataFrame([(k, i) for k, ids in groups.items() for i in ids], "cluster_hash string, id int")
+    edges = D.shared_edges(members, 2, max_members=20)
+    assert edges.where("a >= 100").count() == 59
     got = {r.id: r.bloc for r in D.blocs(edges).collect()}
     assert {got[i] for i in (1, 2, 3, 4)} == {1} and {got[i] for i in range(100, 160)} == {100}
 
 
 def test_division_overlap_and_changes(spark):
-    clusters = spark.createDataFrame([("v1", [1, 2]), ("v2", [2, 9])], "cluster_id string, member_ids array<int>")
-    groups = spark.createDataFrame([("g", [1, 2, 3])], "group_id string, member_ids array<int>")
+    clusters = spark.createDataFrame([("v1", 1), ("v1", 2), ("v2", 2), ("v2", 9)], "cluster_id string, id int")
+    groups = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3)], "group_id string, id int")
     assert [tuple(r) for r in D.contained_runs(clusters, groups).collect()] == [("g", "v1")]
     assert sorted(tuple(r) for r in D.overlapping(clusters, groups).collect()) == [("g", "v1", 2), ("g", "v2", 1)]
     a = spark.createDataFrame([(1, "q1", "x "), (1, "q2", "y"), (2, "q1", "x"), (2, "q2", "z")], "id int, q string, t string")
@@ -70,8 +72,12 @@ def test_junk_and_sharing(spark):
     a = spark.createDataFrame([(1, "asdf"), (1, "qwe"), (1, "a nice idea"), (2, "fine by me"), (2, "zzz")], "id int, t string")
     assert [(r.id, r.n_gibberish, r.evidence) for r in D.junk_candidates(a, "id", "t", min_share=0.6).collect()] == [(1, 2, ["asdf", "qwe"])]
     long = "same text " * 30
-    c = D.text_clusters(spark.createDataFrame([(1, long), (2, long.upper()), (3, long + " "), (4, "short")], "id int, t string"), "id", "t")
-    assert [(r.id, r.n_shared, r.n_co_sharers) for r in D.sharing_summary(c).orderBy("id").collect()] == [(1, 1, 2), (2, 1, 2), (3, 1, 2)]
+    other = "another text " * 30
+    m = D.text_members(spark.createDataFrame([(1, long), (2, long.upper()), (3, long + " "), (4, "short"), (3, other), (5, other)], "id int, t string"), "id", "t")
+    assert [(r.n_respondents, r.first_id) for r in D.text_clusters(m).collect()] == [(3, 1)]
+    assert [(r.id, r.n_shared, r.n_co_sharers) for r in D.sharing_summary(m).orderBy("id").collect()] == [(1, 1, 2), (2, 1, 2), (3, 2, 3), (5, 1, 1)]
+    with pytest.raises(Exception, match="too many members"):
+        D.listed(m, "cluster_hash", "id", max_members=1).collect()
 
 
 def test_vote_median_and_signature(spark):

@@ -138,8 +138,8 @@ def _counted(text: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; rows with a null id stay."""
-    gone = contaminated_spans(docs, bench, id_col, **settings).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = materialise(contaminated_spans(docs, bench, id_col, **settings).select(F.col("id").alias(id_col)).distinct(), "gone")
+    return docs.join(maybe_broadcast(gone, gone.count()), id_col, "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: object) -> DataFrame:

@@ -40,6 +40,8 @@ BLOCK_TOKENS = 2_000_000
 SUPPORT = 4
 #: Sets with a shingle in a cell of sizes up to which their pairs are counted; more form a star at once.
 PAIRED = 12
+#: Size classes of one cell, in which one order of shingles holds.
+CLASSES = 4
 #: Ids of copies (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -191,15 +193,21 @@ def _class_width(percent: int) -> float:
     return 1.0001 * math.log(100 / min(percent, 99))
 
 
+def _cells(size: int) -> list[int]:
+    """The cell of a size class, and the next one for a cell's largest class."""
+    own = size // CLASSES
+    return [own, own + 1] if size % CLASSES == CLASSES - 1 else [own]
+
+
 def _cell_share(cell: int, percent: int) -> float:
     """The share of all hashes that is counted for sets of a cell: somewhat more than their prefixes need."""
-    n = max(1.0, math.exp((cell - 1) * _class_width(percent)))
-    return min(1.0, (1.25 * (n * (100 - percent) / 100 + 1) + 12) / n)
+    n = max(1.0, math.exp((cell * CLASSES - 1) * _class_width(percent)))
+    return min(1.0, (1.2 * (n * (100 - percent) / 100 + 1) + 10) / n)
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(id, n, fp, size, head_0, head_1, head): set size, fingerprint of the set, size class, and the
-    smallest hashes: so many of them may be in the set's prefix in the cell of its class and in the next."""
+    """(id, n, fp, size, cell, n_head, head): set size, fingerprint of the set, size class, its cells, and the
+    smallest hashes: so many of them may be in the set's prefix in each cell."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
@@ -209,17 +217,19 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
                 h = shingles(text, k, ids)
                 n = len(h)
                 if not n:
-                    rows.append((0, None, 0, 0, 0, h.view(np.int64)))
+                    rows.append((0, None, 0, [], [], h.view(np.int64)))
                     continue
                 size, least = _size_class(n, percent), n - _at_least(n, percent) + 1
-                cut = [int(np.searchsorted(h, np.uint64(int(_cell_share(c, percent) * (2**64 - 2**11))), "right")) for c in (size, size + 1)]
-                cut = [n if _cell_share(c, percent) == 1 else max(least, x) for c, x in zip((size, size + 1), cut)]
-                rows.append((n, digest(h.tobytes()), size, *cut, h[: max(cut)].view(np.int64)))
+                cells, cut = _cells(size), []
+                for share in (_cell_share(c, percent) for c in cells):
+                    below = n if share == 1 else int(np.searchsorted(h, np.uint64(int(share * (2**64 - 2**11))), "right"))
+                    cut.append(max(least, below))
+                rows.append((n, digest(h.tobytes()), size, cells, cut, h[: max(cut)].view(np.int64)))
             columns = list(zip(*rows)) if rows else [()] * 6
-            yield pd.DataFrame(dict(zip(("id", "n", "fp", "size", "head_0", "head_1", "head"), (frame["id"], *columns))))
+            yield pd.DataFrame(dict(zip(("id", "n", "fp", "size", "cell", "n_head", "head"), (frame["id"], *columns))))
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "id long, n long, fp binary, size int, head_0 int, head_1 int, head array<long>")
+    return picked.mapInPandas(run, "id long, n long, fp binary, size int, cell array<int>, n_head array<int>, head array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -256,11 +266,7 @@ def ngram_jaccard_components(
     classes = materialise(named.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     copies = materialise(named.select("id", "fp").join(classes, "fp").where("id <> rep").select("id"), "copies")
     alone = named.join(maybe_broadcast(copies, copies.count(), BROADCAST_IDS), "id", "left_anti")
-    # a set is in the cell of its size class and in the next one; a token is told apart by cell
-    celled = alone.select(
-        F.col("id").alias("rep"), "n", "head", "size",
-        F.explode(F.array(F.struct(F.col("size").alias("cell"), F.col("head_0").alias("n_head")), F.struct((F.col("size") + 1).alias("cell"), F.col("head_1").alias("n_head")))).alias("c"),
-    ).select("rep", "n", "size", "c.cell", "c.n_head", "head")
+    celled = alone.select(F.col("id").alias("rep"), "n", "head", "size", F.inline(F.arrays_zip("cell", "n_head")))
     heads = celled.select("rep", "cell", F.explode(F.slice("head", F.lit(1), F.col("n_head"))).alias("t")).select("rep", "cell", F.xxhash64("t", "cell").alias("token"))
     shared = heads.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     held = heads.join(shared, "token").groupBy("rep", "cell").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
@@ -271,7 +277,12 @@ def ngram_jaccard_components(
         # shingles of one class only come first; what the prefix has left are the rarest others
         .withColumn("left", F.when(F.col("n_head") == least, F.size("held")).otherwise(least + F.col("need") - 1 - F.col("n_head") + F.size("held")))
         .where("left > 0")
-        .select("rep", "need", "size", "cell", F.explode(F.slice("held", 1, F.col("left").cast("int"))["token"]).alias("token"))
+        # within a cell sets meet in the fine cell of the larger one's size class
+        .withColumn("own", F.floor(F.col("size") / CLASSES) == F.col("cell"))
+        .withColumn("upper", F.col("size") % CLASSES == CLASSES - 1)
+        .withColumn("fine", F.when(~F.col("own"), F.array(F.col("size") + 1)).when(F.col("upper"), F.array("size")).otherwise(F.array("size", F.col("size") + 1)))
+        .select("rep", "need", "size", "fine", F.explode(F.slice("held", 1, F.col("left").cast("int"))["token"]).alias("token"))
+        .select("rep", "need", "size", "token", F.explode("fine").alias("cell"))
     )
     prefix = materialise(prefix, "prefix")
     cells = prefix.groupBy("token", "cell").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
@@ -336,5 +347,5 @@ def _cluster_links(sets: DataFrame, percent: int, block_tokens: int) -> DataFram
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFrame:
     """``docs`` without documents whose component has a smaller id; rows with a null id stay."""
     found = ngram_jaccard_components(docs, id_col, **settings)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = materialise(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "gone")
+    return docs.join(maybe_broadcast(gone, gone.count(), BROADCAST_IDS), id_col, "left_anti")

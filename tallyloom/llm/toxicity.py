@@ -67,7 +67,7 @@ def fit_nnpu(
     features: int = 1024,
     epochs: int = 300,
     rate: float = 0.05,
-    decay: float = 1e-3,
+    decay: float = 3e-4,
     beta: float = 0.0,
 ) -> NNPUModel:
     """Train on feature lists. Without positives or unlabelled texts the score is the prior everywhere."""
@@ -100,7 +100,8 @@ def fit_nnpu(
             gp, gu = prior * sp / len(sp), -gu
         grad = np.concatenate([gp @ xp + gu @ xu + decay * w, [gp.sum() + gu.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        # smaller and smaller steps, so that reversed gradients near the end do not throw the result about
+        move = rate * (1 - (step - 1) / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = (w - move[:-1]).astype(np.float32), np.float32(b - move[-1])
     weights[chosen] = w
     return NNPUModel(weights, float(b))

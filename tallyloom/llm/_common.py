@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, _FALLBACK["dir"], ignore_errors=True)
     return _FALLBACK["dir"]
 
 
@@ -34,7 +37,24 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/tallyloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tallyloom_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of :func:`materialise` once all that reads it has itself been materialised."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tallyloom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python at most ``rows`` at a time: whole texts are long, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -74,7 +94,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        star = materialise(small, "cc")
+        before, star = star, materialise(small, "cc")
+        forget(before)
         now = mark(star)
         if now == last:
             break

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import BROADCAST_ROWS, digest, materialise
+from tallyloom.llm._common import BROADCAST_ROWS, digest, materialise, text_batches
 
 _SPACE = b"\x20\t\n\x0b\x0c\r"
 
@@ -78,6 +78,7 @@ def dedup_lines(
     The repeated lines travel to every task while ``broadcast_rows`` bound them; beyond that they meet the
     lines of the documents in a join, and each document its own dropped lines in another.
     """
+    text_batches(docs.sparkSession)
     found = materialise(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "lines")
     base = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)

@@ -32,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import WordIds, connected_components, digest, materialise, maybe_broadcast, shingles
+from tallyloom.llm._common import WordIds, connected_components, digest, forget, materialise, maybe_broadcast, shingles, text_batches
 
 #: Shingles of one search task; larger clusters are dealt into blocks.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Shingles that two sets must share in prefixes that are longer by one less.
 SUPPORT = 4
 #: Sets with a shingle in a cell of sizes up to which their pairs are counted; more form a star at once.
@@ -107,7 +107,10 @@ class ComponentSearch:
         for t in tokens:
             own = lists.get(t)
             if own is None:
-                lists[t] = [component]
+                lists[t] = component  # a list of one is kept as its entry
+            elif type(own) is int:
+                if own != component:
+                    lists[t] = [own, component] if own < component else [component, own]
             elif own[-1] != component:
                 at = bisect_left(own, component)
                 if at == len(own) or own[at] != component:
@@ -120,7 +123,7 @@ class ComponentSearch:
         mine = same.get(known) if same is not None else None
         linked = [] if mine is None else [mine]
         get = self.lists.get
-        for c in divide_skip([x for x in map(get, listed) if x is not None], least):
+        for c in divide_skip([[x] if type(x) is int else x for x in map(get, listed) if x is not None], least):
             if c in self.dead or c == mine:
                 continue
             if any(self._similar(tokens, other) for _, other in self.members[c]):
@@ -178,7 +181,9 @@ def _local_components(frames: Iterator[pd.DataFrame], percent: int, keys: list[s
 def _search(sets: DataFrame, percent: int, keys: list[str]) -> DataFrame:
     """(a, b): each set of a group and the smallest name of its component there."""
     names = [*keys, *(["known"] if "known" in sets.columns else []), "n", "rep", "tokens"]
-    dealt = sets.select(*names).repartition(*keys).sortWithinPartitions(*keys, "n", "rep")
+    # a fixed number of parts: rows here cost much more than their bytes tell
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select(*names).repartition(parts, *keys).sortWithinPartitions(*keys, "n", "rep")
     return dealt.mapInPandas(lambda it: _local_components(it, percent, keys), "rep long, low long").select(
         F.col("rep").alias("a"), F.col("low").alias("b")
     )
@@ -205,13 +210,20 @@ def _cell_share(cell: int, percent: int) -> float:
     return min(1.0, (1.2 * (n * (100 - percent) / 100 + 1) + 10) / n)
 
 
+def _slices(frames: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Small frames, so that the sets of few texts are in memory at once."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(id, n, fp, size, cell, n_head, head): set size, fingerprint of the set, size class, its cells, and the
     smallest hashes: so many of them may be in the set's prefix in each cell."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
-        for frame in frames:
+        for frame in _slices(frames):
             rows = []
             for text in frame["text"]:
                 h = shingles(text, k, ids)
@@ -224,7 +236,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
                 for share in (_cell_share(c, percent) for c in cells):
                     below = n if share == 1 else int(np.searchsorted(h, np.uint64(int(share * (2**64 - 2**11))), "right"))
                     cut.append(max(least, below))
-                rows.append((n, digest(h.tobytes()), size, cells, cut, h[: max(cut)].view(np.int64)))
+                rows.append((n, digest(h.tobytes()), size, cells, cut, h[: max(cut)].view(np.int64).copy()))
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pd.DataFrame(dict(zip(("id", "n", "fp", "size", "cell", "n_head", "head"), (frame["id"], *columns))))
 
@@ -235,7 +247,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
-        for frame in frames:
+        for frame in _slices(frames):
             sets = [shingles(t, k, ids) for t in frame["text"]]
             yield pd.DataFrame(
                 {"rep": frame["id"], "n": [len(s) for s in sets], "tokens": [np.sort(s.view(np.int64)) for s in sets]}
@@ -261,6 +273,7 @@ def ngram_jaccard_components(
     component. Repeated rows come back as often as given; rows with a null id are linked like others but
     have a null component unless a linked row has an id. No rows give no rows; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     prints = materialise(_fingerprints(docs, id_col, text_col, k, percent), "fp")
     named = prints.where("fp is not null and id is not null")
     classes = materialise(named.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
@@ -287,6 +300,7 @@ def ngram_jaccard_components(
     prefix = materialise(prefix, "prefix")
     cells = prefix.groupBy("token", "cell").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
     placed = materialise(prefix.join(cells, ["token", "cell"]), "placed")
+    forget(prefix)
     stars = placed.where(F.col("held") > PAIRED).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     few = placed.where(F.col("held") <= PAIRED).groupBy("token", "cell").agg(F.collect_list(F.struct("rep", "need", (F.col("size") == F.col("cell")).alias("own"))).alias("m"))
     pairs = (
@@ -299,6 +313,7 @@ def ngram_jaccard_components(
     )
     stars = stars.unionByName(pairs.select("a", "b"))
     clusters = materialise(connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
+    forget(placed)
 
     active = maybe_broadcast(clusters.select(F.col("rep").alias(id_col)), clusters.count(), BROADCAST_IDS)
     sets = _sets(docs.join(active, id_col, "left_semi"), id_col, text_col, k).join(clusters, "rep").where("n > 0")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import WordIds, materialise, maybe_broadcast, rolling
+from tallyloom.llm._common import WordIds, materialise, maybe_broadcast, rolling, text_batches
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -54,6 +54,7 @@ def text_statistics(text: str | None, ids: WordIds, window: int = 8) -> tuple[in
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(id, keep..., statistics, n_lines) of whole texts, all long; null texts count as empty."""
+    text_batches(docs.sparkSession)
     names = [*STATS, "n_lines"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import WordIds, materialise, maybe_broadcast
+from tallyloom.llm._common import WordIds, materialise, maybe_broadcast, text_batches
 from tallyloom.llm.quality_rules import text_statistics
 
 N_FEATURES = 9
@@ -105,6 +105,7 @@ def site_quality(
     evidence is the classifier's on zeros, and they count in their groups. Rows come back as often as
     given; no rows give no rows.
     """
+    text_batches(docs.sparkSession)
     mean, scale, w, b = model
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm._common import text_batches
+
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-/\\"
 #: Features are hashed into so many buckets.
 BUCKETS = 1 << 20
@@ -135,6 +137,7 @@ def train_toxicity(
     Both samples go by a hash of the id. ``prior`` is the share of toxic texts; if not given, that among
     the labelled rows. ``docs`` and ``labels`` hold training rows only; null ids and labels are left out.
     """
+    text_batches(docs.sparkSession)
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     if prior is None:
         prior = labels.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
@@ -156,6 +159,7 @@ def score_toxicity(docs: DataFrame, model: NNPUModel, id_col: str = "doc_id", te
     without features. Repeated rows score alike, no rows give no rows. Input columns named ``score`` or
     ``predicted`` are replaced.
     """
+    text_batches(docs.sparkSession)
     used = np.nonzero(model.weights)[0]
     table = dict(zip(used.tolist(), model.weights[used].astype(float).tolist()))
     shared = docs.sparkSession.sparkContext.broadcast((table, model.bias))

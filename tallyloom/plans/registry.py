@@ -452,7 +452,7 @@ def f12_signals(s, d):
 g as (select doc_id, length(w) < 20 and ((an <> '' and length(replace(an, an[1], '')) = 0) or case when le = '' then 0.0 else length(regexp_replace(le, '[^aeiou]', '', 'g')) / length(le) end < 0.3 or regexp_matches(az, '""" + T.keyboard_pattern() + """')) as bad from k)
 select doc_id, count(*) as n_words, count(*) filter (where bad) as n_gibberish from g group by 1""")
 def f21_gibberish_words(s, d):
-    w = S.table(s, d, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 400), " ")).alias("w")).where((F.col("w") != "") & ~F.col("w").rlike(r"\s"))
+    w = S.table(s, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).where((F.col("w") != "") & ~F.col("w").rlike(r"\s"))
     return w.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(T.is_gibberish(F.col("w"))).alias("n_gibberish"))
 
 

@@ -8,6 +8,7 @@ from tests.test_registry import DATA, duck, plain  # noqa: F401
 #: The part of a twin's SQL that cuts, and what stands there without the cut.
 CUTS = {
     "f21_gibberish_words": ("substr(text, 1, 400)", "text"),
+    "f1_norm_text": (" where doc_id % 3 = 0", ""),
 }
 
 

@@ -274,9 +274,8 @@ def a13_likert_cells(s, d):
     return out.withColumn("c", F.when(F.col("c").isNotNull(), F.array_join(F.transform("c", lambda x: x.cast("string")), ",")))
 
 
-def _small_segments(s: SparkSession, d: str) -> DataFrame:
-    r = S.respondents(s, d).where("respondent_id % 97 = 0")
-    return C.segments_long(r, {"country": F.col("country")})
+def _country_segments(s: SparkSession, d: str) -> DataFrame:
+    return C.segments_long(S.respondents(s, d), {"country": F.col("country")})
 
 
 @query(""", seg as (select respondent_id, 'country' as dim, country as key from respondents where respondent_id % 97 = 0 union all select respondent_id, 'overall', 'all' from respondents where respondent_id % 97 = 0),
@@ -286,7 +285,7 @@ h as (select cells.*, dim <> 'overall' and (masked or n < 5) as hide from cells
 select question_number, dim, key, case when not hide then a end as a, case when not hide then b end as b, case when not hide then n end as n, dim <> 'overall' and not hide and n < 10 as thin, hide as masked from h
 """, True)
 def a14_stance_cells(s, d):
-    out = C.stance_cells(S.answers(s, d), _small_segments(s, d), ["A", "N"])
+    out = C.stance_cells(S.answers(s, d), _country_segments(s, d), ["A", "N"])
     return out.select("question_number", "dim", "key", F.get("c", F.lit(0)).alias("a"), F.get("c", F.lit(1)).alias("b"), "n", "thin", "masked")
 
 

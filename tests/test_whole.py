@@ -9,6 +9,7 @@ from tests.test_registry import DATA, duck, plain  # noqa: F401
 CUTS = {
     "f21_gibberish_words": ("substr(text, 1, 400)", "text"),
     "f1_norm_text": (" where doc_id % 3 = 0", ""),
+    "a14_stance_cells": (" where respondent_id % 97 = 0", ""),
 }
 
 

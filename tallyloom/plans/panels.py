@@ -24,7 +24,7 @@ def a19_year_histogram(s, d):
  from answers join respondents using (respondent_id) where respondent_id % 50 = 0 group by 1, 2)
 select question_number || ' ' || country as cell, case when n_a >= 5 and n_b >= 5 then n_a end as n_a, case when n_a >= 5 and n_b >= 5 then mean_a end as mean_a, case when n_a >= 5 and n_b >= 5 then n_b end as n_b, case when n_a >= 5 and n_b >= 5 then mean_b end as mean_b, not (n_a >= 5 and n_b >= 5) as masked from e""", True)
 def a22_side_effect(s, d):
-    a = S.answers(s, d).where("respondent_id % 50 = 0").join(S.respondents(s, d), "respondent_id")
+    a = S.answers(s, d).join(S.respondents(s, d), "respondent_id")
     a = a.select(F.concat_ws(" ", F.col("question_number").cast("string"), "country").alias("cell"), F.when(F.col("is_redacted"), "r").otherwise("n").alias("side"), "answer_numeric")
     return P.side_effect(a, "cell", "side", ("r", "n"), "answer_numeric")
 

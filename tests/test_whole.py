@@ -10,6 +10,7 @@ CUTS = {
     "f21_gibberish_words": ("substr(text, 1, 400)", "text"),
     "f1_norm_text": (" where doc_id % 3 = 0", ""),
     "a14_stance_cells": (" where respondent_id % 97 = 0", ""),
+    "a22_side_effect": (" where respondent_id % 50 = 0", ""),
 }
 
 

@@ -20,3 +20,10 @@ def test_query_does_the_whole_job(spark, duck, name):  # noqa: F811
     cols = [x[0] for x in found.description]
     want = sorted(str(plain(list(r))) for r in found.fetchall())
     assert want and sorted(str(plain([r[c] for c in cols])) for r in registry.queries()[name](spark, DATA).collect()) == want
+
+
+def test_contained_runs_count_members_of_all_parts(spark, tmp_path):
+    part = [(10, "in", "g"), (11, "in", "g"), (20, "out", "g"), (21, "out", "h"), (3, "odd", "h")]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["j18_contained_runs"](spark, str(tmp_path)).collect()
+    assert sorted((r.group_id, r.cluster_id) for r in got) == [("g", "in"), ("h", "odd")]

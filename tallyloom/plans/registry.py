@@ -466,7 +466,7 @@ def d15_blocs_by_shared_lines(s, d):
 select doc_id, regexp_replace(x, '^_+|_+$', '', 'g') as slug, case when length(trim(c)) > 60 then rtrim(substr(trim(c), 1, 59)) || '…' else trim(c) end as preview from w""")
 def f5_slug_and_truncate(s, d):
     t = S.table(s, d, "documents")
-    return t.select("doc_id", T.slugify(F.substring("text", 1, 200)).alias("slug"), T.truncate(F.col("text"), 60).alias("preview"))
+    return t.select("doc_id", T.slugify(F.col("text")).alias("slug"), T.truncate(F.col("text"), 60).alias("preview"))
 
 
 @query("""select item_id, text as stored, true as in_order from benchmark""")

@@ -11,6 +11,7 @@ CUTS = {
     "f1_norm_text": (" where doc_id % 3 = 0", ""),
     "a14_stance_cells": (" where respondent_id % 97 = 0", ""),
     "a22_side_effect": (" where respondent_id % 50 = 0", ""),
+    "f5_slug_and_truncate": ("substr(text, 1, 200)", "text"),
 }
 
 

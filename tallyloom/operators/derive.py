@@ -108,7 +108,8 @@ def resubmissions(entities: DataFrame, name: str, id_col: str) -> DataFrame:
 
 def shared_edges(members: DataFrame, min_shared: int = 2, max_members: int = 200) -> DataFrame:
     """(a, b, n_shared): respondents in several clusters together. Larger clusters than ``max_members`` join by a
-    star on their smallest member instead of by pairs, so a popular text stays linear."""
+    star on their smallest member instead of by pairs, so a popular text stays linear. These edges are not counted:
+    one popular cluster links its members, whatever ``min_shared`` is. ``common_edges`` counts them all."""
     m = members.select("cluster_hash", "id").distinct()
     sizes = m.groupBy("cluster_hash").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     sized = m.join(sizes, "cluster_hash")
@@ -119,6 +120,32 @@ def shared_edges(members: DataFrame, min_shared: int = 2, max_members: int = 200
     return pairs.unionByName(stars.withColumn("n_shared", F.lit(min_shared).cast("long")))
 
 
+def common_edges(members: DataFrame, min_shared: int = 2, max_pairs: int = 200) -> DataFrame:
+    """(a, b, n_shared): edges between respondents with at least ``min_shared`` clusters in common, each counted over
+    all clusters. Their connected components are those of all such pairs, though not every pair has its edge.
+
+    Respondents in the same clusters are one profile, a star on its smallest member. Profiles with a cluster of at most
+    ``max_pairs`` profiles in common meet by pairs. Those that share only larger clusters have ``min_shared`` of these
+    in common: each such set is a star on its smallest holder, so its rows grow with the holders, not with their pairs."""
+    own = members.select("cluster_hash", "id").distinct().groupBy("id").agg(F.array_sort(F.collect_set("cluster_hash")).alias("clusters")).where(F.size("clusters") >= min_shared)
+    own = own.withColumn("hub", F.min("id").over(W.partitionBy("clusters")))
+    alike = own.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.size("clusters").cast("long").alias("n_shared"))
+    profiles = own.where("hub = id").select("id", "clusters")
+    each = profiles.select("id", F.explode("clusters").alias("c"))
+    sized = each.join(each.groupBy("c").agg(F.count("*").alias("size")).where("size > 1"), "c")
+    small, large = sized.where(F.col("size") <= max_pairs).select("id", "c"), sized.where(F.col("size") > max_pairs).select("id", "c")
+    near = small.select(F.col("id").alias("a"), "c").join(small.select(F.col("id").alias("b"), "c"), "c").where("a < b").select("a", "b")
+    sets = large.select("id", F.array("c").alias("set"))
+    for _ in range(min_shared - 1):
+        sets = sets.join(large, "id").where(F.col("c") > F.element_at("set", -1)).select("id", F.concat("set", F.array("c")).alias("set"))
+    hubs = sets.groupBy("set").agg(F.min("id").alias("a"))
+    far = sets.join(hubs, "set").where("a < id").select("a", F.col("id").alias("b"))
+    pairs = near.unionByName(far).distinct()
+    pairs = pairs.join(profiles.select(F.col("id").alias("a"), F.col("clusters").alias("x")), "a").join(profiles.select(F.col("id").alias("b"), F.col("clusters").alias("y")), "b")
+    counted = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n_shared")).where(F.col("n_shared") >= min_shared)
+    return alike.unionByName(counted)
+
+
 def blocs(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, bloc): connected components by smallest label; each round also jumps to the label's own label.
 

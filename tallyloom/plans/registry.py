@@ -459,7 +459,7 @@ def f21_gibberish_words(s, d):
 def d15_blocs_by_shared_lines(s, d):
     """Documents in two or more clusters of long shared lines together; rows only, SQL has no closure of cycles."""
     lines = S.table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return D.blocs(D.shared_edges(D.text_members(lines, "doc_id", "line", min_chars=60), min_shared=2))
+    return D.blocs(D.common_edges(D.text_members(lines, "doc_id", "line", min_chars=60), min_shared=2))
 
 
 @query("""with w as (select doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '_', 'g') as x, regexp_replace(text, '\\s+', ' ', 'g') as c from documents)

@@ -1,8 +1,12 @@
 """Queries over whole texts and whole tables, against their SQL twins without the twins' cuts."""
 
+import itertools
+import random
+
 import pytest
 
 from tallyloom import plans as registry
+from tallyloom.operators import derive as D
 from tests.test_registry import DATA, duck, plain  # noqa: F401
 
 #: The part of a twin's SQL that cuts, and what stands there without the cut.
@@ -28,3 +32,30 @@ def test_contained_runs_count_members_of_all_parts(spark, tmp_path):
     spark.createDataFrame(part, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = registry.queries()["j18_contained_runs"](spark, str(tmp_path)).collect()
     assert sorted((r.group_id, r.cluster_id) for r in got) == [("g", "in"), ("h", "odd")]
+
+
+def test_one_popular_line_makes_no_bloc(spark, tmp_path):
+    licence, more = "this line of a licence stands in very many documents of the corpus", "a second line that some of the documents have in common as well"
+    docs = [(i, f"{licence}\nown {i}") for i in range(250)] + [(i, f"{licence}\n{more}") for i in (300, 301)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["d15_blocs_by_shared_lines"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.bloc) for r in got) == [(300, 300), (301, 300)]
+
+
+@pytest.mark.parametrize("min_shared", [1, 2, 3])
+def test_common_edges_have_the_components_of_all_pairs(spark, min_shared):
+    rng = random.Random(min_shared)
+    own = {i: {c for c in range(6) if rng.random() < 0.25} | {rng.randrange(6, 120) for _ in range(2)} for i in range(80)}
+    own |= {i: own[i - 80] for i in range(80, 95)}
+    members = spark.createDataFrame([(f"c{c}", i) for i, cs in own.items() for c in cs], "cluster_hash string, id int")
+    edges = D.common_edges(members, min_shared, max_pairs=4).collect()
+    assert edges and all(r.n_shared == len(own[r.a] & own[r.b]) >= min_shared and r.a < r.b for r in edges)
+
+    def components(pairs):
+        low = {i: i for i in own}
+        for _ in own:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    assert components([(r.a, r.b) for r in edges]) == components([p for p in itertools.combinations(own, 2) if len(own[p[0]] & own[p[1]]) >= min_shared])

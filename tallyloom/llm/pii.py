@@ -21,8 +21,11 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + _END,
     "ssn": _EDGE + r"(?<!-)(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _END + r"(?!-[0-9])",
     "ip": _EDGE + r"(?<!\.)(?:" + _OCTET + r"\.){3}" + _OCTET + _END + r"(?!\.[0-9])",
-    "card": _EDGE + r"(?<![-.])[0-9](?:[ \-]?[0-9]){12,18}" + _END + r"(?![-.][0-9])",
 }
+#: Digit groups of 13 digits or more together, as far as the next match of another kind; ``_card`` looks for cards in them.
+_OTHER = "(?!" + "|".join(p for kind, p in PATTERNS.items() if kind != "email") + ")"
+_GROUP = r"[0-9]++" + _END + r"(?!\.[0-9])(?!-" + _OTHER + r"[0-9]++(?:[A-Za-z]|\.[0-9]))"
+PATTERNS["card"] = _EDGE + r"(?<![-.])(?=[0-9](?:[ \-]?[0-9]){12})" + _GROUP + r"(?:[ \-]" + _OTHER + _GROUP + ")*+"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Without mail addresses a match starts with one of a few characters, which is quick to tell at each place.
 _NUMBERS = r"(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "email") + ")"
@@ -97,11 +100,65 @@ def _permuted_digits(digits: Column, key: str, kind: str, undo: bool) -> Column:
     return F.array_join(F.zip_with(moved, low, lambda v, b: (v + b).cast("string")), "")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _card_runs(m: Column) -> Column:
+    """Runs of whole digit groups of ``m`` that pass Luhn's check, none over another, by place.
+
+    Runs grouped as cards are go first, then other groupings: those without groups of one or two digits, and the
+    longest run from the start. So a card next to a short number is found whatever the two make together."""
+
+    def ranked(x: Column) -> Column:
+        g, s, last = x["g"], x["s"], F.size(x["g"]) - 1
+
+        def own(r: Column) -> Column:
+            return F.slice(g, r["i"] + 1, r["j"] - r["i"] + 1)
+
+        def rank(r: Column) -> Column:
+            even = F.size(F.array_distinct(F.slice(s, r["i"] + 1, r["j"] - r["i"]))) <= 1
+            shape = F.when(even, F.array_join(F.transform(own(r), lambda c: F.length(c).cast("string")), "-")).otherwise("")
+            usual = (r["i"] == r["j"]) | shape.isin("4-4-4-4", "4-6-5", "4-6-4")
+            return F.when(usual & r["d"].rlike("^[2-6]"), 0).when(usual, 1).when(shape == "4-4-4-4-3", 2).otherwise(3)
+
+        def good(r: Column, first: Column) -> Column:
+            tiny = F.exists(own(r), lambda c: F.length(c) < 3)
+            return (~tiny | ((r["i"] == 0) & (r["j"] == first))) & (luhn_sum(r["d"]) % 10 == 0)
+
+        def runs(i: Column) -> Column:
+            each = F.transform(F.sequence(i, F.least(last, i + 18)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(g, i + 1, j - i + 1), "").alias("d")))
+            return F.filter(each, lambda r: F.length(r["d"]).between(13, 19))
+
+        # the longest run from the start ends at the last group that leaves 19 digits at most
+        first = _let(runs(F.lit(0)), lambda x: F.coalesce(F.array_max(F.transform(x, lambda r: r["j"])), F.lit(-1)))
+        fit = _let(first, lambda end: F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.filter(runs(i), lambda r: good(r, end)))))
+        return F.array_sort(
+            F.transform(fit, lambda r: _let(rank(r), lambda k: F.struct(k.alias("k"), F.when(k == 3, -F.length(r["d"])).otherwise(0).alias("n"), r["i"].alias("i"), r["j"].alias("j"), r["d"].alias("d"), F.length(F.array_join(F.slice(g, F.lit(1), r["i"]), "")).alias("at"))))
+        )
+
+    parts = F.struct(F.split(m, "[ -]").alias("g"), F.filter(F.split(F.regexp_replace(m, "[0-9]+", ""), ""), lambda c: c != "").alias("s"))
+    chosen = _let(_let(parts, ranked), lambda runs: F.aggregate(
+        runs, F.slice(runs, 1, 0), lambda kept, r: F.when(F.exists(kept, lambda k: (k["i"] <= r["j"]) & (r["i"] <= k["j"])), kept).otherwise(F.concat(kept, F.array(r)))
+    ))
+    return F.array_sort(F.transform(chosen, lambda r: F.struct(r["at"].alias("at"), r["d"].alias("d"))))
+
+
 def _card(m: Column, key: str, undo: bool) -> Column:
-    d = _digits(m)
-    body = _permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", undo)
-    check = F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("int")
-    return F.when(luhn_sum(d) % 10 == 0, _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
+    """All cards among the digit groups of ``m``. Where digits beside a pseudonym happen to make a card of the same or
+    a better rank with some of its groups, ``undo`` may take that one instead."""
+
+    def number(d: Column) -> Column:
+        body = _permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", undo)
+        return _let(body, lambda b: F.concat(b, F.pmod(F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("int").cast("string")))
+
+    def placed(runs: Column) -> Column:
+        return _let(_digits(m), lambda d: F.aggregate(
+            runs, d, lambda out, r: F.concat(F.substr(out, F.lit(1), r["at"]), number(r["d"]), F.substr(out, r["at"] + F.length(r["d"]) + 1, F.length(out)))
+        ))
+
+    return _let(_card_runs(m), lambda runs: F.when(F.size(runs) > 0, _refill(m, placed(runs))).otherwise(m))
 
 
 def _phone(m: Column, key: str, undo: bool) -> Column:
@@ -174,7 +231,7 @@ _MAKERS = {"email": _email, "iso_date": _date, "phone": _phone, "ssn": _ssn, "ip
 def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of one match; itself if it does not validate (Luhn's check, the calendar)."""
     out = m
-    for kind, pattern in reversed(PATTERNS.items()):
+    for kind, pattern in reversed((PATTERNS | {"card": r"[0-9](?:[ \-]?[0-9]){12,}+"}).items()):
         out = F.when(m.rlike(f"^(?:{pattern})$"), _MAKERS[kind](m, key, undo)).otherwise(out)
     return out
 

@@ -36,6 +36,23 @@ def test_pseudonyms_round_trip_keep_format_and_link(spark):
     assert P.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_cards_next_to_other_numbers(spark):
+    card, four, amex = "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [
+        card, f"{four} 12/27", f"pay {card} 99", f"no 7 {card}", f"{four} 123", f"{card}-123 x", f"1234 {four} 5678", f"{four} {four}", f"{four} 12th", f"12 {amex} 9",
+        f"{four} 2024-02-29", f"{four} 643-555-2043", f"{four} 10.0.0.1", "41111111 11111111 12", f"{card} " + "12 " * 2_000 + "end", "4111 1111 1111 1112 12/27",
+    ]
+    out = [r.text for r in P.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    new = out[0]
+    spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    want = [t.replace(card, new).replace(four, spaced) for t in texts[:9]]
+    assert out[:9] == want and new != card
+    assert amex not in out[9] and out[9][:3] + out[9][-2:] == "12  9"
+    for i, other in ((10, "2024-02-29"), (11, "643-555-2043"), (12, "10.0.0.1")):
+        assert out[i].startswith(spaced + " ") and other not in out[i]
+    assert out[13] == f"{new[:8]} {new[8:]} 12" and out[14] == texts[14].replace(card, new) and out[15].startswith("4111 1111 1111 1112 12")
+
+
 def test_feistel_is_a_permutation(spark):
     all_pairs = spark.range(7 * 5).select((F.col("id") / 5).cast("int").alias("a"), (F.col("id") % 5).cast("int").alias("b"))
     x = P.feistel(F.array("a", "b"), F.array(F.lit(7), F.lit(5)), "k", "t")

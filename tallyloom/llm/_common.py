@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted side is broadcast; beyond it the plain shuffle join is used.
 BROADCAST_ROWS = 200_000
+#: Bytes of texts, where a side has any, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 _FALLBACK: dict[str, str] = {}
 
 
@@ -23,43 +29,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one if all runs in one process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="tallyloom-")
         atexit.register(shutil.rmtree, _FALLBACK["dir"], ignore_errors=True)
     return _FALLBACK["dir"]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tallyloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of :func:`materialise` once all that reads it has itself been materialised."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tallyloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` once all that reads them has itself been materialised."""
+    for df in tables:
+        _delete(df.sparkSession, df._tallyloom_path)
+
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written here. Results that are not yet written lose what they read."""
+    _delete(spark, _folder(spark))
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python at most ``rows`` at a time: whole texts are long, and both sides hold a batch."""
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within this block texts go to Python at most ``rows`` at a time: whole texts are long, and both sides hold a batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which outlives its task, to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, size: int = 0) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows``, and the counted bytes of its texts, stay within bounds."""
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` stay within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def integral_id(docs: DataFrame, id_col: str) -> None:
+    """Raise where ids are no whole numbers."""
+    kind = id_type(docs, id_col)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids in {id_col} are {kind}, whole numbers are needed")
 
 
 def words_column(text: Column) -> Column:
@@ -111,7 +155,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 class WordIds(dict):
     """64-bit ids of words (bytes), kept while there are few enough of them."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm._common import materialise
+
 
 def snapshot_hashes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, place, h1, h2, n_turns): the running hash after each turn, places from 1."""
@@ -32,9 +34,11 @@ def collapse_snapshots(turns: DataFrame, conv: str = "conv_id", turn: str = "tur
     Kept: no longer conversation starts with all its turns, and among equal ones it has the smallest id.
     ``copy_of`` is the smallest id of an equal conversation, itself included. Turns go by number, equal
     numbers by content; repeated turn rows are turns of their own, null roles and texts equal each other only.
-    Rows with a null conversation id are left out. No rows give no rows.
+    Rows with a null conversation id are left out. No rows give no rows. Only the four columns are read, whatever
+    others are named. The turns of one conversation are hashed and rendered in one task, as they are in one row
+    of the result; a text or conversation of any length is whole.
     """
-    found = snapshot_hashes(turns, conv, turn, role, text)
+    found = materialise(snapshot_hashes(turns, conv, turn, role, text), "prefixes")
     last = found.where("place = n_turns").select(conv, "n_turns", "h1", "h2")
     inner = found.where("place < n_turns").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
     whole = last.groupBy("n_turns", "h1", "h2").agg(F.min(conv).alias("copy_of"))

@@ -2,7 +2,8 @@
 
 DataFrame functions only. Of each window of ``window`` words, ``window // 2`` consecutive words start at a
 multiple of the stride; so it is enough to look up every stride-th short run of a document among all
-short runs of the benchmark. What is found is compared word for word with the benchmark's windows.
+short runs of the benchmark. Documents with such a run are read again, and their windows around it are
+compared word for word with the benchmark's.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm._common import maybe_broadcast, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hashes (8 bytes each) of benchmark runs up to which they are broadcast.
+RUNS = 2_000_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -21,12 +24,9 @@ def normalised_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP), lambda w: w != "")
 
 
-def _run_hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + i) for i in range(k)))
-
-
-def _joined(words: Column, at: Column, k: int) -> Column:
-    return F.concat_ws(" ", *(F.get(words, at + i) for i in range(k)))
+def _run_hash(words: Column, at: Column, size: int, k: int) -> Column:
+    """Hash of ``size`` words from ``at`` on, for windows of ``k`` words."""
+    return F.xxhash64(F.lit(k), *(F.get(words, at + i) for i in range(size)))
 
 
 def _upto(first: int, last: Column, step: int = 1) -> Column:
@@ -34,6 +34,17 @@ def _upto(first: int, last: Column, step: int = 1) -> Column:
     return F.when(last >= first, F.sequence(F.lit(first), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+def _runs(words: Column, last: Column, step: int, size: int, k: int) -> Column:
+    """(k, at, h) of every ``step``-th run of ``size`` words up to the one at ``last``."""
+    return F.transform(_upto(0, last, step), lambda i: F.struct(F.lit(k).alias("k"), i.alias("at"), _run_hash(words, i, size, k).alias("h")))
+
+
+def _sampling(k: int, window: int) -> tuple[int, int]:
+    """(run, step): of each window of ``k`` words a run of so many words starts at a multiple of the step."""
+    run = max(1, window // 2) if k == window else k
+    return run, k - run + 1
+
+
 def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
     """(item_id, k, key): each window of an item; an item with fewer words, but not none, is one window."""
     words = bench.select(F.col(item_col).cast("string").alias("item_id"), normalised_words(F.col(text_col)).alias("w"))
@@ -53,36 +64,55 @@ def contaminated_spans(
 ) -> DataFrame:
     """(id, at, k, item_id): the words ``at .. at + k - 1`` of a document are a window of the item.
 
-    Distinct rows; documents with a null id are left out. An empty benchmark or table gives no rows.
+    Distinct rows; documents with a null id are left out, rows with the same id are one document. An empty
+    benchmark or table gives no rows. Ids may be of any type that can be grouped; other columns are not read.
     """
     keys = materialise(benchmark_windows(bench, item_col, bench_text, window), "windows")
-    n_keys = keys.count()
+    n_keys, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
     lengths = sorted(r.k for r in keys.select("k").distinct().collect())  # ``window`` of them at most
-    run = max(1, window // 2)
-    stride = window - run + 1
-    docs_w = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), normalised_words(F.col(text_col)).alias("w"))
-    found = None
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not lengths:
+        return named.select("id", F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit("").alias("item_id")).limit(0)
+    hits = _probed(named, keys, n_keys, lengths, window)
+    n_hits, places = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+    words = named.join(maybe_broadcast(hits, n_hits, size=16 * places), "id").select("id", "c", normalised_words(F.col("text")).alias("w"))
+
+    def starts(x: Column) -> Column:
+        """Windows around a found run, as start * window size limit + length."""
+        k, at = x["k"], x["at"]
+        back = F.lit(0)
+        for own in lengths:
+            back = F.when(k == own, own - _sampling(own, window)[0]).otherwise(back)
+        first, last = F.greatest(F.lit(0), at - back), F.least(at, F.size("w") - k)
+        codes = F.transform(F.sequence(first, last), lambda i: i.cast("long") * (window + 1) + k)
+        return F.when(last >= first, codes).otherwise(F.array().cast("array<bigint>"))
+
+    windows = F.transform(
+        F.array_distinct(F.flatten(F.transform("c", starts))),
+        lambda code: F.struct(F.floor(code / (window + 1)).cast("int").alias("at"), (code % (window + 1)).cast("int").alias("k")),
+    )
+    read = F.transform(windows, lambda x: F.struct(x["at"].alias("at"), x["k"].alias("k"), F.concat_ws(" ", F.slice("w", x["at"] + 1, x["k"])).alias("key")))
+    seen = words.select("id", F.explode(read).alias("x")).select("id", "x.at", "x.k", "x.key")
+    return seen.join(maybe_broadcast(keys, n_keys, size=size), ["k", "key"]).select("id", "at", "k", "item_id").distinct()
+
+
+def _probed(docs: DataFrame, keys: DataFrame, n_keys: int, lengths: list[int], window: int) -> DataFrame:
+    """(id, c): of each document with any, the places (k, at) of its sampled runs that are a benchmark's run too.
+
+    One scan for all lengths. Beyond the broadcast limit only ids, places and hashes are shuffled.
+    """
+    w, split = F.col("w"), F.split("key", " ")
+    probes, runs = [], F.array().cast("array<bigint>")
     for k in lengths:
-        own = keys.where(F.col("k") == k).select("item_id", "key")
-        short = k if k < window else run
-        step = 1 if k < window else stride
-        offsets = k - short  # a sampled run may start this far into a window
-        split = F.split("key", " ")
-        runs = own.select(F.explode(F.transform(_upto(0, F.lit(offsets)), lambda i: _run_hash(split, i, short))).alias("h")).distinct()
-        hashed = docs_w.where(F.size("w") >= k).select(
-            "id", "w", F.explode(F.transform(_upto(0, F.size("w") - short, step), lambda i: F.struct(i.alias("at"), _run_hash(F.col("w"), i, short).alias("h")))).alias("x")
-        )
-        hits = hashed.select("id", "w", "x.at", "x.h").join(maybe_broadcast(runs, n_keys * (offsets + 1)), "h", "left_semi")
-        first = F.greatest(F.lit(0), F.col("at") - offsets)
-        last = F.least(F.col("at"), F.size("w") - k)
-        windows = hits.where(last >= first).select(
-            "id", F.explode(F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("at"), _joined(F.col("w"), i, k).alias("key")))).alias("x")
-        )
-        part = windows.select("id", "x.at", "x.key").join(maybe_broadcast(own, n_keys), "key").select("id", "at", F.lit(k).alias("k"), "item_id")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "id long, at int, k int, item_id string")
-    return found.distinct()
+        run, step = _sampling(k, window)
+
+        none = F.array().cast("array<struct<k:int,at:int,h:bigint>>")
+        probes.append(F.when(F.size(w) >= k, _runs(w, F.size(w) - run, step, run, k)).otherwise(none))
+        runs = F.when(F.col("k") == k, _runs(split, F.lit(k - run), 1, run, k)["h"]).otherwise(runs)
+    wanted = keys.select(F.explode(runs).alias("h")).distinct()
+    found = docs.select("id", normalised_words(F.col("text")).alias("w")).select("id", F.explode(F.concat(*probes)).alias("x")).select("id", "x.k", "x.at", "x.h")
+    found = found.join(maybe_broadcast(wanted, n_keys * window, RUNS), "h", "left_semi")
+    return materialise(found.groupBy("id").agg(F.collect_set(F.struct("k", "at")).alias("c")), "hits")
 
 
 def decontaminate(
@@ -137,18 +167,26 @@ def _counted(text: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; rows with a null id stay."""
+    """``docs`` without the documents that hold a benchmark window.
+
+    Null, empty and blank texts and rows with a null id stay. Repeated rows go or stay together; columns of any
+    name are kept as they are; no rows give no rows, an empty benchmark drops nothing.
+    """
     gone = materialise(contaminated_spans(docs, bench, id_col, **settings).select(F.col("id").alias(id_col)).distinct(), "gone")
     return docs.join(maybe_broadcast(gone, gone.count()), id_col, "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: object) -> DataFrame:
-    """``docs`` with hit documents' texts reduced to their normalised words outside all hit spans."""
+    """``docs`` with hit documents' texts reduced to their normalised words outside all hit spans.
+
+    All other texts stay as they are: null, empty and blank ones, those without a hit, those of a null id.
+    Repeated rows are treated alike, no rows give no rows. All columns stay, whatever their names.
+    """
     spans = contaminated_spans(docs, bench, id_col, text_col, **settings)
-    places = spans.select("id", F.explode(F.sequence("at", F.expr("at + k - 1"))).alias("p")).groupBy("id").agg(F.collect_set("p").alias("_hit")).withColumnRenamed("id", "_id")
-    joined = docs.join(places, docs[id_col] == places["_id"], "left")
-    words = normalised_words(F.col(text_col))
-    left = F.array_join(
-        F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.array_contains("_hit", x["i"])), lambda x: x["w"]), " "
-    )
-    return joined.withColumn(text_col, F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(left)).drop("_hit", "_id")
+    places = spans.groupBy("id").agg(F.collect_set(F.struct("at", F.expr("at + k").alias("upto"))).alias("x"))
+    joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(id_col).alias("i")).join(places, F.col("i") == places["id"], "left")
+    words = F.transform(normalised_words(F.col("d")[text_col]), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    out = F.filter(words, lambda w: ~F.exists("x", lambda s: (s["at"] <= w["i"]) & (w["i"] < s["upto"])))
+    left = F.array_join(F.transform(out, lambda w: w["w"]), " ")
+    new = F.when(F.col("x").isNull(), F.col("d")[text_col]).otherwise(left)
+    return joined.select(*(new.alias(c) if c == text_col else F.col("d")[c].alias(c) for c in docs.columns))

@@ -15,9 +15,9 @@ How a pair of documents meets, without pairing up all documents:
    components found so far; T-occurrence search (heap-merge of short lists, binary probes into long ones)
    keeps the components that hold at least T of the set's shingles, and exact intersection with their
    members decides. A set is linked once to a component, so a group of copies costs one search each.
-5. A cluster with more shingles than fit one task is dealt into blocks: blocks are searched alone, then
-   the smallest members of what they found, and only where that leaves several components, the pairs of
-   blocks. No link between different components is lost.
+5. A cluster with more shingles than one task should have is dealt into blocks: blocks are searched alone,
+   then the smallest members of what they found. Where that leaves several components, the sets outside the
+   largest one are searched in all blocks of their cluster. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -25,17 +25,18 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import WordIds, connected_components, digest, forget, materialise, maybe_broadcast, shingles, text_batches
+from tallyloom.llm._common import WordIds, connected_components, digest, forget, give_back, integral_id, materialise, maybe_broadcast, shingles, text_batches
 
 #: Shingles of one search task; larger clusters are dealt into blocks.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 250_000
 #: Shingles that two sets must share in prefixes that are longer by one less.
 SUPPORT = 4
 #: Sets with a shingle in a cell of sizes up to which their pairs are counted; more form a star at once.
@@ -176,6 +177,8 @@ def _local_components(frames: Iterator[pd.DataFrame], percent: int, keys: list[s
     if search:
         out.extend(search.results())
     yield pd.DataFrame(out, columns=["rep", "low"])
+    del search, out
+    give_back()
 
 
 def _search(sets: DataFrame, percent: int, keys: list[str]) -> DataFrame:
@@ -210,22 +213,15 @@ def _cell_share(cell: int, percent: int) -> float:
     return min(1.0, (1.2 * (n * (100 - percent) / 100 + 1) + 10) / n)
 
 
-def _slices(frames: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
-    """Small frames, so that the sets of few texts are in memory at once."""
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
-
-
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(id, n, fp, size, cell, n_head, head): set size, fingerprint of the set, size class, its cells, and the
     smallest hashes: so many of them may be in the set's prefix in each cell."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for frame in _slices(frames):
+        for batch in batches:
             rows = []
-            for text in frame["text"]:
+            for text in batch.column("text").to_pylist():
                 h = shingles(text, k, ids)
                 n = len(h)
                 if not n:
@@ -237,21 +233,26 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
                     below = n if share == 1 else int(np.searchsorted(h, np.uint64(int(share * (2**64 - 2**11))), "right"))
                     cut.append(max(least, below))
                 rows.append((n, digest(h.tobytes()), size, cells, cut, h[: max(cut)].view(np.int64).copy()))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pd.DataFrame(dict(zip(("id", "n", "fp", "size", "cell", "n_head", "head"), (frame["id"], *columns))))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n", "fp", "size", "cell", "n_head", "head"])
+        ids.clear()
+        give_back()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "id long, n long, fp binary, size int, cell array<int>, n_head array<int>, head array<long>")
+    return picked.mapInArrow(run, "id long, n long, fp binary, size int, cell array<int>, n_head array<int>, head array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
-        for frame in _slices(frames):
+        for frame in frames:
             sets = [shingles(t, k, ids) for t in frame["text"]]
             yield pd.DataFrame(
                 {"rep": frame["id"], "n": [len(s) for s in sets], "tokens": [np.sort(s.view(np.int64)) for s in sets]}
             )
+        ids.clear()
+        give_back()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, "rep long, n long, tokens array<long>")
@@ -270,11 +271,13 @@ def ngram_jaccard_components(
     Words are runs without ASCII white space, A-Z lower-cased. Two documents link when
     ``100 * intersection >= percent * union`` of their sets of ``k``-word shingles; a text with fewer words
     is one shingle. Null, empty or blank texts have no shingles, link with nothing and are their own
-    component. Repeated rows come back as often as given; rows with a null id are linked like others but
-    have a null component unless a linked row has an id. No rows give no rows; other columns are not read.
+    component. Repeated rows come back as often as given. A row with a null id has the component of a text
+    with the same shingles and an id, else none; it makes no links of its own. Ids are whole numbers, others
+    raise. No rows give no rows; other columns are not read, whatever their names.
     """
-    text_batches(docs.sparkSession)
-    prints = materialise(_fingerprints(docs, id_col, text_col, k, percent), "fp")
+    integral_id(docs, id_col)
+    with text_batches(docs.sparkSession):
+        prints = materialise(_fingerprints(docs, id_col, text_col, k, percent), "fp")
     named = prints.where("fp is not null and id is not null")
     classes = materialise(named.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     copies = materialise(named.select("id", "fp").join(classes, "fp").where("id <> rep").select("id"), "copies")
@@ -315,10 +318,20 @@ def ngram_jaccard_components(
     clusters = materialise(connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
     forget(placed)
 
-    active = maybe_broadcast(clusters.select(F.col("rep").alias(id_col)), clusters.count(), BROADCAST_IDS)
-    sets = _sets(docs.join(active, id_col, "left_semi"), id_col, text_col, k).join(clusters, "rep").where("n > 0")
-    links = _cluster_links(sets, percent, block_tokens)
+    sizes = alone.select(F.col("id").alias("rep"), "n").distinct().join(clusters, "rep").groupBy("cluster").agg(F.ceil(F.sum("n") / block_tokens).alias("blocks"))
+    dealt = materialise(
+        clusters.join(sizes, "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")), "dealt"
+    )
+
+    def sets_of(which: DataFrame) -> DataFrame:
+        """Sets of the classes in ``which``, with their cluster and block."""
+        active = maybe_broadcast(which.select(F.col("rep").alias(id_col)), which.count(), BROADCAST_IDS)
+        return _sets(docs.join(active, id_col, "left_semi"), id_col, text_col, k).join(which, "rep").where("n > 0")
+
+    with text_batches(docs.sparkSession):
+        links = _cluster_links(dealt, sets_of, percent, block_tokens)
     components = connected_components(links)
+    forget(clusters, dealt, copies, links)
     merged = (
         classes.join(components, classes["rep"] == components["node"], "left")
         .select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -328,39 +341,41 @@ def ngram_jaccard_components(
     )
 
 
-def _cluster_links(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
-    """Links (a, b) that connect exactly what the sets' similar pairs connect."""
-    sizes = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / block_tokens).alias("blocks"))
-    blocks = materialise(sizes.where("blocks > 1"), "blocks")
-    split = blocks.count()
-    if not split:
-        return materialise(_search(sets.withColumn("block", F.lit(0)), percent, ["cluster", "block"]), "links")
-    sets = materialise(
-        sets.join(maybe_broadcast(blocks, split), "cluster", "left").select(
-            "cluster", "rep", "n", "tokens", "blocks", F.coalesce(F.expr("pmod(xxhash64(rep), blocks)"), F.lit(0)).cast("int").alias("block")
-        ),
-        "sets",
-    )
-    links = materialise(_search(sets, percent, ["cluster", "block"]), "links")
+def _cluster_links(dealt: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block_tokens: int) -> DataFrame:
+    """Links (a, b) that connect exactly what the sets' similar pairs connect; ``dealt`` has (rep, cluster, blocks, block).
+
+    Of a cluster with N shingles in B blocks, S of them outside its largest component after two searches, the
+    third search reads N + S * B shingles, so it is the strangers in a large cluster that cost.
+    """
+    keys = ["cluster", "block"]
+    first = materialise(_search(sets_of(dealt), percent, keys), "links")
+    if not dealt.where("blocks > 1").limit(1).count():
+        return first
+    large = materialise(sets_of(dealt.where("blocks > 1")), "sets")
     # the smallest members of what the blocks hold, together
-    hubs = sets.where("blocks > 1").join(links.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
+    hubs = large.join(first.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
     fits = hubs.groupBy("cluster").agg(F.sum("n").alias("all")).where(F.col("all") <= block_tokens)
-    more = _search(hubs.join(fits, "cluster", "left_semi").withColumn("block", F.lit(0)), percent, ["cluster", "block"])
-    links = materialise(links.unionByName(more), "links")
-    known = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("known"))
-    rest = sets.where("blocks > 1").join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
-    several = rest.groupBy("cluster").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y")
-    pairs = (
-        rest.join(several.select("cluster"), "cluster", "left_semi")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        .where("other <> block")
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    )
-    return materialise(links.unionByName(_search(pairs, percent, ["cluster", "low", "high"])), "links")
+    second = materialise(first.unionByName(_search(hubs.join(fits, "cluster", "left_semi").withColumn("block", F.lit(0)), percent, keys)), "links")
+    found = connected_components(second)
+    known = found.select(F.col("node").alias("rep"), F.col("component").alias("known"))
+    rest = large.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
+    per = rest.groupBy("cluster", "known").agg(F.sum("n").alias("size"))
+    several = per.groupBy("cluster").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = rest.join(several.select("cluster", "main"), "cluster")
+    own = rest.where("known = main")
+    strangers = rest.where("known <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    names = ["cluster", "block", "known", "n", "rep", "tokens"]
+    third = materialise(second.unionByName(_search(own.select(*names).unionByName(strangers.select(*names)), percent, keys)), "links")
+    forget(large, first, second)
+    return third
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFrame:
-    """``docs`` without documents whose component has a smaller id; rows with a null id stay."""
+    """``docs`` without documents whose component has a smaller id.
+
+    Of rows with the smallest id all stay, rows with a null id too. Null, empty and blank texts are near no
+    other text and stay. Columns of any name are kept as they are; no rows give no rows.
+    """
     found = ngram_jaccard_components(docs, id_col, **settings)
     gone = materialise(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "gone")
     return docs.join(maybe_broadcast(gone, gone.count(), BROADCAST_IDS), id_col, "left_anti")

@@ -197,20 +197,22 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     return F.when(day.isNull() | (F.date_format(day, "yyyy-MM-dd") != m), m).otherwise(F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), walked), "yyyy-MM-dd"))
 
 
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _email(m: Column, key: str, undo: bool) -> Column:
-    """The local part's letters and digits permuted, each within its class; the domain stays."""
+    """The local part's letters and digits permuted, each within its class; cases and the domain stay.
+
+    Addresses that differ in case only have pseudonyms that differ in case only, so they stay linked."""
     chars = F.filter(F.split(F.substring_index(m, "@", 1), ""), lambda c: c != "")
 
     def place(c: Column) -> Column:
-        return F.greatest(*(F.instr(F.lit(own), c) for own in _CLASSES))
+        return F.greatest(*(F.instr(F.lit(own), F.lower(c)) for own in _CLASSES))
 
     def size(c: Column) -> Column:
         out = F.lit(1)
         for own in _CLASSES:
-            out = F.when(F.instr(F.lit(own), c) > 0, len(own)).otherwise(out)
+            out = F.when(F.instr(F.lit(own), F.lower(c)) > 0, len(own)).otherwise(out)
         return out
 
     values = F.transform(chars, lambda c: F.greatest(place(c) - 1, F.lit(0)).cast("int"))
@@ -219,7 +221,8 @@ def _email(m: Column, key: str, undo: bool) -> Column:
     def char(c: Column, v: Column) -> Column:
         out = c
         for own in _CLASSES:
-            out = F.when(F.instr(F.lit(own), c) > 0, F.substr(F.lit(own), v + 1, F.lit(1))).otherwise(out)
+            new = F.substr(F.lit(own), v + 1, F.lit(1))
+            out = F.when(F.instr(F.lit(own), F.lower(c)) > 0, F.when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)).otherwise(out)
         return out
 
     return F.concat(F.array_join(F.zip_with(chars, moved, char), ""), F.substr(m, F.instr(m, "@"), F.length(m)))
@@ -241,7 +244,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     Null texts stay null with 0 changes, empty ones empty. Every occurrence in the whole text is replaced.
     ``undo`` with the same key gives the first texts back. Repeated rows are treated alike; no rows give no
-    rows. An input column named ``n_changed`` is replaced.
+    rows. An input column named ``n_changed`` is replaced, others stay whatever their names. The domain of a mail
+    address, passwords and access keys stay in clear.
     """
     base = docs.drop(*(c for c in ("n_changed",) if c in docs.columns and c not in (id_col, text_col)))
     text = F.col(text_col)

@@ -38,7 +38,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="tallyloom-demo-key")
+    """The key is the session's ``spark.tallyloom.pii.key``; where that is unset, one for demonstrations."""
+    key = spark.conf.get("spark.tallyloom.pii.key", "tallyloom-demo-key")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
 
 
 def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 A logistic classifier on text statistics gives each document its own evidence. Grouped sums of that evidence
 by host, and by host and path, are shrunk: a host's mean toward the global mean, a path's toward its host's,
-each by a strength that the spread between groups tells (method of moments). A document's log-odds are its
-own plus what its path's posterior, without the document itself, lies above or below the global mean.
+each by a strength that the spread between groups tells (method of moments; that of paths is the spread
+within their hosts). A document's log-odds are its own plus what its path's posterior, without the document
+itself, lies above or below the global mean.
+
+Hosts and paths are any two columns, the second nested in the first: of a table with URLs
+``url_filter.url_parts`` gives both; where documents carry no URL, a source and its languages stand for them.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import WordIds, materialise, maybe_broadcast, text_batches
+from tallyloom.llm._common import WordIds, forget, give_back, id_type, materialise, maybe_broadcast, text_batches
 from tallyloom.llm.quality_rules import text_statistics
 
 N_FEATURES = 9
@@ -37,26 +41,34 @@ def text_vector(text: str | None, ids: WordIds) -> list[float]:
 
 
 def _vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "x": [text_vector(t, ids) for t in frame["t"]]})
+        for batch in batches:
+            x = pa.array([text_vector(t, ids) for t in batch.column("t").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), x], ["id", "x"])
+        ids.clear()
+        give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, x array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {id_type(docs, id_col)}, x array<double>")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> tuple:
-    """(mean, scale, weights, bias) fitted on at most ``max_rows`` labelled texts, taken by a hash of the id.
+    """(mean, scale, weights, bias) fitted on at most ``max_rows`` labelled documents, taken by a hash of the id.
 
-    Null ids and labels are left out. Without both classes the weights are zero and the bias is the smoothed rate's.
+    Null ids and labels are left out; an id with several rows is one document, with the largest label. Without
+    both classes the weights are zero and the bias is the smoothed rate's.
     """
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
-    known = docs.select(id_col).distinct().join(labels, id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(3)), id_col).limit(max_rows)
-    ids = {r[0]: r[1] for r in known.collect()}  # max_rows at most
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in ids], f"`{id_col}` long")
-    got = _vectors(docs.join(F.broadcast(chosen), id_col), id_col, text_col).toArrow().sort_by("id")
+    chosen = docs.select(id_col).distinct().join(labels, id_col).orderBy(F.xxhash64(F.col(id_col), F.lit(3)), id_col).limit(max_rows)
+    chosen = materialise(chosen, "labelled")
+    known = F.broadcast(chosen.withColumnRenamed(id_col, "id"))  # max_rows at most
+    with text_batches(docs.sparkSession):
+        # one row for each id, however often it is repeated
+        per = _vectors(docs.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi"), id_col, text_col).groupBy("id").agg(F.min("x").alias("x"))
+        got = per.join(known, "id").toArrow().sort_by("id")
+    forget(chosen)
     x = np.array([np.asarray(v) for v in got.column("x").to_pylist()], float).reshape(-1, N_FEATURES)
-    y = np.array([ids[i] for i in got.column("id").to_pylist()], float)
+    y = np.array(got.column("y").to_pylist(), float)
     rate = (y.sum() + 1) / (len(y) + 2)
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     w, b = np.zeros(2 * N_FEATURES), float(np.log(rate / (1 - rate)))
@@ -84,16 +96,27 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, floor: float = 1.0, cap: float = 1e4) -> tuple[float, float]:
-    """(global mean, prior strength in documents) from groups' (n, s, q): counts, sums and sums of squares."""
-    n, s, q, m, means = groups.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.count("*"), F.sum(F.col("s") * F.col("s") / F.col("n"))).first()
+def _bounded(within: float, between: float, floor: float = 1.0, cap: float = 1e4) -> float:
+    """Documents that a prior counts for: the variance within groups over the one between them, within bounds."""
+    return float(min(max(within / between if between > 1e-12 else cap, floor), cap))
+
+
+def strengths(paths: DataFrame, hosts: DataFrame) -> tuple[float, float, float]:
+    """(global mean, host strength, path strength) from (host, n, s, q) of paths and of hosts: counts, sums, sums of squares.
+
+    Moments of a nested design: paths are compared within their host only.
+    """
+    n, s, q, m, means, squares = hosts.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.count("*"), F.sum(F.col("s") * F.col("s") / F.col("n")), F.sum(F.col("n") * F.col("n"))).first()
     if not n:
-        return 0.5, cap
+        return 0.5, 1e4, 1e4
     mean = s / n
     within = max((q - means) / max(n - m, 1), 1e-9)
-    n0 = max(n - (groups.agg(F.sum(F.col("n") * F.col("n"))).first()[0] / n), 1e-9)
-    between = (means - n * mean * mean - (m - 1) * within) / n0
-    return mean, float(min(max(within / between if between > 1e-12 else cap, floor), cap))
+    k_host = _bounded(within, (means - n * mean * mean - (m - 1) * within) / max(n - squares / n, 1e-9))
+    per = paths.groupBy("host").agg(F.count("*").alias("p"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("means"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    count, path_means, spread = per.agg(F.sum("p"), F.sum("means"), F.sum(F.col("squares") / F.col("n"))).first()
+    inside = max((q - path_means) / max(n - count, 1), 1e-9)
+    between = (path_means - means - (count - m) * inside) / max(n - spread, 1e-9) if count > m else 0.0
+    return mean, k_host, _bounded(inside, between)
 
 
 def site_quality(
@@ -103,28 +126,31 @@ def site_quality(
 
     Null hosts and paths are groups like others. Null, empty and blank texts have no statistics: their own
     evidence is the classifier's on zeros, and they count in their groups. Rows come back as often as
-    given; no rows give no rows.
+    given and count as often; documents with equal scores are kept or go alike; no rows give no rows. Only the id,
+    the text, the host and the path are read, whatever other columns are named.
     """
-    text_batches(docs.sparkSession)
     mean, scale, w, b = model
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for frame in frames:
-            x = np.array([text_vector(t, ids) for t in frame["t"]], float).reshape(-1, N_FEATURES)
+        for batch in batches:
+            x = np.array([text_vector(t, ids) for t in batch.column("t").to_pylist()], float).reshape(-1, N_FEATURES)
             z = _expand((x - np.array(mean)) / np.array(scale)) @ np.array(w) + b
-            yield pd.DataFrame({"id": frame["id"], "host": frame["host"], "path": frame["path"], "p": 1 / (1 + np.exp(-np.clip(z, -15, 15)))})
+            p = pa.array(1 / (1 + np.exp(-np.clip(z, -15, 15))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path")), p], ["id", "host", "path", "p"])
+        ids.clear()
+        give_back()
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("t"))
+    picked = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("t"))
     # rounding makes sums the same in whatever order they are taken
-    scored = picked.mapInPandas(run, "id long, host string, path string, p double").withColumn("p", F.col("p").cast("decimal(10,9)").cast("double"))
-    scored = materialise(scored, "scores")
+    scored = picked.mapInArrow(run, f"id {id_type(docs, id_col)}, host string, path string, p double").withColumn("p", F.col("p").cast("decimal(10,9)").cast("double"))
+    with text_batches(docs.sparkSession):
+        scored = materialise(scored, "scores")
     p = F.col("p")
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p.cast("decimal(10,9)")).cast("double").alias("s"), F.sum((p * p).cast("decimal(12,11)")).cast("double").alias("q"))
     paths = materialise(paths, "paths")
     hosts = materialise(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "hosts")
-    base, k_host = _strength(hosts)
-    _, k_path = _strength(paths)
+    base, k_host, k_path = strengths(paths, hosts)
     tops = hosts.select(F.col("host").alias("_h"), F.col("n").alias("hn"), F.col("s").alias("hs"))
     both = paths.join(maybe_broadcast(tops, hosts.count()), paths["host"].eqNullSafe(tops["_h"])).select(
         F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "s", "hn", "hs"

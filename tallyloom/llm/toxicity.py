@@ -8,16 +8,18 @@ reversed, so the classifier cannot profit from fitting the unlabelled texts as a
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import text_batches
+from tallyloom.llm._common import forget, give_back, id_type, materialise, text_batches
 
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-/\\"
 #: Features are hashed into so many buckets.
@@ -47,7 +49,7 @@ def text_features(text: str | None, cache: dict[str, list[int]]) -> np.ndarray:
     for w in set((text or "").lower().split()):
         own = cache.get(w)
         if own is None:
-            if len(cache) >= 200_000:
+            if len(cache) >= 100_000:
                 cache.clear()
             own = cache[w] = word_features(w)
         out.update(own)
@@ -62,6 +64,19 @@ def _dense(rows: list[np.ndarray], place: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def risk_gradient(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float, beta: float = 0.0, decay: float = 0.0) -> tuple[np.ndarray, float]:
+    """Gradient of the non-negative risk by weights and bias, and the risk's bracket, with the logistic loss."""
+    fp, fu = xp @ w + b, xu @ w + b
+    sp, su = 1 / (1 + np.exp(-np.clip(fp, -30, 30))), 1 / (1 + np.exp(-np.clip(fu, -30, 30)))
+    negative = float(np.mean(np.logaddexp(0, fu)) - prior * np.mean(np.logaddexp(0, fp)))
+    gp, gu = np.zeros_like(sp), su / len(su)
+    if negative >= -beta:
+        gp = prior * (sp - 1) / len(sp) - prior * sp / len(sp)
+    else:  # only the correction, the other way
+        gp, gu = prior * sp / len(sp), -gu
+    return np.concatenate([gp @ xp + gu @ xu + decay * w, [gp.sum() + gu.sum()]]), negative
+
+
 def fit_nnpu(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
@@ -92,15 +107,7 @@ def fit_nnpu(
     w, b = np.zeros(len(chosen), np.float32), np.float32(bias)
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, epochs + 1):
-        fp, fu = xp @ w + b, xu @ w + b
-        sp, su = 1 / (1 + np.exp(-np.clip(fp, -30, 30))), 1 / (1 + np.exp(-np.clip(fu, -30, 30)))
-        negative = float(np.mean(np.logaddexp(0, fu)) - prior * np.mean(np.logaddexp(0, fp)))
-        gp, gu = np.zeros_like(sp), su / len(su)
-        if negative >= -beta:
-            gp = prior * (sp - 1) / len(sp) - prior * sp / len(sp)
-        else:  # only the correction, the other way
-            gp, gu = prior * sp / len(sp), -gu
-        grad = np.concatenate([gp @ xp + gu @ xu + decay * w, [gp.sum() + gu.sum()]])
+        grad, _ = risk_gradient(xp, xu, w, b, prior, beta, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         # smaller and smaller steps, so that reversed gradients near the end do not throw the result about
         move = rate * (1 - (step - 1) / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -109,16 +116,39 @@ def fit_nnpu(
     return NNPUModel(weights, float(b))
 
 
+def margins(rows: list[np.ndarray], model: NNPUModel) -> np.ndarray:
+    return np.array([model.bias + float(model.weights[r].sum()) for r in rows])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled texts, from both kinds' scores by a model that saw neither.
+
+    Above any threshold the unlabelled hold at least that share of what the positives hold; the threshold with the
+    smallest ratio, its sampling error included, has fewest negatives above it, and its ratio is the estimate.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cuts = np.unique(p)
+    over_p, over_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    error = math.sqrt(math.log(4 / confidence) / 2) * (1 / math.sqrt(len(u)) + 1 / math.sqrt(len(p)))
+    best = int(np.argmin((over_u + error) / over_p))
+    return float(over_u[best] / over_p[best])
+
+
 def _collect_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Feature lists of the documents named by the bounded table ``ids``."""
+    """Feature lists of the documents named by the bounded table ``ids``, one for each id however often it is repeated."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "f": [text_features(t, cache) for t in frame["t"]]})
-
-    picked = docs.join(F.broadcast(ids), id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    got = picked.mapInPandas(run, "id long, f array<int>").toArrow().sort_by("id")
+        for batch in batches:
+            f = pa.array([np.sort(text_features(t, cache)) for t in batch.column("t").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), f], ["id", "f"])
+        cache.clear()
+        give_back()
+
+    picked = docs.join(F.broadcast(ids), id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    with text_batches(docs.sparkSession):
+        per = picked.mapInArrow(run, f"id {id_type(docs, id_col)}, f array<int>").groupBy("id").agg(F.min("f").alias("f"))
+        got = per.toArrow().sort_by("id")
     return [np.asarray(x, np.int32) for x in got.column("f").to_numpy()]
 
 
@@ -134,61 +164,64 @@ def train_toxicity(
 ) -> NNPUModel:
     """Fit on at most ``max_positive`` texts labelled 1 and ``max_unlabelled`` texts of any label.
 
-    Both samples go by a hash of the id. ``prior`` is the share of toxic texts; if not given, that among
-    the labelled rows. ``docs`` and ``labels`` hold training rows only; null ids and labels are left out.
+    Both samples go by a hash of the id; an id with several rows is one document. Labels of 0 are not used.
+    ``prior`` is the share of toxic texts; if not given, one half of both samples trains a first model, whose
+    scores of the other half tell it (:func:`estimate_prior`). ``docs`` and ``labels`` hold training rows only;
+    null ids and labels are left out, null and empty texts have no features. Without texts labelled 1, or no rows
+    at all, the score is the prior everywhere. Other columns are not read, whatever their names.
     """
-    text_batches(docs.sparkSession)
-    labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    if prior is None:
-        prior = labels.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
+    positive = labels.where(F.col(id_col).isNotNull() & (F.col(label_col) == 1)).select(id_col).distinct()
 
     def sample(ids: DataFrame, seed: int, n: int) -> DataFrame:
-        return ids.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+        return materialise(ids.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n), "sample")
 
-    known = docs.where(F.col(id_col).isNotNull()).select(id_col)
-    p_ids = sample(labels.where("y = 1").select(id_col).join(known.distinct(), id_col), 1, max_positive)
-    p = _collect_features(docs, p_ids, id_col, text_col)
-    u = _collect_features(docs, sample(known, 2, max_unlabelled).distinct(), id_col, text_col)
+    known = docs.where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    p_ids, u_ids = sample(positive.join(known, id_col), 1, max_positive), sample(known, 2, max_unlabelled)
+    p, u = (_collect_features(docs, ids, id_col, text_col) for ids in (p_ids, u_ids))
+    forget(p_ids, u_ids)
+    if prior is None:
+        prior = len(p) / max(1, len(p) + len(u))
+        if len(p) > 1 and len(u) > 1:
+            first = fit_nnpu(p[::2], u[::2], 0.2)
+            prior = estimate_prior(margins(p[1::2], first), margins(u[1::2], first))
     return fit_nnpu(p, u, prior)
 
 
 def score_toxicity(docs: DataFrame, model: NNPUModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more).
 
-    Whole texts are read; only the text decides. Null, empty and blank texts get the score of a text
-    without features. Repeated rows score alike, no rows give no rows. Input columns named ``score`` or
-    ``predicted`` are replaced.
+    Whole texts are read; only the text decides, and only it goes to Python. Null, empty and blank texts get the
+    score of a text without features. Repeated rows score alike, no rows give no rows. Input columns named
+    ``score`` or ``predicted`` are replaced.
     """
-    text_batches(docs.sparkSession)
     used = np.nonzero(model.weights)[0]
     table = dict(zip(used.tolist(), model.weights[used].astype(float).tolist()))
     shared = docs.sparkSession.sparkContext.broadcast((table, model.bias))
     base = docs.drop(*(c for c in ("score", "predicted") if c in docs.columns and c not in (id_col, text_col)))
-    columns = [*base.columns, "score", "predicted"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value
         cache: dict[str, tuple[int, ...]] = {}
-        for frame in frames:
+        for texts in series:
             scores = []
-            for text in frame[text_col]:
+            for text in texts:
                 seen: set[int] = set()
                 for w in set((text or "").lower().split()):
                     own = cache.get(w)
                     if own is None:
-                        if len(cache) >= 200_000:
+                        if len(cache) >= 100_000:
                             cache.clear()
                         own = cache[w] = tuple(x for x in word_features(w) if x in weights)
                     if own:
                         seen.update(own)
                 f = bias + sum(weights[x] for x in sorted(seen))
-                scores.append(1 / (1 + np.exp(-min(max(f, -30), 30))))
-            frame["score"] = np.array(scores, float)
-            frame["predicted"] = (frame["score"] >= 0.5).astype("int32")
-            yield frame[columns]
+                scores.append(1 / (1 + math.exp(-min(max(f, -30), 30))))
+            yield pd.Series(scores, dtype="float64")
+        cache.clear()
+        give_back()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInPandas(run, f"{fields}, score double, predicted int")
+    return base.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -197,7 +230,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: object) -> DataFrame:
-    """``docs`` without texts predicted toxic by a model trained on all of ``labels``."""
+    """``docs`` without texts predicted toxic by a model trained on all of ``labels``.
+
+    Null, empty and blank texts are not toxic by themselves: they have the score of a text without features.
+    Repeated rows stay or go together, rows with a null id go by their text; no rows give no rows. All columns
+    stay as they are, whatever their names.
+    """
     model = train_toxicity(docs, labels, id_col, text_col, **settings)
-    scored = score_toxicity(docs.withColumns({"_c": F.lit(0)}), model, id_col, text_col)
-    return scored.where("predicted = 0").select(*docs.columns)
+    named = docs.select(F.col(text_col), F.col(id_col).alias("_i"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"))
+    scored = score_toxicity(named, model, "_i", text_col).where("predicted = 0")
+    return scored.select(*(F.col("_d")[c].alias(c) for c in docs.columns))

@@ -1,8 +1,9 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for other URLs.
 
-DataFrame functions only, training included: the bounded sample's features are binned once; each level of
-each tree is one grouped sum of gradients by node, feature and bin, of which a table of fixed size (nodes
-times features times bins) comes back. A trained model is an expression of CASE WHENs over the features.
+DataFrame functions only, training included: the bounded sample's features are binned once, and rows with
+equal bins become one row with their counts; each level of each tree is one grouped sum of gradients by node,
+feature and bin, of which a table of fixed size (nodes times features times bins) comes back. A fifth of the
+sample is held out and ends the training. A trained model is an expression of CASE WHENs over the features.
 """
 
 from __future__ import annotations
@@ -13,9 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import materialise
+from tallyloom.llm._common import forget, materialise
 
-FEATURES = ("url_chars", "host_chars", "depth", "digit_ratio", "entropy", "n_params", "hyphens", "suffix_rate")
+FEATURES = (
+    "url_chars", "host_chars", "depth", "digit_ratio", "entropy", "n_params", "hyphens",
+    "host_labels", "path_chars", "first_chars", "last_chars", "digit_run", "path_params", "suffix_rate",
+)
+#: A suffix's rate counts the overall one as so many URLs more.
+SMOOTH = 10
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -67,17 +73,24 @@ def lexical_features(pages: DataFrame, url_col: str) -> DataFrame:
             "entropy": F.round(_entropy(url), 6),
             "n_params": F.when(F.col("_query") == "", 0.0).otherwise(F.size(F.split("_query", "&")).cast("double")),
             "hyphens": F.length(F.regexp_replace("host", "[^-]", "")).cast("double"),
+            "host_labels": F.size(F.split("host", r"\.")).cast("double"),
+            "path_chars": F.length("path").cast("double"),
+            "first_chars": F.length(F.regexp_extract("path", "^/+([^/]*)", 1)).cast("double"),
+            "last_chars": F.length(F.regexp_extract("path", "([^/]*)/*$", 1)).cast("double"),
+            "digit_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("path", F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x))), F.lit(0)).cast("double"),
+            "path_params": F.length(F.regexp_replace("path", "[^;=]", "")).cast("double"),
         }
     ).drop("_query")
 
 
 @dataclass
 class UrlModel:
-    """Trees as nested (feature, threshold, left, right) with log-odds at the leaves; rates of common suffixes."""
+    """Trees as nested (feature, threshold, left, right) with log-odds at the leaves; block rates of the labelled suffixes."""
 
     trees: list
     base: float
     suffix_rates: dict[str, float]
+    held_out_loss: list[float]
 
     def margin(self) -> Column:
         def value(node: object) -> Column:
@@ -89,10 +102,69 @@ class UrlModel:
         return sum((value(t) for t in self.trees), F.lit(self.base))
 
     def with_suffix_rate(self, df: DataFrame) -> DataFrame:
-        rate = F.lit(0.0)  # a suffix without labelled URLs speaks for no block
-        for name, r in self.suffix_rates.items():
-            rate = F.when(F.col("suffix") == name, r).otherwise(rate)
-        return df.withColumn("suffix_rate", rate)
+        """A suffix that no labelled URL has gets the overall rate. The table has a row for each labelled URL at most."""
+        rate = F.lit(1 / (1 + math.exp(-self.base)))
+        if not self.suffix_rates:
+            return df.withColumn("suffix_rate", rate)
+        table = df.sparkSession.createDataFrame(sorted(self.suffix_rates.items()), "_s string, _rate double")
+        return df.join(F.broadcast(table), F.col("suffix") == F.col("_s"), "left").withColumn("suffix_rate", F.coalesce("_rate", rate)).drop("_s", "_rate")
+
+
+def _grown(rows: DataFrame, depth: int, rate: float, edges: dict[str, list[float]]) -> tuple[object, Column]:
+    """One tree for ``rows`` (y, n, fit, margin, bins), as nested tuples and as a column of what it adds."""
+    p = 1 / (1 + F.exp(-F.col("margin")))
+    graded = rows.where("fit").withColumns({"g": F.col("n") * (p - F.col("y")), "h": F.col("n") * p * (1 - p)})
+    splits: dict[int, tuple[str, int]] = {}
+    leaves: dict[int, float] = {}
+    stack = ", ".join(f"'{f}', {f}" for f in FEATURES)
+
+    def node_column() -> Column:
+        node = F.lit(1)
+        for level in range(depth):
+            step = F.lit(None).cast("int")
+            for k, (f, b) in splits.items():
+                if k.bit_length() == level + 1:
+                    step = F.when(node == k, F.when(F.col(f) <= b, 2 * k).otherwise(2 * k + 1)).otherwise(step)
+            node = F.coalesce(step, node)
+        return node
+
+    for level in range(depth):
+        at = graded.withColumn("node", node_column()).where(F.col("node") >= 2**level)
+        table = (
+            at.select("node", "g", "h", F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)"))
+            .groupBy("node", "f", "b").agg(F.round(F.sum("g"), 9).alias("g"), F.round(F.sum("h"), 9).alias("h")).collect()
+        )
+        for k in sorted({r["node"] for r in table}):
+            own = [r for r in table if r["node"] == k]
+            first = [r for r in own if r["f"] == FEATURES[0]]
+            gt, ht = sum(r["g"] for r in first), sum(r["h"] for r in first)
+            best = (1e-6, None)
+            for f in FEATURES:
+                gl = hl = 0.0
+                for r in sorted((r for r in own if r["f"] == f), key=lambda r: r["b"])[:-1]:
+                    gl, hl = gl + r["g"], hl + r["h"]
+                    gain = gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, r["b"], gl, hl))
+            leaves[k] = round(-rate * gt / (ht + 1), 9)
+            if best[1]:
+                f, b, gl, hl = best[1]
+                splits[k] = (f, b)
+                leaves[2 * k], leaves[2 * k + 1] = round(-rate * gl / (hl + 1), 9), round(-rate * (gt - gl) / (ht - hl + 1), 9)
+        if not any(k.bit_length() == level + 1 for k in splits):
+            break
+
+    def build(k: int) -> object:
+        if k not in splits:
+            return leaves.get(k, 0.0)
+        f, b = splits[k]
+        return (f, edges[f][b], build(2 * k), build(2 * k + 1))
+
+    node, gain = node_column(), F.lit(0.0)
+    for k in leaves:
+        if k not in splits:
+            gain = F.when(node == k, leaves[k]).otherwise(gain)
+    return build(1), gain
 
 
 def train_url_model(
@@ -101,89 +173,57 @@ def train_url_model(
     url_col: str = "url",
     label: str = "label",
     max_rows: int = 20_000,
-    trees: int = 8,
+    trees: int = 12,
     depth: int = 3,
     bins: int = 16,
     rate: float = 0.4,
-    max_suffixes: int = 100,
 ) -> UrlModel:
     """Fit on at most ``max_rows`` labelled URLs (``label`` 1: block), taken by a hash of the id.
 
-    Null labels and URLs are left out. With no rows, or one class alone, the model has no trees and gives
-    that class's smoothed rate.
+    Null labels and URLs are left out. A URL's suffix rate in training is that of the other four fifths, so no
+    label tells on itself. Trees are added while the fifth that is held out gains; ``trees`` at most. With no
+    rows, or one class alone, the model has no trees and gives that class's smoothed rate. Repeated rows count
+    as often as given; URLs of any length are whole; other columns are not read.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(url_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(label).cast("double").alias("y"))
     rows = rows.orderBy(F.xxhash64("id", F.lit(5)), "id", "url").limit(max_rows)
-    sample = materialise(lexical_features(rows, "url"), "urls")
+    sample = materialise(lexical_features(rows, "url").withColumn("part", F.pmod(F.xxhash64("url", F.lit(7)), F.lit(5))), "urls")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     prior = (pos + 1) / (n + 2)
-    counts = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
-    rates = {r["suffix"]: round((r["s"] + 10 * prior) / (r["n"] + 10), 6) for r in counts}
-    model = UrlModel([], math.log(prior / (1 - prior)), rates)
+    counts = sample.groupBy("suffix", "part").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    known = counts.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    rates = {r[0]: round((r[2] + SMOOTH * prior) / (r[1] + SMOOTH), 6) for r in known.collect()}  # max_rows at most
+    model = UrlModel([], math.log(prior / (1 - prior)), rates, [])
     if pos == 0 or pos == n:
+        forget(sample)
         return model
-    sample = model.with_suffix_rate(sample)
+    others = counts.join(known, "suffix").select(
+        "suffix", "part", F.round((F.col("all_s") - F.col("s") + SMOOTH * prior) / (F.col("all_n") - F.col("n") + SMOOTH), 6).alias("suffix_rate")
+    )
+    sample = sample.join(F.broadcast(others), ["suffix", "part"])  # max_rows at most
     cuts = sample.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 10000).alias(f) for f in FEATURES)).first()
     edges = {f: sorted(set(cuts[f])) for f in FEATURES}
-    binned = sample.select("y", *(sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0)).alias(f) for f in FEATURES), F.lit(model.base).alias("margin"))
-    binned = materialise(binned, "urls")
-    stack = ", ".join(f"'{f}', {f}" for f in FEATURES)
-    for _ in range(trees):
-        p = 1 / (1 + F.exp(-F.col("margin")))
-        graded = binned.withColumns({"g": p - F.col("y"), "h": p * (1 - p)})
-        splits: dict[int, tuple[str, int]] = {}
-        leaves: dict[int, float] = {}
-
-        def node_column() -> Column:
-            node = F.lit(1)
-            for level in range(depth):
-                step = F.lit(None).cast("int")
-                for k, (f, b) in splits.items():
-                    if k.bit_length() == level + 1:
-                        step = F.when(node == k, F.when(F.col(f) <= b, 2 * k).otherwise(2 * k + 1)).otherwise(step)
-                node = F.coalesce(step, node)
-            return node
+    binned = sample.select("y", (F.col("part") > 0).alias("fit"), *(sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0)).alias(f) for f in FEATURES))
+    binned = binned.groupBy("y", "fit", *FEATURES).agg(F.count("*").alias("n")).withColumn("margin", F.lit(model.base))
+    binned = materialise(binned.coalesce(1), "urls")
+    loss = F.sum(F.when(~F.col("fit"), F.col("n") * (F.log1p(F.exp(F.col("margin"))) - F.col("y") * F.col("margin"))))
 
-        for level in range(depth):
-            at = graded.withColumn("node", node_column())
-            if level:
-                at = at.where(F.col("node") >= 2**level)
-            table = (
-                at.select("node", "g", "h", F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)"))
-                .groupBy("node", "f", "b").agg(F.round(F.sum("g"), 9).alias("g"), F.round(F.sum("h"), 9).alias("h")).collect()
-            )
-            for k in sorted({r["node"] for r in table}):
-                own = [r for r in table if r["node"] == k]
-                first = [r for r in own if r["f"] == FEATURES[0]]
-                gt, ht = sum(r["g"] for r in first), sum(r["h"] for r in first)
-                best = (1e-6, None)
-                for f in FEATURES:
-                    gl = hl = 0.0
-                    for r in sorted((r for r in own if r["f"] == f), key=lambda r: r["b"])[:-1]:
-                        gl, hl = gl + r["g"], hl + r["h"]
-                        gain = gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1)
-                        if gain > best[0] + 1e-9:
-                            best = (gain, (f, r["b"], gl, hl))
-                leaves[k] = round(-rate * gt / (ht + 1), 9)
-                if best[1]:
-                    f, b, gl, hl = best[1]
-                    splits[k] = (f, b)
-                    leaves[2 * k], leaves[2 * k + 1] = round(-rate * gl / (hl + 1), 9), round(-rate * (gt - gl) / (ht - hl + 1), 9)
-
-        def build(k: int) -> object:
-            if k not in splits:
-                return leaves.get(k, 0.0)
-            f, b = splits[k]
-            return (f, edges[f][b], build(2 * k), build(2 * k + 1))
-
-        model.trees.append(build(1))
-        node = node_column()
-        gain = F.lit(0.0)
-        for k in leaves:
-            if k not in splits:
-                gain = F.when(node == k, leaves[k]).otherwise(gain)
-        binned = materialise(binned.withColumn("margin", F.col("margin") + gain), "urls")
+    def lost(rows: DataFrame) -> float:
+        return round((rows.agg(loss).first()[0] or 0.0), 9)
+
+    model.held_out_loss.append(lost(binned))
+    for _ in range(trees):
+        tree, gain = _grown(binned, depth, rate, edges)
+        before, binned = binned, materialise(binned.withColumn("margin", F.col("margin") + gain), "urls")
+        forget(before)
+        model.trees.append(tree)
+        model.held_out_loss.append(lost(binned))
+        if len(model.held_out_loss) > 3 and min(model.held_out_loss[-2:]) >= min(model.held_out_loss[:-2]):
+            break
+    best = model.held_out_loss.index(min(model.held_out_loss))
+    model.trees = model.trees[: max(best, 1)]
+    forget(binned)
     return model
 
 
@@ -194,7 +234,9 @@ def judge_urls(
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins and decides.
     Other URLs are blocked if the model's score is 0.5 or more. Null URLs and those without ``://`` have an
-    empty host and path, so no rule. Repeated rows come back as often as given; no rows give no rows.
+    empty host and path, so no rule. URLs of any length are whole; equal URLs are judged alike. Repeated rows
+    come back as often as given; no rows give no rows. Only the id and the URL are read, so other columns may
+    have any name.
     """
     found = model.with_suffix_rate(lexical_features(pages.select(F.col(id_col), F.col(url_col)), url_col))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)

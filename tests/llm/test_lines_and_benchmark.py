@@ -73,3 +73,42 @@ def test_contamination_edges(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
     spans = {r.doc_id: r.text for r in D.remove_spans(docs.where("doc_id is not null"), bench).collect()}
     assert spans == {1: "k", 2: "a b c"}
+
+
+def test_ids_of_any_type_and_beyond_doubles(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, LONG), (big + 2, LONG), (None, LONG), (7, LONG)], "doc_id long, text string")
+    for limit in (100, 0):
+        got = {r.doc_id: r.text for r in L.dedup_lines(docs, broadcast_rows=limit).collect()}
+        assert got == {big: "", big + 2: LONG, None: "", 7: ""}
+        named = docs.selectExpr("concat('n', doc_id) as doc_id", "text")
+        assert {r.doc_id: r.text for r in L.dedup_lines(named, broadcast_rows=limit).collect()} == {f"n{big}": "", f"n{big + 2}": "", None: "", "n7": LONG}
+    bench = spark.createDataFrame([("i", LONG)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in D.decontaminate(docs.selectExpr("concat('n', doc_id) as doc_id", "text"), bench).collect()} == {f"n{big}": 7, f"n{big + 2}": 7, None: 0, "n7": 7}
+
+
+def test_probes_shuffle_hashes_only(spark, monkeypatch):
+    """With broadcasts off neither words nor texts go through the join of sampled runs."""
+    rows, items = passages()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plans = []
+    real = D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), real(df, tag))[1])
+    monkeypatch.setattr(D, "RUNS", 0)
+    monkeypatch.setattr(D, "maybe_broadcast", lambda df, rows, limit=0, size=0: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in D.decontaminate(docs, bench).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == contamination(rows, items, 10)
+    plan = dict(plans)["hits"]
+    assert plan.count("Scan ExistingRDD") == 1  # one scan of the documents for all lengths of items
+    assert "Exchange hashpartitioning(h" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "text" in x]
+
+
+def test_spans_keep_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", 1, "y"), (2, None, 2, "z")], "doc_id long, text string, id int, x string")
+    bench = spark.createDataFrame([(1, "A b c d e f g h i j")], "item_id long, text string")
+    got = D.remove_spans(docs, bench)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [(1, "k", 1, "y"), (2, None, 2, "z")]

@@ -78,3 +78,31 @@ def test_connected_components(spark):
                 low[a] = low[b] = min(low[a], low[b])
     assert got == low
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_strangers_in_a_dealt_cluster_find_their_likes(spark):
+    """Near copies of two texts that share common shingles, in one cluster of many blocks."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        own = [f"own{i % 3 if i < 6 else 0}-{j}" for j in range(70)]
+        w = common + own
+        w[40 + rng.randrange(50)] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in N.ngram_jaccard_components(docs, k=3, percent=80, block_tokens=600).collect()}
+    assert got == components(rows, 3, 80)
+
+
+def test_ids_that_are_no_numbers_raise(spark):
+    with pytest.raises(TypeError):
+        N.ngram_jaccard_components(spark.createDataFrame([("a", "x y z")], "doc_id string, text string"))
+
+
+def test_session_settings_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    N.keep_one_per_component(spark.createDataFrame([(1, "x y z")], "doc_id long, text string")).count()
+    assert spark.conf.get(key) == before

@@ -54,6 +54,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = {i for i, t in rows if t.split()}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == want
+    assert {r.doc_id: r.text for r in got} == {i: t for i, t in rows if t.split()}
     tokens = {i: len(t.split()) for i, t in rows}
     assert all(r.n_tokens == tokens[r.doc_id] for r in got)
     assert len(got) == len({(r.doc_id, r.epoch) for r in got}) and max(r.epoch for r in got) <= 1

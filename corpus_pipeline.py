@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from tallyloom.llm._common import materialise, table
+from tallyloom.llm._common import forget, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,8 +32,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The order in which to read documents: every source at least once, small ones up to twice."""
-    return mixing.mix_sources(docs, max_repetition=2.0)
+    """Documents in the order in which to read them, with their texts: every source at least once, small ones up to twice."""
+    return mixing.mix_sources(docs, max_repetition=2.0, keep=("text", "lang", "n_chars"))
 
 
 STAGES = [
@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """One row for each reading: the document as the stages left it, and its place in the order."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

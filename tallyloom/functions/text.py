@@ -351,3 +351,8 @@ def entity_key(name: Column) -> Column:
     for pattern in (r"[⺀-鿿가-힯＀-￯]", r"\([^)]*\)", r"^.*?\bon behalf of\b", r"\b(dr|mr|mrs|ms|prof)\b\.?", "[^a-z0-9]+", rf"\b(?:{_LEGAL})\b", r"^\s*the\b"):
         x = F.regexp_replace(x, pattern, " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def short_text(text: Column, n: int = 120) -> Column:
+    """The first ``n`` characters, whatever they are."""
+    return F.substring(text, 1, n)

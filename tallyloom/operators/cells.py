@@ -37,6 +37,19 @@ def segment_values(segments: DataFrame, mask: int = MASK, id_col: str = "respond
     return segments.groupBy("dim", "key").agg(F.countDistinct(id_col).alias("n")).withColumn("masked", F.col("n") < mask)
 
 
+def lost_answers(answers: DataFrame, segments: DataFrame) -> DataFrame:
+    """Answers of respondents without a segment. There must be none; cells count only those that have one."""
+    return answers.join(segments, "respondent_id", "left_anti")
+
+
+def covered(answers: DataFrame, segments: DataFrame) -> DataFrame:
+    """``answers``, unless a respondent has no segment: that raises."""
+    lost = lost_answers(answers, segments).limit(1).count()
+    if lost:
+        raise ValueError("answers of respondents without a segment")
+    return answers
+
+
 def likert_cells(answers: DataFrame, segments: DataFrame, rungs: list[int], mask: int = MASK, key: str = "question_number") -> DataFrame:
     """Per question, dim and key: counts by rung, off-scale count, n on the scale, mean; masked ones are null."""
     x = F.col("answer_numeric")
@@ -110,4 +123,5 @@ def scoreboard(left: DataFrame, right: DataFrame, option: str = "option_text") -
 def distribution(df: DataFrame, col: str, vocabulary: list[str]) -> DataFrame:
     """A closed vocabulary in its order with counts, zero where nothing is."""
     order = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(vocabulary)], f"`{col}` string, ord int")
-    return F.broadcast(order).join(df.groupBy(col).agg(F.count("*").alias("n")), col, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = F.broadcast(order).join(df.groupBy(col).agg(F.count("*").alias("n")), col, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("pct", pct(F.col("n"), F.sum("n").over(W.partitionBy())))  # one row for each word of the vocabulary

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,15 +39,23 @@ def listed(members: DataFrame, key: str, id_col: str, max_members: int = 100_000
 def sharing_summary(members: DataFrame) -> DataFrame:
     """(id, n_shared, n_co_sharers): clusters that hold a respondent, and distinct others in them.
 
-    Respondents in the same clusters are one profile; profiles meet by cluster, respondents never do, so a
-    cluster of all respondents costs what its profiles do."""
-    own = members.select("cluster_hash", "id").distinct().groupBy("id").agg(F.array_sort(F.collect_set("cluster_hash")).alias("clusters"))
+    Respondents in the same clusters are one profile. Its others are the sizes of its clusters, less those counted
+    twice: respondents of a profile with several of the clusters. Only profiles of several clusters meet, by pairs of
+    clusters; what is left is square in the number of different profiles that hold one pair, not in respondents."""
+    m = members.select("cluster_hash", "id").distinct()
+    own = m.groupBy("id").agg(F.array_sort(F.collect_set("cluster_hash")).alias("clusters"))
     own = own.withColumn("profile", F.sha1(F.array_join("clusters", ",")))
     profiles = own.groupBy("profile").agg(F.count("*").alias("size"), F.first("clusters").alias("clusters"))
-    each = profiles.select("profile", "size", F.explode("clusters").alias("c"))
-    met = each.select("profile", "c").join(each.select(F.col("profile").alias("other"), F.col("size").alias("others"), "c"), "c").select("profile", "other", "others").distinct()
-    totals = met.groupBy("profile").agg((F.sum("others") - 1).alias("n_co_sharers"))
-    return own.join(totals, "profile").select("id", F.size("clusters").alias("n_shared"), "n_co_sharers")
+    sizes = m.groupBy(F.col("cluster_hash").alias("c")).agg(F.count("*").alias("held"))
+    total = profiles.select("profile", F.explode("clusters").alias("c")).join(sizes, "c").groupBy("profile").agg(F.sum("held").alias("total"))
+    several = profiles.where(F.size("clusters") > 1)
+    pair = F.flatten(F.transform("clusters", lambda a: F.transform(F.filter("clusters", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    each = several.select("profile", F.explode(pair).alias("p"))
+    met = each.join(each.select(F.col("profile").alias("other"), "p"), "p").select("profile", "other").distinct()
+    met = met.join(several.select("profile", "clusters"), "profile").join(several.select(F.col("profile").alias("other"), F.col("clusters").alias("theirs"), "size"), "other")
+    twice = met.groupBy("profile").agg(F.sum(F.col("size") * (F.size(F.array_intersect("clusters", "theirs")) - 1)).alias("twice"))
+    counted = total.join(twice, "profile", "left").select("profile", (F.col("total") - F.coalesce("twice", F.lit(0)) - 1).alias("n_co_sharers"))
+    return own.join(counted, "profile").select("id", F.size("clusters").alias("n_shared"), "n_co_sharers")
 
 
 def vector_clusters(scores: DataFrame, id_col: str, key: str, score: str, min_length: int = 10, min_members: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -106,20 +116,6 @@ def resubmissions(entities: DataFrame, name: str, id_col: str) -> DataFrame:
     ).where("n > 1").drop("n")
 
 
-def shared_edges(members: DataFrame, min_shared: int = 2, max_members: int = 200) -> DataFrame:
-    """(a, b, n_shared): respondents in several clusters together. Larger clusters than ``max_members`` join by a
-    star on their smallest member instead of by pairs, so a popular text stays linear. These edges are not counted:
-    one popular cluster links its members, whatever ``min_shared`` is. ``common_edges`` counts them all."""
-    m = members.select("cluster_hash", "id").distinct()
-    sizes = m.groupBy("cluster_hash").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
-    sized = m.join(sizes, "cluster_hash")
-    small = sized.where(F.col("size") <= max_members)
-    pairs = small.select("cluster_hash", F.col("id").alias("a")).join(small.select("cluster_hash", F.col("id").alias("b")), "cluster_hash").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= min_shared)
-    stars = sized.where(F.col("size") > max_members).select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a < b").distinct()
-    return pairs.unionByName(stars.withColumn("n_shared", F.lit(min_shared).cast("long")))
-
-
 def common_edges(members: DataFrame, min_shared: int = 2, max_pairs: int = 200) -> DataFrame:
     """(a, b, n_shared): edges between respondents with at least ``min_shared`` clusters in common, each counted over
     all clusters. Their connected components are those of all such pairs, though not every pair has its edge.
@@ -152,9 +148,10 @@ def blocs(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Lineage is cut by ``checkpoint`` in the folder that ``spark.checkpoint.dir`` names."""
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyloom-"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("bloc", F.col("id")).checkpoint()
     for _ in range(rounds):

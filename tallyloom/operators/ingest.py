@@ -148,3 +148,8 @@ def labelled(columns: DataFrame, labels: DataFrame, key: str) -> DataFrame:
         if missing:
             raise ValueError(f"no {side} for {missing}")
     return columns.join(labels, key)
+
+
+def frequency_ranks(counts: DataFrame, keys: list[str], option: str, n: str) -> DataFrame:
+    """``counts`` with ``option_rank``: most frequent first within ``keys``, ties by name. Rows are options, not answers."""
+    return counts.withColumn("option_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(n), option)))

@@ -16,16 +16,18 @@ def dedup_votes(answers: DataFrame, group: Column, opposes: Column) -> DataFrame
 
 
 def dedup_counts(answers: DataFrame, bloc: Column, answer: str) -> DataFrame:
-    """Raw counts by answer, and counts where a bloc gives each distinct answer once."""
-    raw = answers.groupBy(answer).agg(F.count("*").alias("n"))
-    once = answers.select(bloc.alias("who"), answer).distinct().groupBy(answer).agg(F.count("*").alias("n_dedup"))
-    return raw.join(once, answer)
+    """Raw counts by answer, null answers too, and counts where a bloc gives each distinct answer once.
 
+    Respondents without a bloc are one."""
+    return answers.groupBy(answer).agg(F.count("*").alias("n"), F.countDistinct(F.struct(bloc.alias("who"))).alias("n_dedup"))
 
-def theme_counts(coded: DataFrame, who: Column, id_col: str, themes: str = "theme_keys") -> DataFrame:
-    """(theme, n, n_dedup, share_pct) of ``|``-joined themes; uncodeable answers are in no base."""
+
+def theme_counts(coded: DataFrame, who: Column, id_col: str, themes: str = "theme_keys", question: str | None = None) -> DataFrame:
+    """(theme, n, n_dedup, share_pct) of ``|``-joined themes; uncodeable answers are in no base.
+
+    ``n`` counts respondents, ``n_dedup`` the members of a bloc once, and where ``question`` is given once for each question."""
     usable = coded.where(F.col(themes) != "uncodeable")
-    each = usable.select(F.col(id_col).alias("id"), who.alias("who"), F.explode(F.split(themes, r"\|")).alias("theme"))
+    each = usable.select(F.col(id_col).alias("id"), F.struct(who.alias("who"), F.col(question) if question else F.lit(0)).alias("who"), F.explode(F.split(themes, r"\|")).alias("theme"))
     base = usable.agg(F.countDistinct(id_col).alias("base"))
     counts = each.groupBy("theme").agg(F.countDistinct("id").alias("n"), F.countDistinct("who").alias("n_dedup"))
     return counts.crossJoin(F.broadcast(base)).select("theme", "n", "n_dedup", pct(F.col("n"), F.col("base")).alias("share_pct"))  # the base is one row

@@ -164,14 +164,14 @@ def frequency_map(df: DataFrame, col: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks of ties; ranks come from counts by value, not from rows."""
+    """Rank correlation of complete pairs with average ranks of ties; ranks come from counts by value, not from rows."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(col: str, out: str) -> DataFrame:
-        counts = df.groupBy(col).agg(F.count("*").alias("c"))
+        counts = both.groupBy(col).agg(F.count("*").alias("c"))
         upto = F.sum("c").over(W.orderBy(col))  # one row for each distinct value
         return counts.select(F.col(col), (upto - (F.col("c") - 1) / 2).alias(out))
 
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return both.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y).agg(F.count("*").alias("n"), F.round(F.corr("_rx", "_ry"), 6).alias("rho"))
 
 

@@ -21,7 +21,7 @@ def a19_year_histogram(s, d):
 
 
 @query(""", e as (select question_number, country, count(case when is_redacted then answer_numeric end) as n_a, round(avg(case when is_redacted then answer_numeric end), 2) as mean_a, count(case when not is_redacted then answer_numeric end) as n_b, round(avg(case when not is_redacted then answer_numeric end), 2) as mean_b
- from answers join respondents using (respondent_id) where respondent_id % 50 = 0 group by 1, 2)
+ from answers join respondents using (respondent_id) group by 1, 2)
 select question_number || ' ' || country as cell, case when n_a >= 5 and n_b >= 5 then n_a end as n_a, case when n_a >= 5 and n_b >= 5 then mean_a end as mean_a, case when n_a >= 5 and n_b >= 5 then n_b end as n_b, case when n_a >= 5 and n_b >= 5 then mean_b end as mean_b, not (n_a >= 5 and n_b >= 5) as masked from e""", True)
 def a22_side_effect(s, d):
     a = S.answers(s, d).join(S.respondents(s, d), "respondent_id")
@@ -106,11 +106,12 @@ def j21_changed_answers(s, d):
     return D.changed_answers(a, pairs, "respondent_id", "question_number", "t").select("old_id", "new_id", "question_number", F.lower("old_text").alias("l"), "old_text", "new_text").drop("l")
 
 
-@query("""with v as (select p_name as cluster_id, p_partkey as id from part where p_partkey % 10 = 0), g as (select p_type as group_id, p_partkey as id from part where p_partkey % 10 = 0)
-select group_id, cluster_id from v join g using (id) group by 1, 2 having count(*) = (select count(*) from v v2 where v2.cluster_id = v.cluster_id)""")
+@query("""with v as (select p_name || ' ' || p_size as cluster_id, p_partkey as id from part), g as (select p_type as group_id, p_partkey as id from part),
+c as (select cluster_id, count(*) as size from v group by 1)
+select group_id, cluster_id from v join g using (id) join c using (cluster_id) group by 1, 2 having count(*) = any_value(size)""")
 def j18_contained_runs(s, d):
     p = S.table(s, d, "part")
-    members = p.select(F.col("p_name").alias("cluster_id"), F.col("p_partkey").alias("id"))
+    members = p.select(F.concat_ws(" ", "p_name", "p_size").alias("cluster_id"), F.col("p_partkey").alias("id"))
     return D.contained_runs(members, p.select(F.col("p_type").alias("group_id"), F.col("p_partkey").alias("id")))
 
 
@@ -161,10 +162,12 @@ def a42_frequency_map(s, d):
     return P.frequency_map(S.table(s, d, "orders"), "o_orderstatus").select(F.explode("frequencies").alias("k", "n"))
 
 
-@query("""with r as (select rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as a, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2 as b from part)
+@query("""with k as (select p_size, p_retailprice from part where p_type <> 'PROMO'),
+r as (select rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as a, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2 as b from k)
 select count(*) as n, round(corr(a, b), 6) as rho from r""")
 def m14_spearman(s, d):
-    return P.spearman(S.table(s, d, "part"), "p_size", "p_retailprice")
+    """Over complete pairs: one type's sizes count as missing."""
+    return P.spearman(S.table(s, d, "part").withColumn("size", F.when(F.col("p_type") != "PROMO", F.col("p_size"))), "size", "p_retailprice")
 
 
 @query("""with c as (select p_brand, p_type, count(*) as o from part group by 1, 2), x as (select o, sum(o) over (partition by p_brand) as r, sum(o) over (partition by p_type) as k, sum(o) over () as n, p_brand, p_type from c)
@@ -173,10 +176,11 @@ def m14_chi_square(s, d):
     return P.chi_square(S.table(s, d, "part"), "p_brand", "p_type")
 
 
-@query("select respondent_id from respondents where is_redacted and completion_pct > 1000000", True)
+@query("select respondent_id from respondents where is_redacted and sector = '1-URGENT'", True)
 def x4_never_named(s, d):
+    """Published: all who are not redacted, and by mistake one sector whole."""
     r = S.respondents(s, d)
-    return P.never_named(r.where("not is_redacted").select("respondent_id"), r.where("is_redacted"), "respondent_id")
+    return P.never_named(r.where("not is_redacted or sector = '1-URGENT'").select("respondent_id"), r.where("is_redacted"), "respondent_id")
 
 
 @query(""", x as (select question_number, answer_text, count(*) as n from answers group by 1, 2) select question_number, to_json({'n': n, 'text': answer_text})::varchar as doc from x""", True)

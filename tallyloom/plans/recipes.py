@@ -38,9 +38,9 @@ RECIPES = {
     "q05_everything_of_a_section": "select respondent_id, question_number, answer_text from v_scale_answers where section = 'C'",
     "q06_option_counts": "select option_text, n from v_option_counts where question = 'ECONOMY' order by n desc, option_text",
     "q12_stance_by_organization_type": "select organization_type, answer_text, count(*) as n from v_scale_answers where shorthand = 'support_matching' group by organization_type, answer_text",
-    "q14_own_base_netting": """select a.option_text, a.pct as pct_a, coalesce(b.pct, 0.0) as pct_b, round(a.pct - coalesce(b.pct, 0.0), 1) as net from
- (select option_text, round(100.0 * n / (select sum(n) from v_option_counts where question = 'ECONOMY'), 1) as pct from v_option_counts where question = 'ECONOMY') a left join
- (select option_text, round(100.0 * n / (select sum(n) from v_option_counts where question = 'PROMO'), 1) as pct from v_option_counts where question = 'PROMO' and n > 3) b on a.option_text = b.option_text""",
+    "q14_own_base_netting": """select a.option_text, a.pct as pct_a, coalesce(b.pct, cast(0 as double)) as pct_b, round(a.pct - coalesce(b.pct, cast(0 as double)), 1) as net from
+ (select option_text, cast(round(100.0 * n / (select sum(n) from v_option_counts where question = 'ECONOMY'), 1) as double) as pct from v_option_counts where question = 'ECONOMY') a left join
+ (select option_text, cast(round(100.0 * n / (select sum(n) from v_option_counts where question = 'PROMO'), 1) as double) as pct from v_option_counts where question = 'PROMO' and n > 3) b on a.option_text = b.option_text""",
     "q15_escape_hatches_apart": "select option_text, option_text in ('ring', 'widget') as is_special, n from v_option_counts where question = 'STANDARD' order by is_special, n desc, option_text",
     "q17_redaction_by_stance": "select is_redacted, answer_text, count(*) as n, count(answer_numeric) as n_scored from v_scale_answers group by is_redacted, answer_text",
     "q18_cross_cutting_role": "select q.role, count(*) as n from answers a join questions q on a.question_number = q.question_number where q.role <> 'primary' group by q.role",

@@ -12,9 +12,10 @@ from tallyloom.llm._common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prior is the share of toxic texts among the labelled ones that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     train = ~toxicity.held_out()
-    model = toxicity.train_toxicity(docs.where(train), labels.where(train))
+    model = toxicity.train_toxicity(docs.where(train), labels.where(train), prior=toxicity.labelled_share(labels.where(train)))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 

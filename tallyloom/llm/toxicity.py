@@ -24,6 +24,8 @@ from tallyloom.llm._common import forget, give_back, id_type, materialise, text_
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-/\\"
 #: Features are hashed into so many buckets.
 BUCKETS = 1 << 20
+#: Folds of both samples from which the prior is estimated.
+FOLDS = 4
 
 
 @dataclass
@@ -49,7 +51,7 @@ def text_features(text: str | None, cache: dict[str, list[int]]) -> np.ndarray:
     for w in set((text or "").lower().split()):
         own = cache.get(w)
         if own is None:
-            if len(cache) >= 100_000:
+            if len(cache) >= 300_000:
                 cache.clear()
             own = cache[w] = word_features(w)
         out.update(own)
@@ -120,18 +122,24 @@ def margins(rows: list[np.ndarray], model: NNPUModel) -> np.ndarray:
     return np.array([model.bias + float(model.weights[r].sum()) for r in rows])
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
-    """The share of positives among unlabelled texts, from both kinds' scores by a model that saw neither.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled texts, from both kinds' scores by a model that did not train on them.
 
     Above any threshold the unlabelled hold at least that share of what the positives hold; the threshold with the
-    smallest ratio, its sampling error included, has fewest negatives above it, and its ratio is the estimate.
+    smallest ratio, two standard errors included, has fewest negatives above it, and its ratio is the estimate.
     """
     p, u = np.sort(positive), np.sort(unlabelled)
-    cuts = np.unique(p)
-    over_p, over_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
-    error = math.sqrt(math.log(4 / confidence) / 2) * (1 / math.sqrt(len(u)) + 1 / math.sqrt(len(p)))
-    best = int(np.argmin((over_u + error) / over_p))
-    return float(over_u[best] / over_p[best])
+    cuts = np.unique(p[: max(1, len(p) * 3 // 4)])  # above them a quarter of the positives at least
+    over_p, over_u = len(p) - np.searchsorted(p, cuts), len(u) - np.searchsorted(u, cuts)
+    ratio = np.maximum(over_u, 1) / len(u) / (over_p / len(p))
+    error = 2 * ratio * np.sqrt(1 / np.maximum(over_u, 1) + 1 / over_p)
+    return float(ratio[int(np.argmin(ratio + error))])
+
+
+def labelled_share(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> float | None:
+    """The share of 1 among labelled documents: a prior where labels are drawn without regard to class; None without labels."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
+    return known.agg(F.avg("y")).first()[0]
 
 
 def _collect_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
@@ -160,13 +168,13 @@ def train_toxicity(
     label_col: str = "toxic",
     prior: float | None = None,
     max_positive: int = 2000,
-    max_unlabelled: int = 6000,
+    max_unlabelled: int = 10_000,
 ) -> NNPUModel:
     """Fit on at most ``max_positive`` texts labelled 1 and ``max_unlabelled`` texts of any label.
 
     Both samples go by a hash of the id; an id with several rows is one document. Labels of 0 are not used.
-    ``prior`` is the share of toxic texts; if not given, one half of both samples trains a first model, whose
-    scores of the other half tell it (:func:`estimate_prior`). ``docs`` and ``labels`` hold training rows only;
+    ``prior`` is the share of toxic texts; if not given, first models trained without one fold each score that fold,
+    and these scores tell it (:func:`estimate_prior`). ``docs`` and ``labels`` hold training rows only;
     null ids and labels are left out, null and empty texts have no features. Without texts labelled 1, or no rows
     at all, the score is the prior everywhere. Other columns are not read, whatever their names.
     """
@@ -181,9 +189,13 @@ def train_toxicity(
     forget(p_ids, u_ids)
     if prior is None:
         prior = len(p) / max(1, len(p) + len(u))
-        if len(p) > 1 and len(u) > 1:
-            first = fit_nnpu(p[::2], u[::2], 0.2)
-            prior = estimate_prior(margins(p[1::2], first), margins(u[1::2], first))
+        folds = [(p[i::FOLDS], u[i::FOLDS]) for i in range(FOLDS)]
+        if all(a and b for a, b in folds):
+            scores = []
+            for i, own in enumerate(folds):
+                first = fit_nnpu(*([x for j, other in enumerate(folds) if j != i for x in other[k]] for k in (0, 1)), prior, epochs=100)
+                scores.append([margins(x, first) for x in own])
+            prior = estimate_prior(*(np.concatenate([x[k] for x in scores]) for k in (0, 1)))
     return fit_nnpu(p, u, prior)
 
 
@@ -210,7 +222,7 @@ def score_toxicity(docs: DataFrame, model: NNPUModel, id_col: str = "doc_id", te
                 for w in set((text or "").lower().split()):
                     own = cache.get(w)
                     if own is None:
-                        if len(cache) >= 100_000:
+                        if len(cache) >= 300_000:
                             cache.clear()
                         own = cache[w] = tuple(x for x in word_features(w) if x in weights)
                     if own:

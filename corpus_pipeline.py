@@ -11,8 +11,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    """Documents predicted toxic go; the prior is the share of toxic texts among the labelled ones."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.drop_toxic(docs, labels, prior=toxicity.labelled_share(labels)).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

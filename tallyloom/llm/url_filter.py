@@ -85,11 +85,11 @@ def lexical_features(pages: DataFrame, url_col: str) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """Trees as nested (feature, threshold, left, right) with log-odds at the leaves; block rates of the labelled suffixes."""
+    """Trees as nested (feature, threshold, left, right) with log-odds at the leaves."""
 
     trees: list
     base: float
-    suffix_rates: dict[str, float]
+    rates: DataFrame  # (_s, _rate): block rates of the labelled suffixes, a row for each labelled URL at most
     held_out_loss: list[float]
 
     def margin(self) -> Column:
@@ -102,12 +102,9 @@ class UrlModel:
         return sum((value(t) for t in self.trees), F.lit(self.base))
 
     def with_suffix_rate(self, df: DataFrame) -> DataFrame:
-        """A suffix that no labelled URL has gets the overall rate. The table has a row for each labelled URL at most."""
+        """A suffix that no labelled URL has gets the overall rate."""
         rate = F.lit(1 / (1 + math.exp(-self.base)))
-        if not self.suffix_rates:
-            return df.withColumn("suffix_rate", rate)
-        table = df.sparkSession.createDataFrame(sorted(self.suffix_rates.items()), "_s string, _rate double")
-        return df.join(F.broadcast(table), F.col("suffix") == F.col("_s"), "left").withColumn("suffix_rate", F.coalesce("_rate", rate)).drop("_s", "_rate")
+        return df.join(F.broadcast(self.rates), F.col("suffix") == F.col("_s"), "left").withColumn("suffix_rate", F.coalesce("_rate", rate)).drop("_s", "_rate")
 
 
 def _grown(rows: DataFrame, depth: int, rate: float, edges: dict[str, list[float]]) -> tuple[object, Column]:
@@ -193,7 +190,7 @@ def train_url_model(
     prior = (pos + 1) / (n + 2)
     counts = sample.groupBy("suffix", "part").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
     known = counts.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    rates = {r[0]: round((r[2] + SMOOTH * prior) / (r[1] + SMOOTH), 6) for r in known.collect()}  # max_rows at most
+    rates = materialise(known.select(F.col("suffix").alias("_s"), F.round((F.col("all_s") + SMOOTH * prior) / (F.col("all_n") + SMOOTH), 6).alias("_rate")), "rates")
     model = UrlModel([], math.log(prior / (1 - prior)), rates, [])
     if pos == 0 or pos == n:
         forget(sample)

@@ -326,9 +326,10 @@ def test_first_split_and_scores_equal_plain_python(spark):
     def value(node, x):
         return node if isinstance(node, float) else value(node[2] if x[node[0]] <= node[1] else node[3], x)
 
+    rates = {r["_s"]: r["_rate"] for r in model.rates.collect()}
     for r in U.judge_urls(df, [], model).collect():
         x = own[rows[r.page_id][1]].asDict()
-        x["suffix_rate"] = model.suffix_rates[x["suffix"]]
+        x["suffix_rate"] = rates[x["suffix"]]
         z = model.base + sum(value(t, x) for t in model.trees)
         assert abs(r.block_score - 1 / (1 + math.exp(-z))) < 1e-9 and r.verdict == ("block" if z >= 0 else "allow")
 

@@ -58,6 +58,14 @@ def text_features(text: str | None, cache: dict[str, list[int]]) -> np.ndarray:
     return np.fromiter(out, np.int32, len(out))
 
 
+def _held(rows: list[np.ndarray]) -> np.ndarray:
+    """How many texts hold each bucket; a text lists a bucket once."""
+    out = np.zeros(BUCKETS, np.int32)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
 def _dense(rows: list[np.ndarray], place: np.ndarray, width: int) -> np.ndarray:
     x = np.zeros((len(rows), width), np.float32)
     for i, r in enumerate(rows):
@@ -94,13 +102,14 @@ def fit_nnpu(
     weights, bias = np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return NNPUModel(weights, bias)
-    held_p, held_u = (np.bincount(np.concatenate(r), minlength=BUCKETS) for r in (positive, unlabelled))
-    share_p, share_u = held_p / len(positive), held_u / len(unlabelled)
-    both = (held_p + held_u) / (len(positive) + len(unlabelled))
+    held_p, held_u = _held(positive), _held(unlabelled)
+    # only what three texts hold is compared: no array of doubles over all buckets
+    used = np.nonzero(held_p + held_u >= 3)[0]
+    share_p, share_u = held_p[used] / len(positive), held_u[used] / len(unlabelled)
+    both = (held_p[used] + held_u[used]) / (len(positive) + len(unlabelled))
     z = (share_p - share_u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / len(positive) + 1 / len(unlabelled)))
-    z[held_p + held_u < 3] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:features]
-    chosen = chosen[np.abs(z[chosen]) >= 4]
+    best = np.argsort(-np.abs(z), kind="stable")[:features]
+    chosen = used[best[np.abs(z[best]) >= 4]]
     if not len(chosen):
         return NNPUModel(weights, bias)
     place = np.full(BUCKETS, -1, np.int32)
@@ -196,7 +205,11 @@ def train_toxicity(
                 first = fit_nnpu(*([x for j, other in enumerate(folds) if j != i for x in other[k]] for k in (0, 1)), prior, epochs=100)
                 scores.append([margins(x, first) for x in own])
             prior = estimate_prior(*(np.concatenate([x[k] for x in scores]) for k in (0, 1)))
-    return fit_nnpu(p, u, prior)
+        del folds
+    model = fit_nnpu(p, u, prior)
+    del p, u
+    give_back()  # the driver runs on
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: NNPUModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

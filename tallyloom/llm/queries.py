@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, site_quality, toxicity, url_filter
+from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, site_quality, toxicity, url_filter, whitening
 from tallyloom.llm._common import table
 
 
@@ -72,6 +72,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TRIMMED = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 
@@ -140,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_site_quality": op8_site_quality,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
+        "op12_embedding_whitening": op12_embedding_whitening,
     }
 
 

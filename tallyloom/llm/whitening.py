@@ -187,15 +187,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _folded(parts: DataFrame, merge: Callable[[pd.DataFrame], dict], tag: str):
     """The one row that rows of (part, ...) merge into, ``FAN_IN`` neighbours at a time; None without rows."""
-    parts = materialise(parts, tag)
-    while (n := parts.agg(F.count("*"), F.max("part")).first())[0] > 1:
-        names = parts.columns
+    names, parts = parts.columns, materialise(parts, tag)
 
-        def one(frame: pd.DataFrame, names=names) -> pd.DataFrame:
-            frame = frame.sort_values("part")
-            return pd.DataFrame([{"part": int(frame["part"].iloc[0]) // FAN_IN, **merge(frame)}])[names]
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        return pd.DataFrame([{"part": int(frame["part"].iloc[0]) // FAN_IN, **merge(frame)}])[names]
 
-        fewer = parts.groupBy(F.expr(f"part div {FAN_IN}").alias("g")).applyInPandas(one, parts.schema) if n[1] else None
+    while parts.count() > 1:
+        fewer = parts.groupBy(F.expr(f"part div {FAN_IN}").alias("g")).applyInPandas(one, parts.schema)
         before, parts = parts, materialise(fewer, tag)
         forget(before)
     row = parts.first()

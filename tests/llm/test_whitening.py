@@ -95,3 +95,14 @@ def test_merged_spectra_equal_one_pass():
     own = parts[0]
     assert own.n == 90 and list(own.total) == list(x.sum(0))
     assert np.abs(own.basis @ np.diag(own.lam) @ own.basis.T - y.T @ y).max() < 1e-9 * own.lam.max()
+
+
+def test_many_partitions_merge_into_one_spectrum(spark):
+    rng = np.random.default_rng(11)
+    x = rng.integers(-50, 50, (400, 6)) + 1000000
+    fit = spark.createDataFrame([([int(c) for c in v],) for v in x], "x array<bigint>").repartition(40)
+    own = whitening.fit_spectrum(fit, 6)
+    y = x - x.mean(0)
+    assert own.n == 400 and np.abs(own.basis @ np.diag(own.lam) @ own.basis.T - y.T @ y).max() < 1e-9 * own.lam.max()
+    cov, trace = whitening.projected_covariance(fit, np.eye(6), 400, own.total)
+    assert np.allclose(cov, y.T @ y / 400) and np.isclose(trace, np.trace(y.T @ y) / 400)

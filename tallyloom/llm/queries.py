@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality_rules, site_quality, toxicity, url_filter, whitening
+from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, site_quality, toxicity, url_filter, whitening
 from tallyloom.llm._common import table
 
 
@@ -77,6 +77,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.grafted(seqs, every=100, choices=6))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TRIMMED = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 
@@ -132,6 +137,38 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from docs left join hits using (doc_id) left join held using (doc_id)
 """
 
+OP13_SQL = """
+with t as (
+  select conv_id, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, role, text) as p
+  from conversations where conv_id is not null),
+own as (select conv_id, list({'r': r, 'x': x} order by p) as l from t group by conv_id),
+hashed as (
+  select conv_id, l, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end)) % 6 as h
+  from own),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) as l
+  from hashed c left join own b on b.conv_id = c.conv_id - c.conv_id % 100),
+held as (select conv_id, l, unnest(range(0, len(l) + 1)) as d from rebuilt),
+named as (select conv_id, d, len(l) as n, l[1:d] as head, md5(to_json(l[1:d])::varchar) as k from held),
+nodes as (
+  select k, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(head) as head,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '')) as ends
+  from named group by k, d),
+up as (
+  select conv_id, d, n_convs, ends, k, case when d > 0 then md5(to_json(head[1:d - 1])::varchar) end as parent,
+         case when d > 0 then (n_convs - 1) * length(head[d].x) else 0 end as saved, head from nodes),
+kids as (select parent as k, count(*) as n from up where parent is not null group by parent),
+spread as (
+  select up.k, up.saved, kids.n is null as leaf, md5(to_json(head[1:a])::varchar) as above
+  from (select *, unnest(range(0, d + 1)) as a from up) up left join kids using (k)),
+sums as (select above as k, sum(saved)::bigint as saved, count(*) filter (where leaf) as leaves from spread group by above)
+select up.conv_id, up.d::bigint as depth, p.conv_id as parent_conv_id, up.n_convs, coalesce(kids.n, 0)::bigint as n_children,
+       sums.leaves::bigint as n_leaves, sums.saved as saved_tokens, up.ends as ends_sha256
+from up join sums using (k) left join kids using (k) left join nodes p on p.k = up.parent
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -146,8 +183,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
         "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_snapshots": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_chat_snapshots": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_decontamination": OP10_SQL, "op13_prefix_trie": OP13_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, site_quality, toxicity, url_filter, whitening
+from tallyloom.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_rules, site_quality, suffix_dedup, toxicity, url_filter, whitening
 from tallyloom.llm._common import table
 
 
@@ -72,6 +72,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -182,6 +187,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_site_quality": op8_site_quality,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_prefix_trie": op13_prefix_trie,
     }

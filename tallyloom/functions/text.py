@@ -210,6 +210,7 @@ def is_substantive(text: Column, min_chars: int = 20, min_words: int = 4, min_vo
     return (F.length(x) >= min_chars) & (F.size(words) >= min_words) & (share >= min_vowels)
 
 
+# fixed values
 REFERENCE_PATTERN = r"(?i)question[s]?\s*(\d{1,3})(?:\s*(?:[-–&,]|and|to)\s*(\d{1,3}))?"
 SHORT_REFERENCE_PATTERN = r"\bQ\.?\s?(\d{1,3})\b"
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rounding import pct
+from tallyloom.operators.ranking import grouped_medians
 
 
 def _total(counts: Column) -> Column:
@@ -58,8 +59,11 @@ def citation_interval(blocks: DataFrame, answers: int) -> DataFrame:
 
 
 def turnout(respondents: DataFrame, answers: DataFrame, redacted: Column) -> DataFrame:
-    """One row: respondents, those named and redacted, those who answered, answers, and answers for each respondent."""
-    heads = respondents.agg(F.count("*").alias("n_respondents"), F.count_if(redacted).alias("n_redacted"), F.count_if(~redacted).alias("n_named"))
+    """One row: respondents, those named and redacted, those who answered, answers, and answers for each respondent.
+
+    A respondent whose flag is null counts as redacted."""
+    hidden = F.coalesce(redacted, F.lit(True))
+    heads = respondents.agg(F.count("*").alias("n_respondents"), F.count_if(hidden).alias("n_redacted"), F.count_if(~hidden).alias("n_named"))
     given = answers.agg(F.countDistinct("respondent_id").alias("n_answering"), F.count("*").alias("n_answers"))
     return heads.crossJoin(F.broadcast(given)).withColumn("per_respondent", F.round(F.col("n_answers") / F.col("n_respondents"), 1))  # one row each
 
@@ -85,7 +89,7 @@ def _holds(search: str, *columns: str) -> Column:
 def audit_drill(audit: DataFrame, moved_only: bool = False, claimed: str | None = None, audited: str | None = None, search: str = "") -> DataFrame:
     """Rows of an audit (name, basis, claimed, audited): moved ones, one class, a substring of name and basis in either case."""
     out = audit.where(_holds(search, "name", "basis"))
-    out = out.where("claimed <> audited") if moved_only else out
+    out = out.where("not claimed <=> audited") if moved_only else out
     for column, wanted in (("claimed", claimed), ("audited", audited)):
         out = out.where(F.col(column) == wanted) if wanted is not None else out
     return out
@@ -152,9 +156,9 @@ def entity_variants(left: DataFrame, right: DataFrame, min_tokens: int = 2) -> D
 
 
 def rare_tail(df: DataFrame, group: str, flag: Column, min_n: int = 5) -> DataFrame:
-    """(group, n, n_flagged): groups of fewer than ``min_n`` are one row, ``other``."""
+    """(group, n, n_flagged): groups of fewer than ``min_n`` are one row, ``other``; a null group of ``min_n`` or more stays null."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_flagged"))
-    named = F.when(F.col("n") < min_n, "other").otherwise(F.coalesce(group, F.lit("other")))
+    named = F.when(F.col("n") < min_n, "other").otherwise(F.col(group))
     return sizes.groupBy(named.alias(group)).agg(F.sum("n").alias("n"), F.sum("n_flagged").alias("n_flagged"))
 
 
@@ -167,11 +171,19 @@ def basis_by_type(selections: DataFrame, stance: DataFrame, types: DataFrame, bu
 
 
 def verbosity(lengths: DataFrame, group: str, n_words: str, edges: list[int]) -> DataFrame:
-    """(group, band, n, median, max): answers without words are band -1; median and maximum are over those with words."""
+    """(group, band, n, median, max): bands in order, empty ones too, up to the last that is not empty.
+
+    Answers without words are band -1, which is there only if it has any; median and maximum are over those with words."""
     x = F.col(n_words)
     band = F.when(F.coalesce(x, F.lit(0)) == 0, -1).otherwise(sum(((x >= e).cast("int") for e in edges), F.lit(0)))
-    per = lengths.groupBy(group, band.alias("band")).agg(F.count("*").alias("n"))
-    own = lengths.where(x > 0).groupBy(group).agg(F.expr(f"percentile(`{n_words}`, 0.5)").alias("median"), F.max(x).alias("max"))
+    counts = lengths.groupBy(group, band.alias("band"), n_words).agg(F.count("*").alias("k"))
+    held = counts.groupBy(group, "band").agg(F.sum("k").alias("k"))
+    last = held.groupBy(group).agg(F.max("band").alias("last")).where("last >= 0")
+    grid = last.select(group, F.explode(F.sequence(F.lit(0), "last")).alias("band")).unionByName(held.where("band = -1").select(group, "band"))
+    per = grid.join(held, [group, "band"], "left").select(group, "band", F.coalesce("k", F.lit(0)).alias("n"))
+    some = counts.where(x > 0)
+    middle = grouped_medians(some, [group], n_words, "k").select(group, ((F.col("low") + F.col("high")) / 2).alias("median"))
+    own = middle.join(some.groupBy(group).agg(F.max(x).alias("max")), group)
     return per.join(own, group, "left")
 
 

@@ -15,13 +15,13 @@ OVERALL = "overall"
 def top_n_other(df: DataFrame, col: str, n: int, out: str = "key") -> DataFrame:
     """``df`` with ``out``: the value if among the ``n`` most frequent (ties by value), else ``other (k values)``.
 
-    The ranking window runs over distinct values only."""
-    ranked = df.groupBy(col).count().withColumn("_r", F.row_number().over(W.orderBy(F.desc("count"), col)))
-    tail = ranked.where(F.col("_r") > n).agg(F.count("*").alias("_k"))
-    named = ranked.crossJoin(F.broadcast(tail)).select(  # the tail's size is one row
-        F.col(col).alias("_v"), F.when(F.col("_r") <= n, F.col(col)).otherwise(F.concat(F.lit("other ("), F.col("_k").cast("string"), F.lit(" values)"))).alias(out)
-    )
-    return df.join(named, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
+    Null is a value. The head is a limit over counts by value, the tail is counted; no window orders all values."""
+    counts = df.groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    head = counts.orderBy(F.desc("_n"), "_v").limit(n).select("_v", F.lit(True).alias("_head"))
+    values = counts.agg(F.count("*").alias("_k"))
+    named = df.join(F.broadcast(head), F.col(col).eqNullSafe(F.col("_v")), "left").crossJoin(F.broadcast(values))  # one row
+    other = F.concat(F.lit("other ("), (F.col("_k") - n).cast("string"), F.lit(" values)"))
+    return named.withColumn(out, F.when(F.col("_head"), F.col(col)).otherwise(other)).drop("_v", "_head", "_k")
 
 
 def segments_long(respondents: DataFrame, dims: dict[str, Column], id_col: str = "respondent_id", overall: bool = True) -> DataFrame:
@@ -50,12 +50,28 @@ def covered(answers: DataFrame, segments: DataFrame) -> DataFrame:
     return answers
 
 
+def by_segment(answers: DataFrame, segments: DataFrame, values: list[str]) -> DataFrame:
+    """(values..., dim, key, n): how many answers of each segment have these values.
+
+    A respondent's segments are one combination. Answers are summed by values and combination, which is the only time that
+    they are shuffled after they have met their respondent; the sums alone are then spread over the dimensions."""
+    held = segments.groupBy("respondent_id").agg(F.array_sort(F.collect_list(F.struct("dim", "key"))).alias("_all"))
+    summed = answers.join(held, "respondent_id").groupBy(*values, "_all").agg(F.count("*").alias("_n"))
+    return summed.select(*values, "_n", F.inline("_all")).groupBy(*values, "dim", "key").agg(F.sum("_n").alias("n"))
+
+
 def likert_cells(answers: DataFrame, segments: DataFrame, rungs: list[int], mask: int = MASK, key: str = "question_number") -> DataFrame:
     """Per question, dim and key: counts by rung, off-scale count, n on the scale, mean; masked ones are null."""
-    x = F.col("answer_numeric")
+    x, k = F.col("answer_numeric"), F.col("_k")
     sizes = segment_values(segments, mask).select("dim", "key", "masked")
-    cells = answers.join(segments, "respondent_id").groupBy(key, "dim", "key").agg(
-        F.array(*(F.count_if(x == r) for r in rungs)).alias("c"), F.count_if(x.isNull()).alias("off"), F.count(x).alias("n"), F.round(F.avg(x), 2).alias("mean")
+    counts = by_segment(answers, segments, [key, "answer_numeric"]).withColumnRenamed("n", "_k")
+
+    def held(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, k)), F.lit(0))
+
+    on = held(x.isNotNull())
+    cells = counts.groupBy(key, "dim", "key").agg(
+        F.array(*(held(x == r) for r in rungs)).alias("c"), held(x.isNull()).alias("off"), on.alias("n"), F.round(F.sum(x * k) / F.nullif(on, F.lit(0)), 2).alias("mean")
     )
     cells = cells.join(sizes, ["dim", "key"])
     hide = F.col("masked") & (F.col("dim") != OVERALL)
@@ -69,7 +85,9 @@ def stance_cells(answers: DataFrame, segments: DataFrame, ladder: list[str], mas
     subtracting its siblings from the whole: the smallest other cell."""
     a = F.col("answer_text")
     sizes = segment_values(segments, mask).select("dim", "key", "masked")
-    cells = answers.join(segments, "respondent_id").groupBy(key, "dim", "key").agg(F.array(*(F.count_if(a == v) for v in ladder)).alias("c"), F.count_if(a.isin(*ladder)).alias("n"))
+    counts = by_segment(answers, segments, [key, "answer_text"])
+    held = [F.coalesce(F.sum(F.when(a == v, F.col("n"))), F.lit(0)) for v in ladder]
+    cells = counts.groupBy(key, "dim", "key").agg(F.array(*held).alias("c"), F.coalesce(F.sum(F.when(a.isin(*ladder), F.col("n"))), F.lit(0)).alias("n"))
     cells = cells.join(sizes, ["dim", "key"])
     part = F.col("dim") != OVERALL
     cells = cells.withColumn("hide", part & (F.col("masked") | (F.col("n") < mask)))
@@ -85,7 +103,7 @@ def stance_cells(answers: DataFrame, segments: DataFrame, ladder: list[str], mas
 def pick_cells(selections: DataFrame, segments: DataFrame, mask: int = MASK, key: str = "question_number", option: str = "option_text") -> DataFrame:
     """Distinct respondents by option and segment; masked by the segment's size only."""
     sizes = segment_values(segments, mask).select("dim", "key", "masked")
-    cells = selections.join(segments, "respondent_id").groupBy(key, option, "dim", "key").agg(F.countDistinct("respondent_id").alias("n")).join(sizes, ["dim", "key"])
+    cells = by_segment(selections.select(key, option, "respondent_id").distinct(), segments, [key, option]).join(sizes, ["dim", "key"])
     hide = F.col("masked") & (F.col("dim") != OVERALL)
     return cells.select(key, option, "dim", "key", F.when(~hide, F.col("n")).alias("n"), hide.alias("masked"))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators.ranking import ranked, use_checkpoints
 
 
 def text_members(answers: DataFrame, id_col: str, text_col: str, min_chars: int = 200, preview: int = 240) -> DataFrame:
@@ -36,26 +35,31 @@ def listed(members: DataFrame, key: str, id_col: str, max_members: int = 100_000
     return members.join(sizes.select(key), key).groupBy(key).agg(T.join_ids(F.collect_set(id_col)).alias("members"))
 
 
-def sharing_summary(members: DataFrame) -> DataFrame:
-    """(id, n_shared, n_co_sharers): clusters that hold a respondent, and distinct others in them.
-
-    Respondents in the same clusters are one profile. Its others are the sizes of its clusters, less those counted
-    twice: respondents of a profile with several of the clusters. Only profiles of several clusters meet, by pairs of
-    clusters; what is left is square in the number of different profiles that hold one pair, not in respondents."""
-    m = members.select("cluster_hash", "id").distinct()
-    own = m.groupBy("id").agg(F.array_sort(F.collect_set("cluster_hash")).alias("clusters"))
-    own = own.withColumn("profile", F.sha1(F.array_join("clusters", ",")))
-    profiles = own.groupBy("profile").agg(F.count("*").alias("size"), F.first("clusters").alias("clusters"))
-    sizes = m.groupBy(F.col("cluster_hash").alias("c")).agg(F.count("*").alias("held"))
-    total = profiles.select("profile", F.explode("clusters").alias("c")).join(sizes, "c").groupBy("profile").agg(F.sum("held").alias("total"))
-    several = profiles.where(F.size("clusters") > 1)
-    pair = F.flatten(F.transform("clusters", lambda a: F.transform(F.filter("clusters", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    each = several.select("profile", F.explode(pair).alias("p"))
-    met = each.join(each.select(F.col("profile").alias("other"), "p"), "p").select("profile", "other").distinct()
-    met = met.join(several.select("profile", "clusters"), "profile").join(several.select(F.col("profile").alias("other"), F.col("clusters").alias("theirs"), "size"), "other")
-    twice = met.groupBy("profile").agg(F.sum(F.col("size") * (F.size(F.array_intersect("clusters", "theirs")) - 1)).alias("twice"))
-    counted = total.join(twice, "profile", "left").select("profile", (F.col("total") - F.coalesce("twice", F.lit(0)) - 1).alias("n_co_sharers"))
-    return own.join(counted, "profile").select("id", F.size("clusters").alias("n_shared"), "n_co_sharers")
+def sharing_summary(members: DataFrame, template_min: int = 3, large: int = 200) -> DataFrame:
+    """(id, n_shared, n_co_sharers, is_template): clusters that hold a respondent, distinct others in them, and whether
+    these are ``template_min`` at least (3 in the first edition, 1 in the second).
+
+    No respondents or profiles are paired but within clusters of at most ``large`` members. The holders of a set of larger
+    clusters are counted once for the set: respondents are numbered, so that those with the same large clusters are
+    neighbours, each cluster is a bitmap, and the bits of a set's bitmaps are put together and counted."""
+    m = members.select(F.col("cluster_hash").alias("c"), "id").distinct()
+    sizes = m.groupBy("c").agg(F.count("*").alias("held"))
+    big = F.col("held") > large
+    own = m.join(sizes, "c").groupBy("id").agg(
+        F.count("*").cast("int").alias("n_shared"), F.array_sort(F.collect_set(F.when(big, F.col("c")))).alias("large"), F.collect_set(F.when(~big, F.col("c"))).alias("small")
+    )
+    numbered = ranked(own.where(F.size("large") > 0).select("id", "large"), [F.col("large"), F.col("id")], "no")
+    bits = numbered.select(F.explode("large").alias("c"), F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit"))
+    maps = bits.groupBy("c", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    sets = numbered.select("large").distinct()
+    either = sets.select("large", F.explode("large").alias("c")).join(maps, "c").groupBy("large", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("map")).alias("n"))
+    of_set = either.groupBy("large").agg(F.sum("n").alias("in_large"))
+    each = own.select("id", "large", F.explode("small").alias("c"))
+    near = each.join(each.select(F.col("id").alias("other"), F.col("large").alias("theirs"), "c"), "c").where(F.col("id") != F.col("other")).where(~F.arrays_overlap("large", "theirs"))
+    in_small = near.select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("in_small"))
+    counted = own.select("id", "n_shared", "large").join(of_set, "large", "left").join(in_small, "id", "left")
+    n = F.coalesce(F.col("in_large") - 1, F.lit(0)) + F.coalesce("in_small", F.lit(0))
+    return counted.select("id", "n_shared", n.cast("long").alias("n_co_sharers"), (n >= template_min).alias("is_template"))
 
 
 def vector_clusters(scores: DataFrame, id_col: str, key: str, score: str, min_length: int = 10, min_members: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +68,8 @@ def vector_clusters(scores: DataFrame, id_col: str, key: str, score: str, min_le
     vectors = scores.where(F.col(score).isNotNull()).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("q"), F.col(score).alias("s")))).alias("v"))
     vectors = vectors.where(F.size("v") >= min_length).select(F.col(id_col).alias("id"), F.sha2(F.to_json("v"), 256).alias("h"), F.size("v").alias("vector_length"))
     groups = vectors.groupBy("h", "vector_length").agg(F.count("*").alias("n_respondents"), F.min("id").alias("first_id")).where(F.col("n_respondents") >= min_members)
-    order = W.orderBy(F.desc("n_respondents"), F.desc("vector_length"), "first_id")  # one row for each cluster
-    named = groups.select(F.format_string("vc%02d", F.row_number().over(order)).alias("cluster_id"), "n_respondents", "vector_length", "h")
+    numbered = ranked(groups, [F.desc("n_respondents"), F.desc("vector_length"), F.col("first_id")], "no")
+    named = numbered.select(F.format_string("vc%02d", "no").alias("cluster_id"), "n_respondents", "vector_length", "h")
     return named, vectors.join(named.select("cluster_id", "h"), "h").select("cluster_id", "id")
 
 
@@ -109,11 +113,11 @@ def families_by_name(entities: DataFrame, name: str, id_col: str, min_members: i
 def resubmissions(entities: DataFrame, name: str, id_col: str) -> DataFrame:
     """(id, kept_id, next_id, superseded): same name, the latest submission is kept, each points to the next."""
     norm = entities.where(~T.is_placeholder(F.col(name))).select(id_col, T.normalize(F.col(name)).alias("n"))
-    own = W.partitionBy("n")
-    return norm.select(
-        id_col, F.max(id_col).over(own).alias("kept_id"), F.lead(id_col).over(own.orderBy(id_col)).alias("next_id"), (F.col(id_col) < F.max(id_col).over(own)).alias("superseded"),
-        F.count("*").over(own).alias("n"),
-    ).where("n > 1").drop("n")
+    latest = norm.groupBy("n").agg(F.max(id_col).alias("kept_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+    placed = ranked(norm.join(latest, "n"), [F.col("n"), F.col(id_col)], "no")
+    after = placed.select(F.col("n").alias("n_after"), F.col(id_col).alias("next_id"), (F.col("no") - 1).alias("no"))
+    both = placed.join(after, "no", "left")
+    return both.select(id_col, "kept_id", F.when(F.col("n") == F.col("n_after"), F.col("next_id")).alias("next_id"), (F.col(id_col) < F.col("kept_id")).alias("superseded"))
 
 
 def common_edges(members: DataFrame, min_shared: int = 2, max_pairs: int = 200) -> DataFrame:
@@ -146,12 +150,7 @@ def blocs(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, bloc): connected components by smallest label; each round also jumps to the label's own label.
 
     Lineage is cut by ``checkpoint`` in the folder that ``spark.checkpoint.dir`` names."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyloom-"))
+    use_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("bloc", F.col("id")).checkpoint()
     for _ in range(rounds):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rounding import pct
+from tallyloom.operators.ranking import grouped_medians
 
 
 def dedup_votes(answers: DataFrame, group: Column, opposes: Column) -> DataFrame:
@@ -36,10 +37,10 @@ def theme_counts(coded: DataFrame, who: Column, id_col: str, themes: str = "them
 def median_mode(values: DataFrame, group: str, value: str, protest_over: float | None = None) -> DataFrame:
     """Rounded median (half up), first most frequent value, and how many lie over the protest limit."""
     over = F.col(value) > protest_over if protest_over is not None else F.lit(False)
-    fine = values.where(~over & F.col(value).isNotNull())
-    median = fine.groupBy(group).agg(F.round(F.expr(f"percentile(`{value}`, 0.5)")).cast("long").alias("median"))
-    counts = fine.groupBy(group, value).agg(F.count("*").alias("n"))
-    mode = counts.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), value))).where("r = 1").select(group, F.col(value).alias("mode"), F.col("n").alias("mode_n"))
+    counts = values.where(~over & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    median = grouped_medians(counts, [group], value, "n").select(group, F.round((F.col("low") + F.col("high")) / 2).cast("long").alias("median"))
+    first = F.min(F.struct((-F.col("n")).alias("less"), F.col(value).alias("value")))
+    mode = counts.groupBy(group).agg(first.alias("_m")).select(group, F.col("_m.value").alias("mode"), (-F.col("_m.less")).alias("mode_n"))
     protest = values.groupBy(group).agg(F.count_if(over).alias("n_protest"))
     return protest.join(median, group, "left").join(mode, group, "left")
 

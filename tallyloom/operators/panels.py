@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.functions.rounding import net, pct
+from tallyloom.operators.ranking import grouped_medians, running_total
 
 
 def year_histogram(answers: DataFrame, text: str, protest_over: int = 2050) -> DataFrame:
@@ -109,11 +110,7 @@ def mean_of_means(summary: DataFrame, construct: str, mean: str) -> DataFrame:
 
 def weighted_median(histogram: DataFrame, group: str, value: str, n: str) -> DataFrame:
     """Median of a histogram without expanding it, rounded half up."""
-    own = W.partitionBy(group).orderBy(value)
-    x = histogram.withColumns({"upto": F.sum(n).over(own), "all": F.sum(n).over(W.partitionBy(group))})
-    low = F.min(F.when(F.col("upto") >= F.floor((F.col("all") + 1) / 2), F.col(value)))
-    high = F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col(value)))
-    return x.groupBy(group).agg(low.alias("a"), high.alias("b")).select(group, F.round((F.col("a") + F.col("b")) / 2).cast("long").alias("median"))
+    return grouped_medians(histogram, [group], value, n).select(group, F.round((F.col("low") + F.col("high")) / 2).cast("long").alias("median"))
 
 
 def match_option(options: DataFrame, wanted: str, option: str = "option_text") -> DataFrame:
@@ -168,9 +165,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(col: str, out: str) -> DataFrame:
-        counts = both.groupBy(col).agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(W.orderBy(col))  # one row for each distinct value
-        return counts.select(F.col(col), (upto - (F.col("c") - 1) / 2).alias(out))
+        counts = running_total(both.groupBy(col).agg(F.count("*").alias("c")), [F.col(col)], "c")
+        return counts.select(F.col(col), (F.col("upto") - (F.col("c") - 1) / 2).alias(out))
 
     return both.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y).agg(F.count("*").alias("n"), F.round(F.corr("_rx", "_ry"), 6).alias("rho"))
 

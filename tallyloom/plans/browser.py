@@ -189,11 +189,13 @@ def a16_picklist_by(s, d):
     return C.pick_cells(picked, segments).select("option_text", F.col("key").alias("by"), "n")
 
 
-@query("""with w as (select source, len(regexp_extract_all(text, '\\S+')) as n from documents), m as (select source, median(n) as median, max(n)::int as max from w where n > 0 group by 1)
-select source, case when n = 0 then -1 when n < 50 then 0 when n < 200 then 1 else 2 end::int as band, count(*) as n, any_value(median) as median, any_value(max) as max from w left join m using (source) group by 1, 2""")
+@query("""with w as (select source, len(regexp_extract_all(text, '\\S+')) as n from documents), m as (select source, median(n) as median, max(n)::int as max from w where n > 0 group by 1),
+b as (select source, case when n = 0 then -1 when n < 50 then 0 when n < 200 then 1 when n < 1000 then 2 when n < 3000 then 3 else 4 end::int as band from w),
+g as (select source, unnest(range(0, max(band) + 1))::int as band from b group by 1 union all select distinct source, -1 from b where band = -1)
+select source, band, (select count(*) from b where b.source = g.source and b.band = g.band) as n, median, max from g left join m using (source)""")
 def a47_verbosity(s, d):
     n = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
-    return B.verbosity(S.table(s, d, "documents").select("source", n.alias("n_words")), "source", "n_words", [50, 200])
+    return B.verbosity(S.table(s, d, "documents").select("source", n.alias("n_words")), "source", "n_words", [50, 200, 1000, 3000])
 
 
 @query("""select question_number, count(answer_numeric) as n, round(100.0 * count(*) filter (where answer_numeric <= 2) / count(answer_numeric), 1) as pct_critical, count(*) filter (where answer_numeric is null) as n_off,

@@ -131,7 +131,8 @@ def _parsed(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Ite
         least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
         held.clear()
         gram = gram[first]
-        columns = [gram, name[first], least, group[first].astype(np.int32), (least != most).astype(np.uint8)]
+        # half of the trigger's hash goes along, its bucket says more: two triggers taken for one are only compared in vain
+        columns = [(gram >> np.uint64(32)).astype(np.uint32), name[first], least, group[first].astype(np.int32), (least != most).astype(np.uint8)]
         return _packed((gram % np.uint64(buckets)).astype(np.int64), ["gram", "name", "doc", "grp", "many"], columns, "bucket")
 
     for batch in batches:
@@ -150,7 +151,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Ite
 def _dictionary(table: pa.Table) -> pa.Table:
     """Of one bucket of triggers: for each group of documents its phrases whose trigger lies in several documents, with their
     smallest document, and whether that document must send the phrase for comparison."""
-    gram, name, doc, group, many = (_lists(table, n, k) for n, k in (("gram", np.uint64), ("name", np.uint64), ("doc", np.int64), ("grp", np.int32), ("many", np.uint8)))
+    gram, name, doc, group, many = (_lists(table, n, k) for n, k in (("gram", np.uint32), ("name", np.uint64), ("doc", np.int64), ("grp", np.int32), ("many", np.uint8)))
     order = np.lexsort((doc, name, gram))
     gram, name, doc, group, many = gram[order], name[order], doc[order], group[order], many[order]
     new_gram, new_name = _starts(gram), _starts(gram, name)

@@ -193,13 +193,6 @@ def critical_share(answers: DataFrame, key: str, score: str, at_most: float = 2.
     return answers.groupBy(key).agg(F.count(x).alias("n"), pct(F.count_if(x <= at_most), F.count(x)).alias("pct_critical"), F.count_if(x.isNull()).alias("n_off"), pct(F.count_if(x.isNull()), F.count("*")).alias("pct_off"))
 
 
-def forward_parents(questions: DataFrame, key: str = "question_number", parent: str = "parent_question") -> DataFrame:
-    """Questions that hang on themselves, a later one, or one that is not there."""
-    known = questions.select(F.col(key).alias("_k"))
-    named = questions.where(F.col(parent).isNotNull()).join(known, F.col(parent) == F.col("_k"), "left")
-    return named.where(F.col("_k").isNull() | (F.col(parent) >= F.col(key))).select(key, parent)
-
-
 def frozen_figures(measured: DataFrame, expected: dict[str, float], tolerance: float = 0.0) -> DataFrame:
     """(figure, expected, found, ok) for figures by name; one that was not measured is not ok."""
     want = measured.sparkSession.createDataFrame([(k, float(v)) for k, v in expected.items()], "figure string, expected double")

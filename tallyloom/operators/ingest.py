@@ -106,21 +106,6 @@ def write_in_totals(options: DataFrame, key: str, rules: Rules = Rules()) -> Dat
     )
 
 
-def parents_and_anchors(questions: DataFrame, references: str = "references_questions", anchor_roles: tuple[str, ...] = ("primary", "profile")) -> DataFrame:
-    """``parent_question``: largest reference below its own number, else the question before; ``anchor_question``:
-    the nearest primary question before it in its section."""
-    before = F.array_max(F.filter(references, lambda r: r < F.col("question_number")))
-    primary = F.col("role").isin(*anchor_roles)
-    every = W.orderBy("question_number")  # a codebook: one row for each question
-    section = W.partitionBy("section").orderBy("question_number").rowsBetween(W.unboundedPreceding, -1)
-    return questions.withColumns(
-        {
-            "parent_question": F.when(~primary, F.coalesce(before, F.lag("question_number").over(every))),
-            "anchor_question": F.when(~primary, F.last(F.when(primary, F.col("question_number")), ignorenulls=True).over(section)),
-        }
-    )
-
-
 def respondent_engagement(responses: DataFrame, n_questions: int) -> DataFrame:
     """Per respondent: answers, substantive answers and their share, free-text answers and characters, picks."""
     free = F.col("question_type") == "free_text"

@@ -53,6 +53,16 @@ def running_total(df: DataFrame, order: list[Column], amount: str, out: str = "u
     return placed.withColumn("_own", own).join(_before(placed, F.sum(amount)), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(out))
 
 
+def running_max(df: DataFrame, order: list[Column], value: Column, out: str = "before", parts: int | None = None) -> DataFrame:
+    """``df`` with the largest ``value`` of all rows before its own; nulls count for nothing."""
+    placed = _placed(df.withColumn("_value", value), order, parts)
+    own = F.max("_value").over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, -1))
+    best = placed.groupBy("_part").agg(F.max("_value").alias("_best"))
+    upto = F.max("_best").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # a row for each part
+    before = F.broadcast(best.select("_part", upto.alias("_before")))
+    return placed.withColumn("_own", own).join(before, "_part").select(*df.columns, F.greatest("_before", "_own").alias(out))
+
+
 def grouped_medians(counts: DataFrame, group: list[str], value: str, n: str, parts: int | None = None) -> DataFrame:
     """(group..., n, low, high): the two middle values of each group of a table of value counts; equal for an odd number.
 

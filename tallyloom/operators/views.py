@@ -32,11 +32,13 @@ def selections_view(selections: DataFrame, questions: DataFrame, respondents: Da
     return star(selections, questions, respondents)
 
 
-def question_tree(questions: DataFrame) -> DataFrame:
-    """Each follow-up beside the question that it hangs on."""
-    a = questions.select(F.col("question_number").alias("anchor_number"), F.col("shorthand").alias("anchor_shorthand"))
+def question_tree(questions: DataFrame, sub: str | None = None) -> DataFrame:
+    """Each question beside its anchor; a primary question is its own. ``sub`` numbers the rows of a matrix, whose first
+    row stands for the whole as an anchor."""
+    anchors = questions.where(F.col(sub).isNull() | (F.col(sub) == 1)) if sub else questions
+    a = anchors.select(F.col("question_number").alias("anchor_number"), F.col("shorthand").alias("anchor_shorthand"))
     c = questions.where("anchor_question is not null")
-    return c.join(a, c["anchor_question"] == a["anchor_number"]).select("anchor_number", "anchor_shorthand", "question_number", "shorthand", "role")
+    return c.join(a, c["anchor_question"] == a["anchor_number"]).select("anchor_number", "anchor_shorthand", "question_number", "shorthand", "role", *([sub] if sub else []))
 
 
 def answer_types(questions: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -217,13 +217,6 @@ def f27_short_text(s, d):
     return S.table(s, d, "documents").select("doc_id", T.short_text(F.col("text")).alias("short"))
 
 
-@query("""select * from (values (2, 3), (4, 4), (5, 99)) t(question_number, parent_question)""")
-def v4_forward_parents(s, d):
-    """Of some parents, three are wrong: a later question, the question itself, none."""
-    parents = s.createDataFrame([(1, None), (2, 3), (3, 2), (4, 4), (5, 99), (6, 5), (7, 1)], "question_number int, parent_question int")
-    return B.forward_parents(S.questions(s).join(parents, "question_number"))
-
-
 @query("""with m as (select 'respondents' as figure, count(*)::double as found from orders union all select 'answers', count(*)::double from lineitem),
 e as (select * from (values ('respondents', -1.0), ('answers', -2.0), ('absent', 0.0)) t(figure, expected))
 select figure, expected::double as expected, found, false as ok from e left join m using (figure) union all select 'regions', 5.0, count(*)::double, count(*) = 5 from region""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ingest as I
+from tallyloom.operators import tree as TR
 from tallyloom.operators import views as V
 from tallyloom.plans import registry
 from tallyloom.plans import survey as S
@@ -22,16 +22,20 @@ def register_views(spark: SparkSession, d: str) -> None:
     """Temporary views for the recipes, lazily planned."""
     answers, questions, respondents = S.answers(spark, d), S.questions(spark), S.respondents(spark, d)
     picks = S.picks(spark, d)
-    tree = I.parents_and_anchors(questions.withColumn("references_questions", F.array().cast("array<int>")))
     V.register(
         {
-            "answers": answers, "questions": questions, "respondents": respondents, "picks": picks, "v_question_tree": V.question_tree(tree),
+            "answers": answers, "questions": questions, "respondents": respondents, "picks": picks,
             "v_scale_answers": V.scale_answers(answers, questions, respondents), "v_option_counts": picks.groupBy("question", "option_text").agg(F.count("*").alias("n")),
             "option_ranks": spark.createDataFrame([("A", 1), ("N", 2), ("R", 3)], "answer_text string, option_rank int"),
         }
     )
 
 
+def register_tree(spark: SparkSession, d: str) -> None:
+    """The drill-down tree of the codebook; its links are settled first, so it is registered only where it is asked for."""
+    V.register({"v_question_tree": V.question_tree(TR.linked(S.codebook(spark, d), explicit="explicit_parent"))})
+
+
 RECIPES = {
     "q02_all_but_one_construct": "select respondent_id, shorthand, answer_numeric from v_scale_answers where scale_construct <> 'support'",
     "q04_discrete_answers_of_a_section": "select shorthand, answer_text, count(*) as n from v_scale_answers where section = 'B' group by shorthand, answer_text order by shorthand, n desc",
@@ -61,3 +65,29 @@ def _put(name: str, sql: str) -> None:
 
 for _name, _sql in RECIPES.items():
     _put(_name, _sql)
+
+
+_TREE = "select anchor_number, count(*) as n_questions, max(question_number) as last_question from v_question_tree where role <> 'primary' group by anchor_number"
+
+
+def q09_drill_down_tree(spark: SparkSession, d: str) -> DataFrame:
+    register_tree(spark, d)
+    return spark.sql(_TREE)
+
+
+registry.query(S.CODEBOOK_SQL + ", v_question_tree as (select a.question_number as anchor_number, c.question_number, c.role from book c join book a on a.question_number = c.anchor_question) " + _TREE)(q09_drill_down_tree)
+
+
+def q20_tree_of_a_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Some primary questions are matrices of three rows: their first row stands for the whole as an anchor."""
+    book = TR.linked(S.codebook(spark, d), explicit="explicit_parent")
+    matrix = (F.col("role") == "primary") & (F.col("question_number") % 2 == 0)
+    rows = book.withColumn("sub_number", F.explode(F.when(matrix, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(None).cast("int")))))
+    return V.question_tree(rows, sub="sub_number").select("anchor_number", "question_number", "sub_number", "role")
+
+
+registry.query(
+    S.CODEBOOK_SQL
+    + """, rows as (select *, unnest(case when role = 'primary' and question_number % 2 = 0 then [1, 2, 3] else [null]::int[] end)::int as sub_number from book)
+select a.question_number as anchor_number, c.question_number, c.sub_number, c.role from rows c join rows a on a.question_number = c.anchor_question and (a.sub_number is null or a.sub_number = 1)"""
+)(q20_tree_of_a_matrix)

@@ -14,6 +14,7 @@ from tallyloom.operators import derive as D
 from tallyloom.operators import ingest as I
 from tallyloom.operators import metrics as M
 from tallyloom.operators import quality as Q
+from tallyloom.operators import tree as TR
 from tallyloom.operators import views as V
 from tallyloom.plans import survey as S
 
@@ -164,26 +165,31 @@ def w3_nearest_anchor_before(s, d):
     return c.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("anchor"))
 
 
-@query("""
-, refs as (select *, case question_number when 3 then [2, 9] when 5 then []::int[] else []::int[] end as r from questions),
-placed as (select *, lag(question_number) over (order by question_number) as before,
-  last_value(case when role in ('primary', 'profile') then question_number end ignore nulls) over (partition by section order by question_number rows between unbounded preceding and 1 preceding) as near from refs)
-select question_number, case when role not in ('primary', 'profile') then coalesce(list_max(list_filter(r, lambda v: v < question_number)), before) end as parent_question,
-       case when role not in ('primary', 'profile') then near end as anchor_question from placed
-""", True)
+@query(S.CODEBOOK_SQL + "select question_number, parent_question, anchor_question from book")
 def w2_parents_and_anchors(s, d):
-    q = S.questions(s).withColumn("references_questions", F.when(F.col("question_number") == 3, F.array(F.lit(2), F.lit(9))).otherwise(F.array().cast("array<int>")))
-    return I.parents_and_anchors(q).select("question_number", "parent_question", "anchor_question")
+    return TR.linked(S.codebook(s, d), explicit="explicit_parent").select("question_number", "parent_question", "anchor_question")
 
 
-@query("""
-, anchored as (select c.question_number, c.shorthand, c.role, (select max(a.question_number) from questions a where a.section = c.section and a.question_number < c.question_number and a.role in ('primary', 'profile')) as anchor
-  from questions c where c.role not in ('primary', 'profile'))
-select a.question_number as anchor_number, a.shorthand as anchor_shorthand, c.question_number, c.shorthand, c.role from anchored c join questions a on a.question_number = c.anchor
-""", True)
+@query(S.CODEBOOK_SQL + """select a.question_number as anchor_number, a.shorthand as anchor_shorthand, c.question_number, c.shorthand, c.role
+from book c join book a on a.question_number = c.anchor_question""")
 def view_question_tree(s, d):
-    q = S.questions(s).withColumn("references_questions", F.array().cast("array<int>"))
-    return V.question_tree(I.parents_and_anchors(q))
+    return V.question_tree(TR.linked(S.codebook(s, d), explicit="explicit_parent"))
+
+
+@query(S.CODEBOOK_SQL + "select question, root, depth, array_to_string(path, '>') as path from tree")
+def j4_question_paths(s, d):
+    """The path from its root to every question, to any depth."""
+    found = TR.paths(TR.linked(S.codebook(s, d), explicit="explicit_parent"))
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@query(S.CODEBOOK_SQL + """select question_number, parent_question, case when parent_question not in (select question_number from c) then 'missing' when parent_question = question_number then 'itself' else 'later' end as problem
+from book where parent_question is not null and (parent_question not in (select question_number from c) or parent_question >= question_number)
+union all select question_number, parent_question, 'cycle' from book where question_number not in (select question from tree)""")
+def v4_forward_parents(s, d):
+    """Parents that are missing, later or the question itself, and all questions that hang on a cycle."""
+    book = TR.linked(S.codebook(s, d), explicit="explicit_parent")
+    return TR.parent_problems(book).unionByName(TR.unrooted(book).withColumn("problem", F.lit("cycle")))
 
 
 # ---- reshaping, shape inference, options ---------------------------------------------------------------------------

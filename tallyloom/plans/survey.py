@@ -50,6 +50,33 @@ def picks(spark: SparkSession, d: str) -> DataFrame:
     return explode_selections(part, ["respondent_id", "question"], "raw")
 
 
+def codebook(spark: SparkSession, d: str) -> DataFrame:
+    """A codebook with faults: each part a question, types as sections; some explicit parents are later, missing, or the question itself."""
+    roles = "element_at(array('primary', 'comment', 'basis', 'free_text_primary', 'profile'), p_size % 5 + 1)"
+    number = "cast(p_partkey as int)"
+    explicit = f"case when p_size > 46 then {number} + 1 when p_size = 46 then {number} when p_size = 42 then -1 when p_size < 18 then {number} div 2 end"
+    return table(spark, d, "part").selectExpr(
+        f"{number} as question_number", "p_type as section", "p_name as shorthand", f"{roles} as role", f"cast({explicit} as int) as explicit_parent",
+        f"case when p_size % 3 = 0 then array({number} div 3, {number} + 1, -5) else cast(array() as array<int>) end as references_questions",
+    )
+
+
+CODEBOOK_SQL = """
+with recursive c as (
+  select p_partkey::int as question_number, p_type as section, p_name as shorthand, (['primary', 'comment', 'basis', 'free_text_primary', 'profile'])[p_size % 5 + 1] as role,
+         case when p_size > 46 then p_partkey + 1 when p_size = 46 then p_partkey when p_size = 42 then -1 when p_size < 18 then p_partkey // 2 end::int as explicit_parent,
+         case when p_size % 3 = 0 then [p_partkey // 3, p_partkey + 1, -5] else [] end as refs from part),
+r as (select question_number, max(x) as reference from (select question_number, unnest(refs) as x from c) where x < question_number and x in (select question_number from c) group by 1),
+book as (
+  select c.*, case when role in ('comment', 'basis') then coalesce(explicit_parent, reference, lag(question_number) over (order by question_number)) end::int as parent_question,
+         case when role in ('comment', 'basis') then max(case when role in ('primary', 'profile') then question_number end) over (partition by section order by question_number rows between unbounded preceding and 1 preceding)
+              when role in ('primary', 'free_text_primary') then question_number end as anchor_question
+  from c left join r using (question_number)),
+tree(question, root, depth, path) as (
+  select question_number, question_number, 0, [question_number] from book where parent_question is null or parent_question not in (select question_number from c)
+  union all select b.question_number, root, depth + 1, list_append(path, b.question_number) from tree join book b on b.parent_question = tree.question)
+"""
+
 _ROWS = ", ".join("(" + ", ".join("null" if v is None else repr(v) for v in q) + ")" for q in QUESTIONS)
 
 SQL = f"""

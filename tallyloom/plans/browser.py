@@ -228,14 +228,6 @@ def v6_frozen_figures(s, d):
     return B.frozen_figures(measured, {"respondents": -1, "answers": -2, "absent": 0, "regions": 5})
 
 
-@query("""with j as (select * from (select c_custkey, case when c_acctbal < 0 then 'broken' when c_mktsegment = 'BUILDING' then '{"id":1}' else '{"id":1,"name":"' || c_name || '"}' end as doc from customer)),
-x as (select count(*) filter (where doc = 'broken') as a, count(*) filter (where doc = 'broken' or doc = '{"id":1}') as b, count(*) filter (where length(doc) > 20) as c from j)
-select 'parses' as "check", a as n_bad from x union all select 'required keys', b from x union all select 'size', c from x""")
-def v9_json_contract(s, d):
-    doc = F.when(F.col("c_acctbal") < 0, "broken").when(F.col("c_mktsegment") == "BUILDING", '{"id":1}').otherwise(F.concat(F.lit('{"id":1,"name":"'), "c_name", F.lit('"}')))
-    return B.json_contract(S.table(s, d, "customer").select(doc.alias("doc")), "doc", ["id", "name"], 20)
-
-
 @query("""select question_number, answer_text, option_rank from (select question_number, answer_text, row_number() over (partition by question_number order by count(*) desc, answer_text)::int as option_rank from answers group by 1, 2)""", True)
 def a7_option_ranks(s, d):
     counts = S.answers(s, d).groupBy("question_number", "answer_text").agg(F.count("*").alias("n"))

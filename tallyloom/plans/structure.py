@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import contract as K
 from tallyloom.operators import disclosure as X
+from tallyloom.operators import intervals as N
 from tallyloom.plans import survey as S
 from tallyloom.plans.registry import query
 
@@ -150,3 +151,27 @@ def v6_distributions(s, d):
     """Frozen distributions: values too many, too few, and not expected at all."""
     regions = {f"{r}": 1 for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
     return K.expected_distribution("status", S.table(s, d, "orders"), "o_orderstatus", {"O": 1, "X": 5}).unionByName(K.expected_distribution("region", S.table(s, d, "region"), "r_name", regions))
+
+
+# ---- intervals from a table ----------------------------------------------------------------------------------------
+
+_RANGES = "select s_suppkey as section, floor(s_acctbal) as low, floor(s_acctbal) + case when s_suppkey % 10 = 0 then 3000 else s_suppkey % 7 * 5 end as high from supplier"
+
+
+def _ranges(s, d):
+    width = F.when(F.col("s_suppkey") % 10 == 0, 3000).otherwise(F.col("s_suppkey") % 7 * 5)
+    return S.table(s, d, "supplier").select(F.col("s_suppkey").alias("section"), F.floor("s_acctbal").cast("double").alias("low"), (F.floor("s_acctbal") + width).cast("double").alias("high"))
+
+
+@query(f"""with i as ({_RANGES}) select section, count(*) as n, min(c_acctbal) as least, max(c_acctbal) as most from customer join i on c_acctbal >= low and c_acctbal < high group by 1""")
+def j7_points_in_ranges(s, d):
+    """Customers by ranges of their balance that a table gives: narrow ones, wide ones, empty ones."""
+    met = N.within(S.table(s, d, "customer"), _ranges(s, d), "c_acctbal", "low", "high", 25.0)
+    return met.groupBy("section").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("least"), F.max("c_acctbal").alias("most"))
+
+
+@query(f"""with i as ({_RANGES}), x as (select *, max(high) over (order by low, high, section rows between unbounded preceding and 1 preceding) as upto from i where low < high)
+select section as name, 'empty' as fault, low as a, high as b from i where low >= high union all
+select section, case when upto > low then 'overlap' else 'gap' end, case when upto > low then low else upto end, case when upto > low then least(high, upto) else low end from x where upto <> low""")
+def j7_range_faults(s, d):
+    return N.interval_faults(_ranges(s, d), "low", "high", "section")

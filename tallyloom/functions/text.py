@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -341,17 +343,48 @@ def humanise(text: Column) -> Column:
     return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
 
 
-_ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšșťțùúûüūůűųýÿźżž"
-_PLAIN = "aaaaaaaaacccddeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
-_LEGAL = r"inc|llc|ltd|limited|plc|gmbh|ag|sa|sas|bv|nv|spa|srl|oy|ab|as|co|corp|corporation|company|pty|llp|lp|kk|kg"
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Lower-case letters that decompose (NFKD, marks off) to one plain letter or digit, what they become, then the marks; and
+    the Latin ligatures, which become several."""
+    one, several, marks = {}, {}, ""
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks += c
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if plain and c == c.lower() and plain.isascii() and plain.isalnum():
+            if len(plain) == 1:
+                one[c] = plain
+            elif code < 0x250 or 0xFB00 <= code < 0xFB07:
+                several[c] = plain
+    return "".join(one) + marks, "".join(one.values()), several
+
+
+_DECOMPOSED, _PLAIN, _LIGATURES = _decompositions()
+# fixed values
+_LEGAL = r"inc|llc|ltd|limited|plc|gmbh|ag|sa|sas|bv|nv|spa|srl|oy|ab|as|co|corp|corporation|company|pty|llp|lp|kk|kg|group|holding|holdings|international"
+_CJK = r"[⺀-鿿가-힯＀-￯]"
+
+
+def unaccented(text: Column) -> Column:
+    """Lower case, in full compatibility decomposition and without marks; letters that do not decompose stay as they are."""
+    x = F.translate(F.lower(text_or_empty(text)), _DECOMPOSED, _PLAIN)
+    for c, plain in _LIGATURES.items():
+        x = F.replace(x, F.lit(c), F.lit(plain))
+    return x
+
 
+def entity_key(name: Column, min_chars: int = 3) -> Column:
+    """Key of an organisation across data sets: no CJK, accents, parentheses, titles, legal forms or leading "the".
 
-def entity_key(name: Column) -> Column:
-    """Key of an organisation across data sets: no CJK, accents, parentheses, titles, legal forms or leading "the"."""
-    x = F.translate(F.lower(text_or_empty(name)), _ACCENTED, _PLAIN)
-    for pattern in (r"[⺀-鿿가-힯＀-￯]", r"\([^)]*\)", r"^.*?\bon behalf of\b", r"\b(dr|mr|mrs|ms|prof)\b\.?", "[^a-z0-9]+", rf"\b(?:{_LEGAL})\b", r"^\s*the\b"):
+    What is left of fewer than ``min_chars`` characters is no key: empty."""
+    x = F.regexp_replace(text_or_empty(name), _CJK, " ")
+    x = unaccented(x)
+    for pattern in (r"\([^)]*\)", r"^.*?\bon behalf of\b", r"\b(dr|mr|mrs|ms|prof)\b\.?", "[^a-z0-9]+", rf"\b(?:{_LEGAL})\b", r"^\s*the\b"):
         x = F.regexp_replace(x, pattern, " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    x = F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.when(F.length(x) >= min_chars, x).otherwise("")
 
 
 def short_text(text: Column, n: int = 120) -> Column:

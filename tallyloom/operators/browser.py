@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as T
 from tallyloom.functions.rounding import pct
 from tallyloom.operators.ranking import grouped_medians
 
@@ -131,28 +132,48 @@ def answer_index(answers: DataFrame, selections: DataFrame, base: DataFrame) ->
 
 
 def entity_variants(left: DataFrame, right: DataFrame, min_tokens: int = 2) -> DataFrame:
-    """(left_id, right_id, tier): equal keys are exact; one name's words all in the other's, ``min_tokens`` at least, a variant.
+    """(left_id, right_id, tier): equal keys are exact; one name's words all in the other's, ``min_tokens`` (2 at least) of
+    them, a variant.
 
-    Both sides are (id, key). A shorter name is looked up by the rarest of its words only, so frequent words join nothing.
-    An entity with an exact match has no variants."""
+    Both sides are (id, key); empty keys match nothing. A shorter name is looked up by its two rarest words together among
+    the pairs of words of longer names, so words that many names have join nothing by themselves. An entity of either side
+    with an exact match has no variants."""
 
     def words(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(f"{name}_key"), F.array_distinct(F.split("key", " ")).alias(f"{name}_words"))
+        return df.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(f"{name}_key"), F.array_sort(F.array_distinct(F.split("key", " "))).alias(f"{name}_words"))
 
     a, b = words(left.where("key <> ''"), "left"), words(right.where("key <> ''"), "right")
     exact = a.join(b, F.col("left_key") == F.col("right_key")).select("left_id", "right_id", F.lit("exact").alias("tier"))
+    a = a.join(exact.select("left_id").distinct(), "left_id", "left_anti")
+    b = b.join(exact.select("right_id").distinct(), "right_id", "left_anti")
 
     def inside(short: DataFrame, long: DataFrame, s: str, l: str) -> DataFrame:
-        each = long.select(F.col(f"{l}_id"), F.col(f"{l}_words"), F.explode(f"{l}_words").alias("word"))
-        held = each.groupBy("word").agg(F.count("*").alias("df"))
-        rare = short.where(F.size(f"{s}_words") >= min_tokens).select(f"{s}_id", f"{s}_words", F.explode(f"{s}_words").alias("word")).join(held, "word", "left")
-        rank = F.row_number().over(W.partitionBy(f"{s}_id").orderBy(F.coalesce("df", F.lit(0)), "word"))
-        met = rare.withColumn("r", rank).where("r = 1").join(each, "word")
+        held = long.select(F.explode(f"{l}_words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+        each = short.where(F.size(f"{s}_words") >= max(2, min_tokens)).select(f"{s}_id", f"{s}_words", F.explode(f"{s}_words").alias("word")).join(held, "word", "left")
+        # a word that no longer name has rules the name out
+        rare = each.groupBy(f"{s}_id", f"{s}_words").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w")).where("least > 0")
+        rare = rare.select(f"{s}_id", f"{s}_words", F.array_sort(F.array(F.col("w")[0]["word"], F.col("w")[1]["word"])).alias("two"))
+        pair = F.flatten(F.transform(f"{l}_words", lambda x: F.transform(F.filter(f"{l}_words", lambda y: y > x), lambda y: F.array(x, y))))
+        met = rare.join(long.where(F.size(f"{l}_words") > 2).select(f"{l}_id", f"{l}_words", F.explode(pair).alias("two")), "two")
         met = met.where((F.size(F.array_except(f"{s}_words", f"{l}_words")) == 0) & (F.size(f"{s}_words") < F.size(f"{l}_words")))
         return met.select("left_id", "right_id", F.lit("variant").alias("tier"))
 
-    near = inside(a, b, "left", "right").unionByName(inside(b, a, "right", "left")).distinct().join(exact.select("left_id").distinct(), "left_id", "left_anti")
-    return exact.unionByName(near)
+    return exact.unionByName(inside(a, b, "left", "right").unionByName(inside(b, a, "right", "left")).distinct())
+
+
+def cross_matches(left: DataFrame, right: DataFrame, id_col: str, name: str, redacted: str, excluded: DataFrame | None = None) -> DataFrame:
+    """(left_id, right_id, tier) of organisations of two consultations, by :func:`entity_variants` of their keys.
+
+    Both-named rule: whoever is redacted on either side, or whose flag is null, is matched with nobody and listed nowhere.
+    Placeholders and ``excluded`` ids of the right side take no part either."""
+    if excluded is not None:
+        right = right.join(excluded.select(id_col), id_col, "left_anti")
+
+    def named(df: DataFrame) -> DataFrame:
+        fine = df.where(~F.coalesce(F.col(redacted), F.lit(True)) & ~T.is_placeholder(F.col(name)))
+        return fine.select(F.col(id_col).alias("id"), T.entity_key(F.col(name)).alias("key"))
+
+    return entity_variants(named(left), named(right))
 
 
 def rare_tail(df: DataFrame, group: str, flag: Column, min_n: int = 5) -> DataFrame:

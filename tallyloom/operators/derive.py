@@ -165,6 +165,34 @@ def blocs(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("blocs did not settle")
 
 
+def reached(seeds: DataFrame, edges: DataFrame, rounds: int = 1000, small: int = 200_000) -> DataFrame:
+    """(seed, id): what the ``edges`` (a, b) connect with each of ``seeds`` (seed, id), itself included.
+
+    Grown from the seeds only: a round joins what the last one found with the edges, so the rest of the graph is never
+    labelled; what was found is broadcast while it has at most ``small`` rows, counted each round, and shuffled beyond."""
+    use_checkpoints(edges.sparkSession)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    known = front = seeds.select("seed", "id").distinct().checkpoint()
+    for _ in range(rounds):
+        n = front.count()
+        if not n:
+            return known
+        met = both.join(F.broadcast(front) if n <= small else front, both["a"] == front["id"]).select("seed", F.col("b").alias("id")).distinct()
+        front = met.join(known, ["seed", "id"], "left_anti").checkpoint()
+        known = known.unionByName(front).checkpoint()
+    raise RuntimeError("seeds are not settled")
+
+
+def seeded_components(seeds: DataFrame, members: DataFrame, scope: DataFrame, min_shared: int, max_pairs: int = 200) -> DataFrame:
+    """(seed, id): respondents linked with each seed, step by step, by at least ``min_shared`` shared texts.
+
+    The walk stays in the seed's scope: ``scope`` is (id, area), and only texts shared within an area count. Members of areas
+    without a seed are left out before anything is compared. A seed that is in no cluster is alone."""
+    areas = scope.join(seeds.select("id"), "id", "left_semi").select("area").distinct()
+    near = members.join(scope.join(areas, "area", "left_semi"), "id").select(F.struct("area", "cluster_hash").alias("cluster_hash"), "id")
+    return reached(seeds, common_edges(near, min_shared, max_pairs))
+
+
 def citations(answers: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, signals, has_citation, n_urls) of answers with a signal."""
     found = answers.select(id_col, T.signals(F.col(text_col)).alias("signals"), F.size(T.find_urls(F.col(text_col))).alias("n_urls"))

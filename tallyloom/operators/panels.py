@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.functions.rounding import net, pct
+from tallyloom.operators import derive as D
 from tallyloom.operators.ranking import grouped_medians, running_total
 
 
@@ -182,3 +183,44 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
         F.max("n").alias("n"), F.round(F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r") * F.col("c"))) - F.max("n"), 6).alias("chi2"),
         ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("degrees"),
     )
+
+
+def resolved_blocs(
+    rules: list[tuple[str, str, object]], respondents: DataFrame, signatures: DataFrame, vectors: DataFrame, families: DataFrame, texts: DataFrame, area: str = "country",
+) -> DataFrame:
+    """(bloc, respondent_id, rules) of blocs by rules (bloc, kind, argument), each of one of five kinds.
+
+    ``anchor_signature``: an exact signature. ``vector_cluster``: who is in the cluster of a seed respondent. ``entity_family``:
+    a family by name. ``name_patterns``: patterns, in either case, that a named respondent's organisation holds.
+    ``text_component``: (seed, n), who is linked with the seed by n shared texts within its ``area``.
+    ``signatures`` is (respondent_id, signature), ``vectors`` (cluster_id, id), ``families`` (id, family), ``texts``
+    (cluster_hash, id). A seed in no cluster names nobody by its vector, and itself by its texts."""
+    of = {kind: [(bloc, argument) for bloc, k, argument in rules if k == kind] for _, kind, _ in rules}
+    unknown = set(of) - {"anchor_signature", "vector_cluster", "entity_family", "name_patterns", "text_component"}
+    if unknown:
+        raise ValueError(f"unknown kinds of rules: {sorted(unknown)}")
+    spark = respondents.sparkSession
+    parts: list[DataFrame] = []
+
+    def put(kind: str, df: DataFrame) -> None:
+        parts.append(df.select("bloc", "respondent_id", F.lit(kind).alias("rule")))
+
+    def given(kind: str, column: str, dtype: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(of[kind], f"bloc string, {column} {dtype}"))  # rules are given in code
+
+    if "anchor_signature" in of:
+        put("anchor_signature", signatures.join(given("anchor_signature", "signature", "string"), "signature"))
+    if "vector_cluster" in of:
+        wanted = vectors.join(given("vector_cluster", "id", "long"), "id").select("bloc", "cluster_id")
+        put("vector_cluster", vectors.join(wanted, "cluster_id").withColumnRenamed("id", "respondent_id"))
+    if "entity_family" in of:
+        put("entity_family", families.join(given("entity_family", "family", "string"), "family").withColumnRenamed("id", "respondent_id"))
+    for bloc, patterns in of.get("name_patterns", []):
+        held = reduce(lambda a, b: a | b, (F.col("organization").rlike(f"(?i){p}") for p in patterns))
+        named = respondents.where(~F.coalesce("is_redacted", F.lit(True)) & held)
+        put("name_patterns", named.select(F.lit(bloc).alias("bloc"), "respondent_id"))
+    for least in sorted({n for _, (_, n) in of.get("text_component", [])}):
+        seeds = spark.createDataFrame([(bloc, seed) for bloc, (seed, n) in of["text_component"] if n == least], "seed string, id long")
+        found = D.seeded_components(seeds, texts, respondents.select(F.col("respondent_id").alias("id"), F.col(area).alias("area")), least)
+        put("text_component", found.select(F.col("seed").alias("bloc"), F.col("id").alias("respondent_id")))
+    return reduce(DataFrame.unionByName, parts).groupBy("bloc", "respondent_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))

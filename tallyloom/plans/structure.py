@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import browser as B
 from tallyloom.operators import contract as K
+from tallyloom.operators import derive as D
 from tallyloom.operators import disclosure as X
 from tallyloom.operators import intervals as N
+from tallyloom.operators import panels as P
 from tallyloom.plans import survey as S
 from tallyloom.plans.registry import query
 
@@ -175,3 +178,60 @@ select section as name, 'empty' as fault, low as a, high as b from i where low >
 select section, case when upto > low then 'overlap' else 'gap' end, case when upto > low then low else upto end, case when upto > low then least(high, upto) else low end from x where upto <> low""")
 def j7_range_faults(s, d):
     return N.interval_faults(_ranges(s, d), "low", "high", "section")
+
+
+# ---- names across consultations, blocs by rules --------------------------------------------------------------------
+
+
+@query("""with l as (
+  select c_custkey as left_id, case when c_custkey % 9 = 0 then '' when c_custkey % 4 = 1 then 'societe ' || lower(n_name) || ' ' || c_custkey else 'offices ' || c_custkey || ' ' || lower(n_name) end as k, c_acctbal
+  from customer join nation on c_nationkey = n_nationkey),
+lf as (select left_id, trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g')) as k from l where k <> '' and c_acctbal >= 0),
+r as (select s_suppkey as right_id, trim(regexp_replace(case when s_suppkey % 4 = 1 then 'societe ' || lower(n_name) || ' ' || s_suppkey else 'offices ' || lower(n_name) || ' ' || s_suppkey || ' energy' end, '[^a-z0-9]+', ' ', 'g')) as k
+  from supplier join nation on s_nationkey = n_nationkey where s_acctbal >= 0 and s_suppkey % 11 <> 3),
+e as (select left_id, right_id from lf join r using (k)),
+lw as (select left_id, string_split(k, ' ') as w from lf where left_id not in (select left_id from e)),
+rw as (select right_id, string_split(k, ' ') as v from r where right_id not in (select right_id from e))
+select left_id, right_id, 'exact' as tier from e union all
+select left_id, right_id, 'variant' from lw, rw where (list_has_all(v, w) and len(list_distinct(w)) < len(list_distinct(v)) and len(list_distinct(w)) > 1) or (list_has_all(w, v) and len(list_distinct(v)) < len(list_distinct(w)) and len(list_distinct(v)) > 1)""")
+def j22_cross_matches(s, d):
+    """Organisations of two consultations: accents, ligatures, legal forms, aliases, placeholders, redacted on either side."""
+    n = S.table(s, d, "nation")
+    c = S.table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    p = S.table(s, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey").cast("string")
+    ours = F.when(key.cast("long") % 9 == 0, "N/A").when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("The Société "), "n_name", F.lit(" "), key, F.lit(" (formerly others) GmbH"))).otherwise(F.concat(F.lit("O\ufb03ces 株式会社 "), key, F.lit(" "), "n_name"))
+    other = F.col("s_suppkey").cast("string")
+    theirs = F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("SOCIETE "), "n_name", F.lit(", "), other, F.lit(" Ltd."))).otherwise(F.concat(F.lit("Offices "), "n_name", F.lit(" "), other, F.lit(" Energy Holdings")))
+    left = c.select(F.col("c_custkey").alias("id"), ours.alias("name"), (F.col("c_acctbal") < 0).alias("is_redacted"))
+    right = p.select(F.col("s_suppkey").alias("id"), theirs.alias("name"), F.when(F.col("s_acctbal") >= 0, False).alias("is_redacted"))
+    return B.cross_matches(left, right, "id", "name", "is_redacted", right.where("id % 11 = 3"))
+
+
+@query(""", scored as (select respondent_id, question_number, max(answer_numeric)::int as sc from answers group by 1, 2),
+sig as (select respondent_id, coalesce(max(case when question_number = 1 then sc end)::varchar, '-') || coalesce(max(case when question_number = 2 then sc end)::varchar, '-') as x from scored group by 1),
+v as (select respondent_id, string_agg(question_number || '=' || sc, ',' order by question_number) as v, count(*) as k from scored where sc is not null group by 1),
+vc as (select v from v where k >= 3 group by 1 having count(*) >= 2),
+near as (select distinct l_orderkey as id, l_partkey as k, country from lineitem join respondents on respondent_id = l_orderkey where country in (select country from respondents where respondent_id in (10, 20))),
+edges as (select a.id as a, b.id as b from near a join near b on a.k = b.k and a.country = b.country and a.id <> b.id group by 1, 2 having count(*) >= 1),
+m as (
+  select 'signed' as bloc, respondent_id, 'anchor_signature' as rule from sig where x = '15' union all
+  select 'alike', b.respondent_id, 'vector_cluster' from v a join v b using (v) where a.respondent_id = 33 and v in (select v from vc) union all
+  select 'signed', respondent_id, 'entity_family' from respondents where sector = '1-URGENT' and organization_type = 'BUILDING' union all
+  select 'sevens', respondent_id, 'name_patterns' from respondents where not is_redacted and regexp_matches(lower(organization), 'customer#0*7$|77$'))
+select bloc, respondent_id, string_agg(distinct rule, '|' order by rule) as rules from m group by 1, 2
+union all select bloc, id, 'text_component' from (
+  with recursive r(bloc, id) as (select 'near ' || respondent_id, respondent_id from respondents where respondent_id in (10, 20) union select r.bloc, e.b from r join edges e on e.a = r.id) select * from r)""", True)
+def a30_blocs_of_all_rules(s, d):
+    """Blocs by all five kinds of rule; those of shared texts grow from their seeds only."""
+    a, r = S.answers(s, d), S.respondents(s, d)
+    scored = a.groupBy("respondent_id", "question_number").agg(F.max("answer_numeric").cast("int").alias("sc"))
+    signatures = D.anchor_signature(scored, "respondent_id", "question_number", "sc", [1, 2])
+    _, vectors = D.vector_clusters(scored, "respondent_id", "question_number", "sc", 3)
+    families = r.where("organization_type = 'BUILDING'").select(F.col("respondent_id").alias("id"), F.col("sector").alias("family"))
+    texts = S.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("cluster_hash"), F.col("l_orderkey").alias("id"))
+    rules = [
+        ("signed", "anchor_signature", "15"), ("alike", "vector_cluster", 33), ("signed", "entity_family", "1-URGENT"), ("sevens", "name_patterns", ("CUSTOMER#0*7$", "77$")),
+        ("near 10", "text_component", (10, 1)), ("near 20", "text_component", (20, 1)),
+    ]
+    return P.resolved_blocs(rules, r, signatures, vectors, families, texts).withColumn("rules", F.array_join("rules", "|"))

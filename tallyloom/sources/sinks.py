@@ -1,4 +1,5 @@
-"""Sinks: Parquet tables for what is large; for published documents (bounded, and checked) single files.
+"""Sinks: tables, sorted parts and a file for each entity, written by the executors; for published documents (bounded, and
+checked) single files.
 
 Published files are byte-identical from run to run: rows in a total order, keys sorted, ``\\n`` line ends.
 """
@@ -10,7 +11,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Rows that a published document may have.
@@ -31,6 +32,54 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_layout(df: DataFrame, name: str, path: str, buckets: int, by: list[str], sort_by: list[str] | None = None, bloom: list[str] | None = None, row_group: int | None = None) -> DataFrame:
+    """A table ``name`` in a physical order, where other engines have indexes: tables in equal ``buckets`` of a key join without
+    a shuffle, row groups of a sorted column are skipped by their bounds, those of a ``bloom`` column by their filter."""
+    writer = df.write.format("parquet").mode("overwrite").option("path", path).bucketBy(buckets, *by)
+    writer = writer.sortBy(*sort_by) if sort_by else writer
+    for column in bloom or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    if row_group:
+        writer = writer.option("parquet.block.size", str(row_group))
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def write_checked(df: DataFrame, path: str, metrics: dict[str, Column], expected: dict[str, object] | None = None) -> dict:
+    """Write ``df`` as Parquet and give its ``metrics``, gathered while it is written: no second scan.
+
+    A metric that differs from ``expected`` raises, with all that do, after the write; the table stays for a look at it."""
+    seen = Observation()
+    df.observe(seen, *(c.alias(n) for n, c in metrics.items())).write.mode("overwrite").parquet(path)
+    found = seen.get
+    wrong = [f"{n}: {found[n]}, not {v}" for n, v in (expected or {}).items() if found[n] != v]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return found
+
+
+def write_csv_parts(df: DataFrame, path: str, columns: list[str], order: list[str], parts: int = 1) -> None:
+    """CSV files with exactly these columns, cut by range and sorted: one after the other they are the same bytes each time,
+    whatever the number of ``parts``. ``order`` must tell all rows apart. There is no header; others in ``df`` raise."""
+    extra = set(df.columns) - set(columns)
+    if extra:
+        raise ValueError(f"columns without a place: {sorted(extra)}")
+    cut = df.select(*columns).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut.write.mode("overwrite").option("emptyValue", "").option("nullValue", "").option("lineSep", "\n").csv(path)
+
+
+def write_json_parts(df: DataFrame, path: str, order: list[str], parts: int = 1) -> None:
+    """Canonical JSON lines, cut by range and sorted as :func:`write_csv_parts`: keys sorted, nulls kept."""
+    lines = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    lines.select(json_column(df, df.columns).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_entity_parts(df: DataFrame, path: str, key: str) -> None:
+    """A folder ``key=value`` with one canonical JSON line for each row of that key; entities that are gone have none."""
+    body = json_column(df, df.columns).alias("value")
+    df.select(F.col(key).alias("entity"), body).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("entity").text(path)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> int:
     """One CSV file with exactly these columns; others in ``df`` raise."""
     extra = set(df.columns) - set(columns)

@@ -101,6 +101,26 @@ def quote_cut(text: Column, limit: int = 600) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.coalesce(F.nullif(F.regexp_extract(head, r"(?s)^(.*) ", 1), F.lit("")), head))
 
 
+def checked_quote(text: Column, limit: int = 600, strict: bool = False) -> Column:
+    """(quote, warning): the cut quote, and what was cut, or null; ``strict`` (second edition) raises instead."""
+    cut = quote_cut(text, limit)
+    long = F.length(text) > limit
+    warning = F.when(long, F.concat(F.lit("quote "), F.length(text).cast("string"), F.lit(" chars, truncated to "), F.length(cut).cast("string"), F.lit(f" (limit {limit})")))
+    if strict:
+        cut = F.when(long, F.raise_error(F.concat(F.lit("quote of "), F.length(text).cast("string"), F.lit(f" chars, limit {limit}")))).otherwise(cut)
+    return F.struct(cut.alias("quote"), warning.alias("warning"))
+
+
+def story(text: Column, start: str, end: str, limit: int = 600) -> Column:
+    """(quote, problem) of a slice between markers: no answer, no start, no end after it, or too long a quote."""
+    slice_ = between_markers(text, start, end)
+    problem = (
+        F.when(text.isNull() | (text == ""), "no answer").when(F.locate(start, text) == 0, "no start marker").when(slice_.isNull(), "no end marker")
+        .when(F.length(slice_) > limit, "too long")
+    )
+    return F.struct(F.when(problem.isNull(), slice_).alias("quote"), problem.alias("problem"))
+
+
 def between_markers(text: Column, start: str, end: str) -> Column:
     """From ``start`` up to and with the next ``end``; null if either is missing."""
     at = F.locate(start, text)

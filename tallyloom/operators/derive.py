@@ -199,6 +199,19 @@ def citations(answers: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where(F.size("signals") > 0).withColumn("has_citation", T.has_hard_signal(F.col("signals")))
 
 
+def citation_rollup(answers: DataFrame, id_col: str, text_col: str, strict: bool = False) -> DataFrame:
+    """(id, n_signal_answers, n_hard, n_urls, domains): by respondent, answers with a signal and with a hard one, links with a
+    domain, and their distinct domains in order. A respondent without any has no row."""
+    x = F.col(text_col)
+    signals = T.signals(x)
+    domains = F.filter(F.transform(T.find_urls(x), lambda u: T.registrable_domain(u, strict)), lambda v: v != "")
+    each = answers.select(F.col(id_col).alias("id"), (F.size(signals) > 0).alias("any"), T.has_hard_signal(signals).alias("hard"), domains.alias("d"))
+    held = each.where("any or size(d) > 0")
+    sums = held.groupBy("id").agg(F.count_if("any").alias("n_signal_answers"), F.count_if("hard").alias("n_hard"), F.sum(F.size("d")).alias("n_urls"))
+    named = held.select("id", F.explode("d").alias("d")).distinct().groupBy("id").agg(F.array_sort(F.collect_list("d")).alias("domains"))
+    return sums.join(named, "id", "left").withColumn("domains", F.coalesce("domains", F.array().cast("array<string>")))
+
+
 def linked_domains(answers: DataFrame, id_col: str, text_col: str, strict: bool = False) -> DataFrame:
     """(domain, n_answers, n_links): registrable domains of all links."""
     urls = answers.select(id_col, F.explode(T.find_urls(F.col(text_col))).alias("url"))

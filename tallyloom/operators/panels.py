@@ -32,6 +32,25 @@ def side_effect(answers: DataFrame, key: str, side: str, sides: tuple[str, str],
     return out.select(key, *(F.when(fine, F.col(c)).alias(c) for c in ("n_a", "mean_a", "n_b", "mean_b")), (~fine).alias("masked"))
 
 
+def two_sided_cells(answers: DataFrame, key: str, side: Column, sides: tuple[str, str], ladder: list[str], mask: int = 5, thin: int = 10, answer: str = "answer_text") -> DataFrame:
+    """(question, side, c, n, thin, masked) of the two sides of an effect (redaction; one country against all others).
+
+    A cell under ``mask`` answers is hidden, and the other side with it, which would give it away beside the whole."""
+    a = F.col(answer)
+    cells = answers.where(a.isin(*ladder)).groupBy(key, side.alias("side")).agg(*(F.count_if(a == v).alias(f"_{i}") for i, v in enumerate(ladder)), F.count("*").alias("n"))
+    both = answers.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, sides))).alias("side")).join(cells, [key, "side"], "left").na.fill(0)
+    least = both.groupBy(key).agg(F.min("n").alias("_least"))
+    out = both.join(least, key).withColumn("masked", F.col("_least") < mask)
+    seen = ~F.col("masked")
+    return out.select(key, "side", F.when(seen, F.array(*(F.col(f"_{i}") for i in range(len(ladder))))).alias("c"), F.when(seen, F.col("n")).alias("n"), (seen & (F.col("n") < thin)).alias("thin"), "masked")
+
+
+def heaviest_off_scale(cells: DataFrame, key: str, off: str = "off", n: str = "n") -> DataFrame:
+    """One row: the question with the largest share of answers off its scale; of equal ones the first."""
+    share = F.col(off) / (F.col(off) + F.coalesce(n, F.lit(0)))
+    return cells.where(F.col(off) > 0).select(key, off, n, share.alias("share")).orderBy(F.desc("share"), key).limit(1)
+
+
 def audit_matrix(audit: DataFrame, claimed: str, audited: str, same: dict[str, str]) -> DataFrame:
     """(claimed, audited, n, matches): ``same`` names the audited class that a claim stands for."""
     known = F.create_map(*(F.lit(x) for kv in same.items() for x in kv)) if same else F.create_map().cast("map<string,string>")

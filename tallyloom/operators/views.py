@@ -41,6 +41,30 @@ def question_tree(questions: DataFrame, sub: str | None = None) -> DataFrame:
     return c.join(a, c["anchor_question"] == a["anchor_number"]).select("anchor_number", "anchor_shorthand", "question_number", "shorthand", "role", *([sub] if sub else []))
 
 
+STANCE_TYPES = ("single_select", "ordinal_select", "matrix_rating")
+
+
+def stance_summary(responses: DataFrame, questions: DataFrame, types: tuple[str, ...] = STANCE_TYPES) -> DataFrame:
+    """Per closed-choice question: answers, those on its ladder, and the mean rank where it has one, else null."""
+    agg = responses.groupBy("question_number").agg(F.count("answer_text").alias("n_answered"), F.count("answer_numeric").alias("n_ranked"), F.round(F.avg("answer_numeric"), 2).alias("mean_rank"))
+    counts = ["n_answered", "n_ranked"]
+    return questions.where(F.col("question_type").isin(*types)).join(agg, "question_number", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
+def stance_by_redaction(answers: DataFrame, keys: list[str], answer: str = "answer_text") -> DataFrame:
+    """Counts of each answer by whether identity was withheld; no means of stances."""
+    red = F.col("is_redacted")
+    return answers.groupBy(*keys, answer).agg(F.count_if(~red).alias("n_named"), F.count_if(red).alias("n_redacted"), F.count("*").alias("n_total"))
+
+
+def response_rates(questions: DataFrame, responses: DataFrame, options: DataFrame, n_respondents: int, key: str = "question_number") -> DataFrame:
+    """The codebook's columns of response: answers, their share of all respondents, canonical options; zero where there are none."""
+    given = responses.groupBy(key).agg(F.countDistinct("respondent_id").alias("n_answered"))
+    canonical = options.where("is_canonical").groupBy(key).agg(F.count("*").alias("n_options"))
+    out = questions.join(given, key, "left").join(canonical, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_answered", "n_options")})
+    return out.withColumn("response_rate_pct", F.round(100.0 * F.col("n_answered") / n_respondents, 1))
+
+
 def answer_types(questions: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """Questions and answers by codebook keys."""
     return questions.join(counts, "question_number", "left").groupBy(*keys).agg(F.count("*").alias("n_questions"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"))

@@ -134,10 +134,12 @@ def p13_quote_filter(s, d):
     return B.quote_filter(quotes, ["red", "ring"], True, topic="PROMO").select("p_partkey", "topic")
 
 
-@query("select respondent_id, question_number, answer_text from answers join questions using (question_number) join respondents using (respondent_id) where not is_redacted and role = 'profile'", True)
+@query("select respondent_id, question_number, answer_text from answers join respondents using (respondent_id) where not is_redacted and question_number in (1, 5)", True)
 def p7_named_profile(s, d):
+    """Questions 1, 3 and 5 as profile questions, of which 3 is hidden."""
     star = V.star(S.answers(s, d), S.questions(s), S.respondents(s, d))
-    return B.public_columns(B.named_profile(star, [15, 17]), ["respondent_id", "question_number", "answer_text"])
+    star = star.withColumn("role", F.when(F.col("question_number").isin(1, 3, 5), "profile").otherwise(F.col("role")))
+    return B.public_columns(B.named_profile(star, [3, 15, 17]), ["respondent_id", "question_number", "answer_text"])
 
 
 @query("select respondent_id, organization_type, is_redacted from respondents", True)
@@ -229,6 +231,6 @@ def v6_frozen_figures(s, d):
 
 
 @query("""select question_number, answer_text, option_rank from (select question_number, answer_text, row_number() over (partition by question_number order by count(*) desc, answer_text)::int as option_rank from answers group by 1, 2)""", True)
-def a7_option_ranks(s, d):
+def w7_frequency_ranks(s, d):
     counts = S.answers(s, d).groupBy("question_number", "answer_text").agg(F.count("*").alias("n"))
     return I.frequency_ranks(counts, ["question_number"], "answer_text", "n").select("question_number", "answer_text", "option_rank")

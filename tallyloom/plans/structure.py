@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as T
 from tallyloom.operators import browser as B
+from tallyloom.operators import cells as C
 from tallyloom.operators import contract as K
 from tallyloom.operators import derive as D
 from tallyloom.operators import disclosure as X
+from tallyloom.operators import ingest as I
 from tallyloom.operators import intervals as N
 from tallyloom.operators import panels as P
+from tallyloom.operators import quality as Q
+from tallyloom.operators import views as V
 from tallyloom.plans import survey as S
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import _segments, query
+from tallyloom.sources import readers
 
 # ---- disclosure: what the visible cells give away ------------------------------------------------------------------
 
@@ -235,3 +241,226 @@ def a30_blocs_of_all_rules(s, d):
         ("near 10", "text_component", (10, 1)), ("near 20", "text_component", (20, 1)),
     ]
     return P.resolved_blocs(rules, r, signatures, vectors, families, texts).withColumn("rules", F.array_join("rules", "|"))
+
+
+# ---- labels, ranks, rates ------------------------------------------------------------------------------------------
+
+_LABELS = """select 'Q' || lpad(cast(p_partkey % 900 as varchar(9)), 3, '0') || case when p_size = 7 then 'x' else '' end as question_id, cast(p_partkey % 900 as int) + case when p_size = 9 then 1 else 0 end as question_number,
+ case when p_size = 3 then '9bad' when p_size = 4 then 'a_very_long_shorthand_for_a_question_' || cast(p_partkey as varchar(20)) else replace(p_name, ' ', '_') || '_' || cast(p_partkey as varchar(20)) end as shorthand,
+ case when p_size = 5 then ' ' else p_name end as label, case when p_size = 6 then null else lower(p_type) end as category, case when p_size = 8 then null when p_size = 10 then 'other' else 'lbm' end as method,
+ case when p_size = 11 then '' when p_size = 12 then 'provisional' else lower(p_brand) end as subcategory, case when p_size = 13 then '' else 'some note' end as notes from part"""
+
+
+@query(f"""with l as ({_LABELS}), t as (select *, coalesce(trim(subcategory), '') as sub from l),
+v as (
+  select 'shorthand form' as rule, question_id as id, shorthand as detail from l where not regexp_matches(shorthand, '^[a-z][a-z0-9_]*$') union all
+  select 'shorthand length', question_id, shorthand from l where length(shorthand) > 40 union all
+  select 'shorthand digits', question_id, shorthand from l where regexp_matches(shorthand, '[0-9]') union all
+  select 'label present', question_id, label from l where trim(label) = '' union all
+  select 'subcategory present', question_id, subcategory from t where sub = '' union all
+  select 'category vocabulary', question_id, category from l where category not in ('economy', 'promo', 'small') union all
+  select 'category needs method', question_id, category from l where category is not null and method is null union all
+  select 'category implies method', question_id, method from l where category = 'economy' and method <> 'lbm' union all
+  select 'subcategory of category', question_id, subcategory from t where category = 'promo' and sub not in ('brand#1', 'brand#2', 'provisional') union all
+  select 'notes required', question_id, notes from l where question_id in ('Q013', 'Q100', 'Q101') and notes = '' union all
+  select 'id form', question_id, question_id from l where not regexp_matches(question_id, '^Q[0-9]{{3}}$') union all
+  select 'number of id', question_id, question_number::varchar from l where regexp_matches(question_id, '^Q[0-9]{{3}}$') and substr(question_id, 2)::int <> question_number union all
+  select 'question_id unique', question_id, question_id from l where question_id in (select question_id from l group by 1 having count(*) > 1) union all
+  select 'shorthand unique', question_id, shorthand from l where shorthand in (select shorthand from l group by 1 having count(*) > 1))
+select rule, id, coalesce(detail, '') as detail, count(*) as n from v group by 1, 2, 3""")
+def s4_label_rules(s, d):
+    """Every broken rule of every label of a codebook that breaks each of them."""
+    labels = S.table(s, d, "part").selectExpr(*_columns(_LABELS))
+    found = readers.label_violations(
+        labels, {"category": ["economy", "promo", "small"]}, {"economy": "lbm"}, {"promo": ["brand#1", "brand#2"]}, ("label", "subcategory"),
+        ("Q013", "Q100", "Q101"), digits=False, numbered=True, placeholder="provisional",
+    )
+    found = found.where("rule <> 'category placeholder'")
+    return found.groupBy("rule", "id", F.coalesce("detail", F.lit("")).alias("detail")).agg(F.count("*").alias("n"))
+
+
+def _columns(select: str) -> list[str]:
+    """The columns of a ``select ... from`` whose commas at the top level part them."""
+    body, depth, out, now = select[len("select ") : select.rindex(" from ")], 0, [], ""
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+    return [*out, now]
+
+
+@query("""with o as (select p_brand as question, case when p_size < 30 then cast(p_size % 7 as varchar) || ' - ' || p_type when p_size < 40 then 'Unsure' when p_size < 45 then 'N/A' else p_type end as option_text from part),
+c as (select question, option_text, count(*) as n_selected from o group by 1, 2)
+select question, option_text, n_selected, case when option_text = 'PROMO' then 9 when option_text not in ('Unsure', 'N/A') then nullif(regexp_extract(option_text, '^([1-5])', 1), '')::int end as option_rank,
+ option_text in ('Unsure', 'N/A') as is_off_scale from c""")
+def a7_option_ranks(s, d):
+    """The ladder's rank, else the leading digit from 1 to 5, none for answers off the scale."""
+    size = F.col("p_size")
+    text = F.when(size < 30, F.concat((size % 7).cast("string"), F.lit(" - "), "p_type")).when(size < 40, "Unsure").when(size < 45, "N/A").otherwise(F.col("p_type"))
+    picks = S.table(s, d, "part").select(F.col("p_brand").alias("question"), text.alias("option_text"), F.col("p_partkey").alias("row_ord"))
+    bases = picks.groupBy("question").agg(F.count("*").alias("n_answered"))
+    out = I.option_catalogue(picks, bases, "question", ladder=F.when(F.col("option_text") == "PROMO", 9))
+    return out.select("question", "option_text", "n_selected", "option_rank", "is_off_scale")
+
+
+@query(""", o as (select question_number, answer_text, count(*) as k from answers group by 1, 2), b as (select question_number, count(distinct respondent_id) as n from answers group by 1)
+select q.question_number, q.shorthand, coalesce(b.n, 0) as n_answered, (select count(*) from o where o.question_number = q.question_number and o.k >= greatest(3, 0.3 * b.n)) as n_options,
+ round(100.0 * coalesce(b.n, 0) / (select count(*) from respondents), 1) as response_rate_pct from (select question_number, shorthand from questions union all select 99, 'nobody') q left join b using (question_number)""", True)
+def a3_response_rates(s, d):
+    a = S.answers(s, d)
+    picks = a.select("question_number", F.col("answer_text").alias("option_text"), F.col("respondent_id").alias("row_ord"))
+    bases = a.groupBy("question_number").agg(F.countDistinct("respondent_id").alias("n_answered"))
+    options = I.option_catalogue(picks, bases, "question_number", I.Rules(canonical_share=0.3))
+    book = S.questions(s).select("question_number", "shorthand").unionByName(S.questions(s).limit(1).select(F.lit(99).alias("question_number"), F.lit("nobody").alias("shorthand")))
+    return V.response_rates(book, a, options, S.respondents(s, d).count())
+
+
+@query(""", x as (select q.question_number, q.shorthand, count(a.answer_text) as n_answered, count(a.answer_numeric) as n_ranked, round(avg(a.answer_numeric), 2) as mean_rank from questions q left join answers a using (question_number)
+ where q.question_type in ('single_select', 'likert_1_5') group by 1, 2) select * from x""", True)
+def a12_stance_summary(s, d):
+    out = V.stance_summary(S.answers(s, d), S.questions(s), ("single_select", "likert_1_5"))
+    return out.select("question_number", "shorthand", "n_answered", "n_ranked", "mean_rank")
+
+
+@query("""select question_number, answer_text, count(*) filter (where not is_redacted) as n_named, count(*) filter (where is_redacted) as n_redacted, count(*) as n_total from answers join respondents using (respondent_id) group by 1, 2""", True)
+def a12_stance_by_redaction(s, d):
+    return V.stance_by_redaction(S.answers(s, d).join(S.respondents(s, d), "respondent_id"), ["question_number"])
+
+
+@query(""", x as (select question_number, case when country = 'NATION_3' then 'one' else 'others' end as side, answer_text from answers join respondents using (respondent_id) where answer_text in ('A', 'R')),
+g as (select question_number, side from (select distinct question_number from answers), (values ('one'), ('others')) t(side)),
+c as (select g.question_number, g.side, count(answer_text) filter (where answer_text = 'A') as a, count(answer_text) filter (where answer_text = 'R') as r, count(answer_text) as n from g left join x using (question_number, side) group by 1, 2),
+m as (select *, min(n) over (partition by question_number) < 40 as masked from c)
+select question_number, side, case when not masked then n end as n, case when not masked then a end as n_a, not masked and n < 100 as thin, masked from m""", True)
+def a22_country_effect(s, d):
+    """One country against all others, hidden on both sides where either is small."""
+    a = S.answers(s, d).join(S.respondents(s, d), "respondent_id")
+    side = F.when(F.col("country") == "NATION_3", "one").otherwise("others")
+    out = P.two_sided_cells(a, "question_number", side, ("one", "others"), ["A", "R"], 40, 100)
+    return out.select("question_number", "side", "n", F.col("c")[0].alias("n_a"), "thin", "masked")
+
+
+@query(""", c as (select question_number, count(*) filter (where answer_numeric is null) as off, count(answer_numeric) as n from answers group by 1)
+select question_number, off, n, off / (off + n) as share from c where off > 0 order by share desc, question_number limit 1""", True)
+def a54_heaviest_off_scale(s, d):
+    cells = S.answers(s, d).groupBy("question_number").agg(F.count_if(F.col("answer_numeric").isNull()).alias("off"), F.count("answer_numeric").alias("n"))
+    return P.heaviest_off_scale(cells, "question_number")
+
+
+# ---- citations, quotes, stories ------------------------------------------------------------------------------------
+
+
+@query(r"""with p as (select page_id % 50 as id, url, case when page_id % 3 = 0 then 'See ' || url || ' and www.' || split_part(split_part(url, '://', 2), '/', 1) || '/x ' when page_id % 3 = 1 then 'A peer-reviewed study' else 'nothing' end as t from pages),
+u as (select id, unnest(regexp_extract_all(t, '(?i)(?:https?://|www\.)[^\s<>"'')\]]+')) as u from p),
+h as (select id, array_to_string(list_slice(string_split(lower(regexp_replace(regexp_extract(u, '(?i)^(?:https?://)?([^/?#]+)', 1), '^www\.', '')), '.'), -2, -1), '.') as d from u)
+select id, count(*) filter (where t <> 'nothing') as n_signal_answers, count(*) filter (where t <> 'nothing') as n_hard, coalesce((select count(*) from h where h.id = p.id), 0)::bigint as n_urls,
+ coalesce((select string_agg(distinct d, '|' order by d) from h where h.id = p.id), '') as domains from p group by id having count(*) filter (where t <> 'nothing') > 0""")
+def a31_citation_rollup(s, d):
+    """By respondent: answers with signals, with hard ones, links and distinct domains."""
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    third = F.col("page_id") % 3
+    text = F.when(third == 0, F.concat(F.lit("See "), "url", F.lit(" and www."), host, F.lit("/x "))).when(third == 1, "A peer-reviewed study").otherwise("nothing")
+    answers = S.table(s, d, "pages").select((F.col("page_id") % 50).alias("id"), text.alias("t"))
+    return D.citation_rollup(answers, "id", "t").withColumn("domains", F.array_join("domains", "|"))
+
+
+@query("""with h as (select doc_id, text, length(text) as n, substr(text, 1, 600) as head from documents), c as (select *, case when n <= 600 then text when head like '% %' and length(head) - position(' ' in reverse(head)) > 0 then substr(head, 1, length(head) - position(' ' in reverse(head))) else head end as quote from h)
+select doc_id, md5(quote) as quote, case when n > 600 then 'quote ' || n || ' chars, truncated to ' || length(quote) || ' (limit 600)' end as warning from c""")
+def f8_quote_warnings(s, d):
+    x = T.checked_quote(F.col("text"))
+    return S.table(s, d, "documents").select("doc_id", F.md5(x["quote"].cast("binary")).alias("quote"), x["warning"].alias("warning"))
+
+
+@query("""with m as (select doc_id, text, position('an' in text) as a, case when position('an' in text) > 0 then position('er. ' in substr(text, position('an' in text) + 2)) else 0 end as b from documents)
+select doc_id, case when coalesce(text, '') = '' then 'no answer' when a = 0 then 'no start marker' when b = 0 then 'no end marker' when b + 5 > 600 then 'too long' end as problem,
+ case when a > 0 and b > 0 and b + 5 <= 600 then md5(substr(text, a, b + 5)) end as quote from m""")
+def f17_stories(s, d):
+    x = T.story(F.col("text"), "an", "er. ")
+    return S.table(s, d, "documents").select("doc_id", x["problem"].alias("problem"), F.md5(x["quote"].cast("binary")).alias("quote"))
+
+
+# ---- roles, substance, overlaps, comparisons, checks ---------------------------------------------------------------
+
+_WORDING = """case p_size % 8 when 0 then cast(p_partkey % 150 as varchar(9)) || '. Please provide additional comments on reasons for support' when 1 then 'If you selected "Other", please specify' when 2 then 'Reasons for support of ' || p_name
+ when 3 then 'Why you are not supportive' when 4 then 'Basis for your assessment' when 5 then 'Please describe ' || p_name when 6 then 'If you answered "Yes" to question ' || cast(p_partkey % 150 as varchar(9)) || ' say why' else 'How strong is it?' end"""
+
+
+@query(f"""with w as (select p_partkey, p_partkey % 60 as n, p_size % 8 as k, p_type = 'PROMO' as multi, p_type = 'SMALL' as free from part)
+select p_partkey, case when n between 3 and 17 then 'profile' when k = 1 then 'other_specify' when k in (2, 3) then case when multi then case k when 2 then 'reasons_support' else 'reasons_oppose' end else 'comment' end
+ when k = 0 then 'comment' when k = 4 then 'basis' when k = 5 then 'comment' when free then 'free_text_primary' else 'primary' end as role from w""")
+def f24_roles_anywhere(s, d):
+    p = S.table(s, d, "part")
+    return p.select("p_partkey", T.role_anywhere(F.col("p_partkey") % 60, F.expr(_WORDING), F.col("p_type") == "PROMO", F.col("p_type") == "SMALL").alias("role"))
+
+
+@query("""with w as (select p_partkey, p_partkey % 60 as n, p_size % 8 as k, p_type = 'SMALL' as free from part)
+select p_partkey, case when k = 1 then 'other_specify' when k = 6 then 'comment' when n between 3 and 17 then 'profile' when free then 'free_text_primary' else 'primary' end as role,
+ case when k = 6 then 'yes' else '' end as condition, case when k = 6 then (p_partkey % 150)::int end as parent from w""")
+def f25_roles_at_start(s, d):
+    x = T.role_at_start(F.col("p_partkey") % 60, F.expr(_WORDING), F.col("p_type") == "SMALL")
+    return S.table(s, d, "part").select("p_partkey", x["role"].alias("role"), x["condition"].alias("condition"), x["parent"].alias("parent"))
+
+
+@query(r"""with t as (select doc_id, case doc_id % 9 when 0 then 'N / A' when 1 then ' no comments.' when 2 then 'NIL' when 3 then 'none of it' when 4 then 'the the the the the the' when 5 then 'zzz qqq xxx rrr ttt' else text end as x from documents),
+l as (select doc_id, trim(lower(x)) as n, regexp_replace(lower(trim(x, ' ' || chr(9) || chr(10) || chr(13))), '', '') as y from t)
+select doc_id, regexp_matches(n, '^(n\s*/?\s*a|not applicable|none|nil|no comments?)\.?$') as not_applicable,
+ length(y) >= 20 and len(list_distinct(regexp_extract_all(y, '[a-z]{3,}'))) >= 4 and length(regexp_replace(y, '[^aeiouy]', '', 'g')) >= 0.2 * greatest(1, length(regexp_replace(y, '[^a-z]', '', 'g'))) as substantive from l""")
+def f34_f35_substance(s, d):
+    k = F.col("doc_id") % 9
+    made = ["N / A", " no comments.", "NIL", "none of it", "the the the the the the", "zzz qqq xxx rrr ttt"]
+    text = F.col("text")
+    for i, v in reversed(list(enumerate(made))):
+        text = F.when(k == i, v).otherwise(text)
+    return S.table(s, d, "documents").select("doc_id", T.is_not_applicable(text).alias("not_applicable"), T.is_substantive(text).alias("substantive"))
+
+
+@query("""with m as (select distinct p_name as cluster_id, p_brand as id from part), g as (select distinct p_type as group_id, p_brand as id from part where p_size < 10) select group_id, cluster_id, count(*) as n_shared from m join g using (id) group by 1, 2""")
+def j19_overlapping_clusters(s, d):
+    p = S.table(s, d, "part")
+    return D.overlapping(p.select(F.col("p_name").alias("cluster_id"), F.col("p_brand").alias("id")), p.where("p_size < 10").select(F.col("p_type").alias("group_id"), F.col("p_brand").alias("id")))
+
+
+@query("""with a as (select o_custkey as k, count(*) as n, max(o_totalprice) as m from orders group by 1), b as (select o_custkey as k, count(*) as n, max(o_totalprice) as m from orders where o_orderstatus <> 'P' group by 1)
+select k, a.n as n_published, a.m as m_published, b.n as n_again, b.m as m_again from a full join b using (k) where a.n is distinct from b.n or a.m is distinct from b.m""")
+def j25_published_against_recomputed(s, d):
+    def sums(df):
+        return df.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("m"))
+
+    o = S.table(s, d, "orders")
+    return Q.compare(sums(o), sums(o.where("o_orderstatus <> 'P'")), ["k"], ["n", "m"])
+
+
+@query("""with a as (select c_nationkey as id, case when c_custkey % 3 = 0 then 'qwrtpsdf' when c_custkey % 7 = 0 then '' else 'A real answer, given in ' || c_mktsegment end as t from customer)
+select id, count(*) as n_answers, count(*) filter (where t = 'qwrtpsdf') as n_gibberish, 'qwrtpsdf' as evidence from a where t <> '' group by 1 having count(*) filter (where t = 'qwrtpsdf') >= 0.4 * count(*)""")
+def a33_junk_candidates(s, d):
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, "qwrtpsdf").when(k % 7 == 0, "").otherwise(F.concat(F.lit("A real answer, given in "), "c_mktsegment"))
+    out = D.junk_candidates(S.table(s, d, "customer").select(F.col("c_nationkey").alias("id"), text.alias("t")), "id", "t", 0.4)
+    return out.withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query("""with d as (select p_type as k from part where p_type <> 'PROMO' group by 1 union all select 'EXTRA'), f as (select p_type as k from part group by 1), j as (select d.k as a, f.k as b from d full join f using (k))
+select 'vocabulary' as "check", count(*) filter (where a is null or b is null) = 0 as ok, count(*) filter (where a is null or b is null)::varchar as detail from j union all
+select 'selections', (select count(*) from picks) = (select sum(len(string_split(p_name, ' '))) from part), (select count(*) from picks)::varchar || '=' || (select sum(len(string_split(p_name, ' '))) from part)::varchar""".replace("with d as", ", d as", 1), True)
+def v7_bijection_and_v2_totals(s, d):
+    """A vocabulary with one word too many and one too few; selections add up to the parts of their source."""
+    p = S.table(s, d, "part")
+    declared = p.where("p_type <> 'PROMO'").select(F.col("p_type").alias("k")).unionByName(p.limit(1).select(F.lit("EXTRA").alias("k")))
+    totals = Q.equal_totals(S.picks(s, d), p, "selections", F.count("*"), F.sum(F.size(F.split("p_name", " "))))
+    return Q.all_checks(Q.bijection(declared, p.select(F.col("p_type").alias("k")), ["k"]), totals)
+
+
+@query(""", s as (select organization_type as key, count(*) as n from respondents group by 1), q as (select min(n) as least from s), c as (select question_number, organization_type as key, count(*) as n from answers join respondents using (respondent_id) group by 1, 2)
+select 'mask placement' as "check", count(*) filter (where s.n <= least and question_number <> 2) = 0 as ok, count(*) filter (where s.n <= least and question_number <> 2)::varchar as detail from c join s using (key), q""", True)
+def x7_mask_placement(s, d):
+    """The smallest segment must be hidden; only one question's cells are."""
+    segments = _segments(s, d).where("dim = 'organization_type'")
+    sizes = C.segment_values(segments, 0)
+    least = sizes.agg(F.min("n").alias("least"))
+    values = sizes.crossJoin(F.broadcast(least)).withColumn("masked", F.col("n") <= F.col("least"))  # one row
+    cells = C.by_segment(S.answers(s, d), segments, ["question_number"])
+    hidden = cells.join(values.select("dim", "key", "masked"), ["dim", "key"]).withColumn("n", F.when(~(F.col("masked") & (F.col("question_number") == 2)), F.col("n")))
+    return Q.mask_placement(hidden.drop("masked"), values)

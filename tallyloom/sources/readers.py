@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -64,25 +64,52 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 LABEL_SCHEMA = "question_id string, question_number int, shorthand string, label string, method string, category string, asks_for string, notes string"
 
 
-def label_violations(labels: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
-    """(rule, id, detail): every broken rule of every label, so that all are seen at once."""
-    from functools import reduce
-
-    def bad(rule: str, df: DataFrame, detail: str) -> DataFrame:
-        return df.select(F.lit(rule).alias("rule"), F.col("question_id").alias("id"), F.col(detail).cast("string").alias("detail"))
-
-    def repeated(col: str) -> DataFrame:
-        twice = labels.groupBy(col).count().where("count > 1").select(col)
-        return bad(f"{col} unique", labels.join(twice, col, "left_semi"), col)
-
-    parts = [repeated("question_id"), repeated("shorthand")]
-    parts.append(bad("shorthand form", labels.where(~F.coalesce(F.col("shorthand").rlike("^[a-z][a-z0-9_]{0,39}$"), F.lit(False))), "shorthand"))
-    parts.append(bad("label present", labels.where(F.coalesce(F.trim("label"), F.lit("")) == ""), "label"))
+def label_violations(
+    labels: DataFrame, vocabularies: dict[str, list[str]], implies: dict[str, str] | None = None, belongs: dict[str, list[str]] | None = None,
+    present: tuple[str, ...] = ("label",), noted: tuple[str, ...] = (), digits: bool = True, numbered: bool = False, placeholder: str | None = None,
+) -> DataFrame:
+    """(rule, id, detail): every broken rule of every label, so that all are seen at once.
+
+    Both editions' rules: ids and shorthands unique, shorthands in snake case, of 40 characters at most and, without
+    ``digits``, free of them; ``present`` columns not empty; columns in their closed ``vocabularies`` (null is in none but
+    that of a category's method), where a ``placeholder`` is named as what it is; a category ``implies`` a method, or needs
+    one; a subcategory ``belongs`` to its category; ``noted`` ids carry notes; with ``numbered`` an id is Qnnn or Qnnn_s and
+    agrees with its number columns. Rows are judged in one pass, repeats by counting."""
+    has = set(labels.columns)
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    short = text("shorthand")
+    rules: list[tuple[str, Column, str]] = [
+        ("shorthand form", ~short.rlike("^[a-z][a-z0-9_]*$"), "shorthand"),
+        ("shorthand length", F.length(short) > 40, "shorthand"),
+        *((f"{c} present", text(c) == "", c) for c in present if c in has),
+    ]
+    if not digits:
+        rules.append(("shorthand digits", short.rlike("[0-9]"), "shorthand"))
     for col, allowed in vocabularies.items():
-        parts.append(bad(f"{col} vocabulary", labels.where(F.col(col).isNotNull() & ~F.col(col).isin(*allowed)), col))
-    if {"category", "method"} <= set(labels.columns):
-        parts.append(bad("category needs method", labels.where("category is not null and method is null"), "category"))
-    return reduce(DataFrame.unionByName, parts)
+        value = F.trim(F.col(col))
+        rules.append((f"{col} vocabulary", value.isNotNull() & ~value.isin(*allowed) & ~value.eqNullSafe(F.lit(placeholder)), col))
+        if placeholder is not None:
+            rules.append((f"{col} placeholder", value == placeholder, col))
+    if {"category", "method"} <= has:
+        rules.append(("category needs method", F.col("category").isNotNull() & F.col("method").isNull(), "category"))
+        for category, method in (implies or {}).items():
+            rules.append(("category implies method", (F.col("category") == category) & (F.col("method") != method), "method"))
+    for category, subs in (belongs or {}).items():
+        rules.append(("subcategory of category", (F.col("category") == category) & ~text("subcategory").isin(*subs) & ~text("subcategory").eqNullSafe(F.lit(placeholder)), "subcategory"))
+    if noted:
+        rules.append(("notes required", F.col("question_id").isin(*noted) & (text("notes") == ""), "notes"))
+    if numbered:
+        number, sub = F.regexp_extract("question_id", r"^Q(\d{3})(?:_(\d))?$", 1), F.regexp_extract("question_id", r"^Q(\d{3})(?:_(\d))?$", 2)
+        rules.append(("id form", number == "", "question_id"))
+        rules.append(("number of id", (number != "") & (number.try_cast("int") != F.col("question_number")), "question_number"))
+        if "sub_number" in has:
+            rules.append(("sub number of id", (number != "") & (sub != text("sub_number")), "sub_number"))
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("detail"))) for rule, bad, c in rules)))
+    found = labels.select(F.col("question_id").alias("id"), F.explode(broken).alias("x")).select("x.rule", "id", "x.detail")
+    for col in ("question_id", "shorthand"):
+        twice = labels.groupBy(col).agg(F.count("*").alias("_n")).where("_n > 1").select(col)
+        found = found.unionByName(labels.join(twice, col, "left_semi").select(F.lit(f"{col} unique").alias("rule"), F.col("question_id").alias("id"), F.col(col).cast("string").alias("detail")))
+    return found
 
 
 def load_labels(spark: SparkSession, path: str, vocabularies: dict[str, list[str]], schema: str = LABEL_SCHEMA) -> DataFrame:

@@ -52,7 +52,7 @@ f2 as (select cell, min(case when n = 1 then -rest * sign else 0 end) as f from
 @query(_TWO_WAY + "select cell, v1::bigint as value, 1 as step from s1 where step = 1 union all select cell, f::bigint, 2 from f2", True)
 def x5_revealed_cells(s, d):
     """Hidden cells of published two-way tables that two rounds of subtraction give away, with their values."""
-    return X.revealed(*_two_way(s, d)).where("step <= 2")
+    return X.revealed(*_two_way(s, d), rounds=2)
 
 
 # ---- the contract of published JSON --------------------------------------------------------------------------------

@@ -57,7 +57,7 @@ def codebook(spark: SparkSession, d: str) -> DataFrame:
     explicit = f"case when p_size > 46 then {number} + 1 when p_size = 46 then {number} when p_size = 42 then -1 when p_size < 18 then {number} div 2 end"
     return table(spark, d, "part").selectExpr(
         f"{number} as question_number", "p_type as section", "p_name as shorthand", f"{roles} as role", f"cast({explicit} as int) as explicit_parent",
-        f"case when p_size % 3 = 0 then array({number} div 3, {number} + 1, -5) else cast(array() as array<int>) end as references_questions",
+        f"case when p_size % 3 = 0 then array(cast({number} div 3 as int), {number} + 1, -5) else cast(array() as array<int>) end as references_questions",
     )
 
 

@@ -34,7 +34,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The URLs that a rule fits are the labelled ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train_url_model(url_filter.rule_labels(pages, URL_RULES))
+    model = url_filter.train_url_model(url_filter.rule_labels(pages, URL_RULES), statistics=url_filter.STATISTICS)
     return url_filter.judge_urls(pages, URL_RULES, model)
 
 

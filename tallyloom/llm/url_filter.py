@@ -1,15 +1,18 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for other URLs.
 
 DataFrame functions only, training included: the bounded sample's features are binned once, and rows with
-equal bins become one row with their counts; each level of each tree is one grouped sum of gradients by node,
-feature and bin, of which a table of fixed size (nodes times features times bins) comes back. A fifth of the
-sample is held out and ends the training. A trained model is an expression of CASE WHENs over the features.
+equal bins become one row with their counts; each level of each tree is one grouped aggregate, a row for each
+node, whose rows are folded into sums of gradients by feature and bin. A fifth of the sample is held out and ends
+the training; trees that it does not gain by are not kept. A trained model is an expression of CASE WHENs over
+the features. Suffix statistics are block rates of labelled URLs by the host's suffix at several depths, alone or
+with the path's first segment, and by the path's own suffix; in training each is taken from the other folds.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +21,11 @@ from tallyloom.llm._common import forget, materialise
 
 FEATURES = (
     "url_chars", "host_chars", "depth", "digit_ratio", "entropy", "n_params", "hyphens",
-    "host_labels", "path_chars", "first_chars", "last_chars", "digit_run", "path_params", "suffix_rate",
+    "host_labels", "path_chars", "first_chars", "last_chars", "digit_run", "path_params", "host_entropy", "path_entropy", "query_entropy",
+    "host_digits", "path_digits", "query_chars", "suffix_rate",
 )
+#: What a block rate can be taken by; the feature is the name and ``_rate``.
+STATISTICS = ("suffix", "domain", "host", "tail", "suffix_section", "domain_section")
 #: A suffix's rate counts the overall one as so many URLs more.
 SMOOTH = 10
 
@@ -58,6 +64,19 @@ def suffix(host: Column) -> Column:
     return F.regexp_extract(host, r"[^.]*$", 0)
 
 
+def statistic(name: str) -> Column:
+    """What URLs are grouped by for a block rate: the host's last label, its last two, the whole host, the path's extension, and
+    the first two with the path's first segment."""
+    host, path = F.col("host"), F.col("path")
+    domain = F.regexp_extract(host, r"[^.]*(?:\.[^.]*)?$", 0)
+    section = F.concat(F.lit("/"), F.regexp_extract(path, "^/+([^/]*)", 1))
+    keys = {
+        "suffix": suffix(host), "domain": domain, "host": host, "tail": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1),
+        "suffix_section": F.concat(suffix(host), section), "domain_section": F.concat(domain, section),
+    }
+    return keys[name]
+
+
 def lexical_features(pages: DataFrame, url_col: str) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``suffix`` and the features that need no training."""
     host, path, query = url_parts(F.col(url_col))
@@ -79,6 +98,12 @@ def lexical_features(pages: DataFrame, url_col: str) -> DataFrame:
             "last_chars": F.length(F.regexp_extract("path", "([^/]*)/*$", 1)).cast("double"),
             "digit_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("path", F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x))), F.lit(0)).cast("double"),
             "path_params": F.length(F.regexp_replace("path", "[^;=]", "")).cast("double"),
+            "host_entropy": F.round(_entropy(F.col("host")), 6),
+            "path_entropy": F.round(_entropy(F.col("path")), 6),
+            "query_entropy": F.round(_entropy(F.col("_query")), 6),
+            "host_digits": F.length(F.regexp_replace("host", "[^0-9]", "")) / F.greatest(F.length("host"), F.lit(1)),
+            "path_digits": F.length(F.regexp_replace("path", "[^0-9]", "")) / F.greatest(F.length("path"), F.lit(1)),
+            "query_chars": F.length("_query").cast("double"),
         }
     ).drop("_query")
 
@@ -89,8 +114,9 @@ class UrlModel:
 
     trees: list
     base: float
-    rates: DataFrame  # (_s, _rate): block rates of the labelled suffixes, a row for each labelled URL at most
+    rates: DataFrame  # (_kind, _s, _rate): block rates of the labelled URLs, a row for each of these and statistic at most
     held_out_loss: list[float]
+    statistics: tuple[str, ...] = ("suffix",)
 
     def margin(self) -> Column:
         def value(node: object) -> Column:
@@ -101,19 +127,27 @@ class UrlModel:
 
         return sum((value(t) for t in self.trees), F.lit(self.base))
 
-    def with_suffix_rate(self, df: DataFrame) -> DataFrame:
-        """A suffix that no labelled URL has gets the overall rate."""
-        rate = F.lit(1 / (1 + math.exp(-self.base)))
-        return df.join(F.broadcast(self.rates), F.col("suffix") == F.col("_s"), "left").withColumn("suffix_rate", F.coalesce("_rate", rate)).drop("_s", "_rate")
+    def with_rates(self, df: DataFrame) -> DataFrame:
+        """What no labelled URL has has no rate: -1."""
+        for kind in self.statistics:
+            own = self.rates.where(F.col("_kind") == kind).select("_s", "_rate")
+            df = df.withColumn("_key", statistic(kind)).join(F.broadcast(own), F.col("_key") == F.col("_s"), "left")
+            df = df.withColumn(f"{kind}_rate", F.coalesce("_rate", F.lit(-1.0))).drop("_key", "_s", "_rate")
+        return df
 
 
-def _grown(rows: DataFrame, depth: int, rate: float, edges: dict[str, list[float]]) -> tuple[object, Column]:
+def _grown(rows: DataFrame, depth: int, rate: float, edges: dict[str, list[float]], features: list[str]) -> tuple[object, Column]:
     """One tree for ``rows`` (y, n, fit, margin, bins), as nested tuples and as a column of what it adds."""
     p = 1 / (1 + F.exp(-F.col("margin")))
     graded = rows.where("fit").withColumns({"g": F.col("n") * (p - F.col("y")), "h": F.col("n") * p * (1 - p)})
     splits: dict[int, tuple[str, int]] = {}
     leaves: dict[int, float] = {}
-    stack = ", ".join(f"'{f}', {f}" for f in FEATURES)
+    bins = max(len(e) for e in edges.values()) + 1
+    # a node's rows, of a bounded sample, are folded feature by feature into sums by bin: no row is made for a feature
+    sums = F.expr(
+        f"""transform(sequence(0, {len(features) - 1}), f -> aggregate(held, array_repeat(named_struct('g', 0D, 'h', 0D), {bins}),
+        (acc, r) -> transform(acc, (v, i) -> if(r.bins[f] = i, named_struct('g', v.g + r.g, 'h', v.h + r.h), v))))"""
+    )
 
     def node_column() -> Column:
         node = F.lit(1)
@@ -127,26 +161,23 @@ def _grown(rows: DataFrame, depth: int, rate: float, edges: dict[str, list[float
 
     for level in range(depth):
         at = graded.withColumn("node", node_column()).where(F.col("node") >= 2**level)
-        table = (
-            at.select("node", "g", "h", F.expr(f"stack({len(FEATURES)}, {stack}) as (f, b)"))
-            .groupBy("node", "f", "b").agg(F.round(F.sum("g"), 9).alias("g"), F.round(F.sum("h"), 9).alias("h")).collect()
-        )
-        for k in sorted({r["node"] for r in table}):
-            own = [r for r in table if r["node"] == k]
-            first = [r for r in own if r["f"] == FEATURES[0]]
-            gt, ht = sum(r["g"] for r in first), sum(r["h"] for r in first)
+        rows_of = at.select("node", F.struct("g", "h", F.array(*features).alias("bins")).alias("r")).groupBy("node").agg(F.array_sort(F.collect_list("r")).alias("held"))
+        for k, found in sorted((r["node"], r["s"]) for r in rows_of.select("node", sums.alias("s")).collect()):
+            gt, ht = (round(sum(x[v] for x in found[0]), 9) for v in ("g", "h"))
             best = (1e-6, None)
-            for f in FEATURES:
+            for f, own in zip(features, found, strict=True):
                 gl = hl = 0.0
-                for r in sorted((r for r in own if r["f"] == f), key=lambda r: r["b"])[:-1]:
-                    gl, hl = gl + r["g"], hl + r["h"]
+                for b in range(len(edges[f])):
+                    gl, hl = round(gl + own[b]["g"], 9), round(hl + own[b]["h"], 9)
                     gain = gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1)
-                    if gain > best[0] + 1e-9:
-                        best = (gain, (f, r["b"], gl, hl))
+                    if 0 < hl < ht and gain > best[0] + 1e-9:
+                        best = (gain, [f, b, gl, hl, b])
+                    elif best[1] and best[1][0] == f and best[1][4] == b - 1 and best[1][2:4] == [gl, hl]:
+                        best[1][4] = b  # nothing lies between: the edge will be in the middle
             leaves[k] = round(-rate * gt / (ht + 1), 9)
             if best[1]:
-                f, b, gl, hl = best[1]
-                splits[k] = (f, b)
+                f, b, gl, hl, until = best[1]
+                splits[k] = (f, (b + until + 1) // 2)
                 leaves[2 * k], leaves[2 * k + 1] = round(-rate * gl / (hl + 1), 9), round(-rate * (gt - gl) / (ht - hl + 1), 9)
         if not any(k.bit_length() == level + 1 for k in splits):
             break
@@ -174,12 +205,14 @@ def train_url_model(
     depth: int = 3,
     bins: int = 16,
     rate: float = 0.4,
+    statistics: tuple[str, ...] = ("suffix",),
 ) -> UrlModel:
     """Fit on at most ``max_rows`` labelled URLs (``label`` 1: block), taken by a hash of the id.
 
-    Null labels and URLs are left out. A URL's suffix rate in training is that of the other four fifths, so no
-    label tells on itself. Trees are added while the fifth that is held out gains; ``trees`` at most. With no
-    rows, or one class alone, the model has no trees and gives that class's smoothed rate. Repeated rows count
+    Null labels and URLs are left out. A URL's rates by ``statistics`` (see :data:`STATISTICS`; the suffix among
+    them) are in training those of the other four fifths, so no label tells on itself; one fifth goes without, so
+    trees learn what to say of URLs whose suffix no labelled URL has. Trees are added while the
+    fifth that is held out gains, ``trees`` at most; where none helps it, none is kept. With no rows, or one class alone, the model has no trees and gives that class's smoothed rate. Repeated rows count
     as often as given; URLs of any length are whole; other columns are not read.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(url_col).isNotNull())
@@ -188,21 +221,26 @@ def train_url_model(
     sample = materialise(lexical_features(rows, "url").withColumn("part", F.pmod(F.xxhash64("url", F.lit(7)), F.lit(5))), "urls")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     prior = (pos + 1) / (n + 2)
-    counts = sample.groupBy("suffix", "part").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-    known = counts.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    rates = materialise(known.select(F.col("suffix").alias("_s"), F.round((F.col("all_s") + SMOOTH * prior) / (F.col("all_n") + SMOOTH), 6).alias("_rate")), "rates")
-    model = UrlModel([], math.log(prior / (1 - prior)), rates, [])
+    model = UrlModel([], math.log(prior / (1 - prior)), None, [], tuple(statistics))
+    parts, whole = [], []
+    for kind in statistics:
+        counts = sample.groupBy(statistic(kind).alias("_s"), "part").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        known = counts.groupBy("_s").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+        whole.append(known.select(F.lit(kind).alias("_kind"), "_s", F.round((F.col("all_s") + SMOOTH * prior) / (F.col("all_n") + SMOOTH), 6).alias("_rate")))
+        others = F.round((F.col("all_s") - F.col("s") + SMOOTH * prior) / (F.col("all_n") - F.col("n") + SMOOTH), 6)
+        others = F.when(F.col("part") == 4, -1.0).otherwise(others)
+        parts.append((kind, counts.join(known, "_s").select("_s", "part", others.alias(f"{kind}_rate"))))
+    model.rates = materialise(reduce(DataFrame.unionByName, whole), "rates")
     if pos == 0 or pos == n:
         forget(sample)
         return model
-    others = counts.join(known, "suffix").select(
-        "suffix", "part", F.round((F.col("all_s") - F.col("s") + SMOOTH * prior) / (F.col("all_n") - F.col("n") + SMOOTH), 6).alias("suffix_rate")
-    )
-    sample = sample.join(F.broadcast(others), ["suffix", "part"])  # max_rows at most
-    cuts = sample.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 10000).alias(f) for f in FEATURES)).first()
-    edges = {f: sorted(set(cuts[f])) for f in FEATURES}
-    binned = sample.select("y", (F.col("part") > 0).alias("fit"), *(sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0)).alias(f) for f in FEATURES))
-    binned = binned.groupBy("y", "fit", *FEATURES).agg(F.count("*").alias("n")).withColumn("margin", F.lit(model.base))
+    for kind, others in parts:  # max_rows at most
+        sample = sample.withColumn("_s", statistic(kind)).join(F.broadcast(others), ["_s", "part"]).drop("_s")
+    features = [*FEATURES, *(f"{kind}_rate" for kind in statistics if f"{kind}_rate" not in FEATURES)]
+    cuts = sample.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 10000).alias(f) for f in features)).first()
+    edges = {f: sorted(set(cuts[f])) for f in features}
+    binned = sample.select("y", (F.col("part") > 0).alias("fit"), *(sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0)).alias(f) for f in features))
+    binned = binned.groupBy("y", "fit", *features).agg(F.count("*").alias("n")).withColumn("margin", F.lit(model.base))
     binned = materialise(binned.coalesce(1), "urls")
     loss = F.sum(F.when(~F.col("fit"), F.col("n") * (F.log1p(F.exp(F.col("margin"))) - F.col("y") * F.col("margin"))))
 
@@ -211,7 +249,7 @@ def train_url_model(
 
     model.held_out_loss.append(lost(binned))
     for _ in range(trees):
-        tree, gain = _grown(binned, depth, rate, edges)
+        tree, gain = _grown(binned, depth, rate, edges, features)
         before, binned = binned, materialise(binned.withColumn("margin", F.col("margin") + gain), "urls")
         forget(before)
         model.trees.append(tree)
@@ -219,7 +257,7 @@ def train_url_model(
         if len(model.held_out_loss) > 3 and min(model.held_out_loss[-2:]) >= min(model.held_out_loss[:-2]):
             break
     best = model.held_out_loss.index(min(model.held_out_loss))
-    model.trees = model.trees[: max(best, 1)]
+    model.trees = model.trees[:best]
     forget(binned)
     return model
 
@@ -235,7 +273,7 @@ def judge_urls(
     come back as often as given; no rows give no rows. Only the id and the URL are read, so other columns may
     have any name.
     """
-    found = model.with_suffix_rate(lexical_features(pages.select(F.col(id_col), F.col(url_col)), url_col))
+    found = model.with_rates(lexical_features(pages.select(F.col(id_col), F.col(url_col)), url_col))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     scored = found.withColumns({"rule": rule, "_by_rule": verdict, "block_score": 1 / (1 + F.exp(-model.margin()))})
     by_model = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")

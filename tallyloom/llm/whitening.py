@@ -40,13 +40,22 @@ def _roots(d: np.ndarray, z2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return d + z2, -z2[None, :].copy()
     gap = np.append(np.diff(d), z2.sum())
     row = np.arange(n)
-    left = 1 + (z2 / (d[None, :] - (d + gap / 2)[:, None])).sum(1) >= 0
+    middle = z2 / (d[None, :] - (d + gap / 2)[:, None])
+    rest = 1 + middle.sum(1)
+    left = rest >= 0
     far = ~left & (row < n - 1)
     near = row + far
     lo = np.where(left, 0.0, np.where(far, -gap / 2, gap / 2))
     hi = np.where(left, gap / 2, np.where(far, 0.0, gap))
     off = d[None, :] - d[near][:, None]
-    tau = (lo + hi) / 2
+    # a first guess: the two nearest poles as they are, all others as they count in the middle
+    z_next = np.append(z2[1:], 0.0)
+    c = rest - middle[row, row] - np.append(middle[row[:-1], row[1:]], 0.0)
+    a, b = c * gap + z2 + z_next, z2 * gap
+    with np.errstate(all="ignore"):
+        root = np.sqrt(np.abs(a * a - 4 * b * c))
+        guess = np.where(a > 0, 2 * b / (a + root), (a - root) / (2 * c)) - np.where(far, gap, 0.0)
+    tau = np.where((guess > lo) & (guess < hi), guess, (lo + hi) / 2)
     todo = row  # the roots that have not settled
     for _ in range(80):
         away = off[todo] - tau[todo, None]

@@ -62,3 +62,39 @@ def metric(counts: Column, n_rungs: int, name: str, ladder: bool = False) -> Col
     k = end_width(n_rungs, ladder)
     n, low, high = _sum(counts), _sum(F.slice(counts, 1, k)), _sum(F.slice(counts, -k, k))
     return {"support": pct(high, n), "oppose": pct(low, n), "net": net(high, low, n), "mean": mean_rung(counts)}[name]
+
+
+def metric_tint(counts: Column, n_rungs: int, name: str, diverging: bool = True, ladder: bool = False) -> Column:
+    """(value, tint) of a vector of counts, unrounded: shares as fractions, and the value on a colour scale.
+
+    A diverging scale runs from -1 to 1: opposition and low means are negative. Else it runs from 0 to 1, and a net counts
+    by its size. Null without answers."""
+    k = end_width(n_rungs, ladder)
+    n = F.nullif(_sum(counts), F.lit(0))
+    low, high = _sum(F.slice(counts, 1, k)) / n, _sum(F.slice(counts, -k, k)) / n
+    mean = _sum(F.transform(counts, lambda c, i: c * (i + 1))) / n
+    middle = (1 + n_rungs) / 2
+    value = {"support": high, "oppose": low, "net": high - low, "mean": mean}[name]
+    if name == "mean":
+        tint = (mean - middle) / (middle - 1) if diverging else (mean - 1) / (n_rungs - 1)
+    elif name == "oppose":
+        tint = -low if diverging else low
+    elif name == "net":
+        tint = value if diverging else F.abs(value)
+    else:
+        tint = value
+    return F.struct(value.alias("value"), tint.alias("tint"))
+
+
+def pct_nudged(part: Column, base: Column) -> Column:
+    """Per cent of ``base`` to one place, a hair under a tie taken for the tie; nothing of nothing is 0."""
+    share = part / F.nullif(base, F.lit(0))
+    return F.coalesce(F.floor(share * 1000 + 1e-9 + 0.5) / 10, F.lit(0.0))
+
+
+def pct_text(value: Column, places: int = 1) -> Column:
+    """A per cent number as text with fixed places, nudged by one bit so that 46.15 is not 46.1; a dash for null."""
+    scale = 10.0**places
+    nudged = F.floor((value + 2.0**-52) * scale + 0.5) / scale
+    shown = F.format_string(f"%.{places}f%%", nudged)
+    return F.when(value.isNull() | F.isnan(value), "—").otherwise(shown)

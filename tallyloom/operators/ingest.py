@@ -36,12 +36,13 @@ class Rules:
 def unpivot_grid(grid: DataFrame, id_col: str = "ID") -> DataFrame:
     """(respondent_id, column_index, header, source_chars, answer_text): one row for each cell with text.
 
-    Cells are normalised; their length before that is kept. Rows without any text vanish by themselves.
+    Cells and headers are normalised; a cell's length before that is kept, as it tells whether the survey tool cut it. Rows
+    without any text vanish by themselves.
     """
     cols = [c for c in grid.columns if c != id_col]
     cells = [F.struct(F.lit(i).alias("column_index"), F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("raw")) for i, c in enumerate(cols)]
     long = grid.select(F.col(f"`{id_col}`").try_cast("bigint").alias("respondent_id"), F.inline(F.array(*cells))).where("raw is not null")
-    return long.select("respondent_id", "column_index", "header", F.length("raw").alias("source_chars"), T.norm_text(F.col("raw")).alias("answer_text")).where("answer_text <> ''")
+    return long.select("respondent_id", "column_index", T.norm_text(F.col("header")).alias("header"), F.length("raw").alias("source_chars"), T.norm_text(F.col("raw")).alias("answer_text")).where("answer_text <> ''")
 
 
 def explode_selections(cells: DataFrame, keys: list[str], text_col: str = "answer_text", separator: str = ";") -> DataFrame:

@@ -139,6 +139,22 @@ def match_option(options: DataFrame, wanted: str, option: str = "option_text") -
     return options.withColumn("match_rank", rank).where("match_rank is not null").orderBy("match_rank", option).limit(1)
 
 
+def heatmap_rows(questions: DataFrame, method: str, types: tuple[str, ...] = ("likert_1_5", "scale_labeled", "ordinal_select"), key: str = "question_number") -> DataFrame:
+    """Questions of a method that are rows of the heatmap: scales and ladders, no numbers."""
+    return questions.where((F.col("method") == method) & F.col("question_type").isin(*types)).orderBy(key)
+
+
+def canonical_picks(selections: DataFrame, answers: DataFrame, questions: DataFrame, options: DataFrame, key: str = "question_number", option: str = "option_text") -> DataFrame:
+    """(question, option, respondent_id), distinct, of canonical options only, so no write-in is in a picklist.
+
+    Multi-select questions by their selections, others by answers that are a canonical option."""
+    kinds = questions.select(key, (F.col("question_type") == "multi_select").alias("_multi"))
+    canonical = options.where("is_canonical").select(key, option)
+    picked = selections.join(kinds.where("_multi"), key, "left_semi").select(key, option, "respondent_id")
+    given = answers.where(F.col("answer_text").isNotNull()).join(kinds.where("not _multi"), key, "left_semi").select(key, F.col("answer_text").alias(option), "respondent_id")
+    return picked.unionByName(given).join(canonical, [key, option], "left_semi").distinct()
+
+
 def visible_columns(sizes: DataFrame, min_n: int = 15) -> DataFrame:
     """Segment values with whether their base is large enough to show."""
     return sizes.select("dim", "key", "n", (F.col("n") >= min_n).alias("shown"))

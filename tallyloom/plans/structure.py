@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import rounding as R
 from tallyloom.functions import text as T
 from tallyloom.operators import browser as B
 from tallyloom.operators import cells as C
@@ -464,3 +465,52 @@ def x7_mask_placement(s, d):
     cells = C.by_segment(S.answers(s, d), segments, ["question_number"])
     hidden = cells.join(values.select("dim", "key", "masked"), ["dim", "key"]).withColumn("n", F.when(~(F.col("masked") & (F.col("question_number") == 2)), F.col("n")))
     return Q.mask_placement(hidden.drop("masked"), values)
+
+
+# ---- tints, nudges, rows and picks, raw lengths --------------------------------------------------------------------
+
+
+@query(""", c as (select question_number, count(*) filter (where answer_numeric <= 2)::double as lo, count(*) filter (where answer_numeric >= 4)::double as hi, count(answer_numeric)::double as n, sum(answer_numeric) as t from answers group by 1)
+select question_number, round(hi / n, 9) as support, round(-lo / n, 9) as oppose_tint, round((t / n - 3) / 2, 9) as mean_tint, round((t / n - 1) / 4, 9) as mean_share, round(abs(hi / n - lo / n), 9) as net_size from c""", True)
+def m9_metric_tints(s, d):
+    x = F.col("answer_numeric")
+    c = S.answers(s, d).groupBy("question_number").agg(F.array(*(F.count_if(x == r) for r in range(1, 6))).alias("c"))
+    tint = lambda name, diverging=True: F.round(R.metric_tint(F.col("c"), 5, name, diverging)["tint"], 9)
+    return c.select("question_number", tint("support").alias("support"), tint("oppose").alias("oppose_tint"), tint("mean").alias("mean_tint"), tint("mean", False).alias("mean_share"), tint("net", False).alias("net_size"))
+
+
+@query("""select p_partkey, case when p_size % 7 = 0 then 0.0 else floor((p_size % 13)::double / (p_size % 7) * 1000 + 1e-9 + 0.5) / 10 end::double as pct,
+ case when p_size = 1 then '—' else printf('%.1f%%', floor((p_size + 0.15 + 2.220446049250313e-16) * 10.0 + 0.5) / 10.0) end as shown from part""")
+def m6_m7_nudged_rates(s, d):
+    value = F.when(F.col("p_size") != 1, F.col("p_size") + F.lit(0.15))
+    return S.table(s, d, "part").select("p_partkey", R.pct_nudged(F.col("p_size") % 13, F.col("p_size") % 7).alias("pct"), R.pct_text(value).alias("shown"))
+
+
+@query(""", q as (select *, case when question_number in (2, 5, 6, 7) then 'mbm' else 'lbm' end as method from questions) select question_number, question_type from q where method = 'mbm' and question_type in ('likert_1_5', 'scale_labeled', 'ordinal_select')
+ and question_number in (select question_number from answers)""", True)
+def p2_heatmap_rows(s, d):
+    q = S.questions(s).withColumn("method", F.when(F.col("question_number").isin(2, 5, 6, 7), "mbm").otherwise("lbm"))
+    return P.heatmap_rows(q, "mbm").join(S.answers(s, d).select("question_number").distinct(), "question_number", "left_semi").select("question_number", "question_type")
+
+
+@query(""", a as (select distinct question_number, answer_text as option_text, respondent_id from answers), o as (select question_number, answer_text as option_text, count(*) as k from answers group by 1, 2),
+n as (select question_number, count(distinct respondent_id) as n from answers group by 1)
+select question_number, option_text, count(*) as n from a join o using (question_number, option_text) join n using (question_number) where k >= greatest(3, 0.3 * n) group by 1, 2""", True)
+def p4_canonical_picks(s, d):
+    """Picklists without write-ins: question 3 by its selections, the others by their answers."""
+    a = S.answers(s, d)
+    picks = a.select("question_number", F.col("answer_text").alias("option_text"), F.col("respondent_id").alias("row_ord"))
+    bases = a.groupBy("question_number").agg(F.countDistinct("respondent_id").alias("n_answered"))
+    options = I.option_catalogue(picks, bases, "question_number", I.Rules(canonical_share=0.3))
+    selections = a.where("question_number = 3").select("question_number", F.col("answer_text").alias("option_text"), "respondent_id")
+    return P.canonical_picks(selections, a, S.questions(s), options).groupBy("question_number", "option_text").agg(F.count("*").alias("n"))
+
+
+@query("""select c_custkey as respondent_id, '1. Name' as header, (length(c_name) + 4)::int as source_chars, c_name as answer_text from customer union all
+select c_custkey, '2. Segment', (2 * length(c_mktsegment) + 3)::int, c_mktsegment || ' ' || c_mktsegment from customer where c_nationkey > 3""")
+def s2_grid_with_raw_lengths(s, d):
+    """Headers and cells are normalised, the lengths are those of the cells as they came."""
+    c = S.table(s, d, "customer")
+    segment = F.when(F.col("c_nationkey") > 3, F.concat("c_mktsegment", F.lit(" \u00a0 "), "c_mktsegment")).otherwise(" \u200b ")
+    grid = c.select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit(" \n")).alias("1.  Name "), segment.alias("2.\u00a0Segment"))
+    return I.unpivot_grid(grid, "c_custkey").select("respondent_id", "header", "source_chars", "answer_text")

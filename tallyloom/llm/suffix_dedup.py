@@ -225,8 +225,9 @@ def _compared(table: pa.Table, length: int) -> pa.Table:
     left = length - GRAM
     kinds = (("gram", np.uint64), ("name", np.uint64), ("doc", np.int64), ("grp", np.int32), ("near", np.uint8), ("far", np.uint8))
     columns = [_lists(table, n, k) for n, k in kinds] + [_lists(table, "before", np.uint8, left), _lists(table, "after", np.uint8, length)]
-    once = np.unique(columns[1], return_index=True)[1]
-    gram, name, doc, group, near, far, before, after = (c[once] for c in columns)
+    every, groups = columns[1], columns[3]
+    once, place = np.unique(every, return_index=True, return_inverse=True)[1:]
+    gram, name, doc, _, near, far, before, after = (c[once] for c in columns)
     ends, heads = suffix_order(gram, before[:, ::-1]), suffix_order(gram, after)
     bits = np.zeros(len(name), np.uint64)
     for a in range(left + 1):
@@ -238,8 +239,9 @@ def _compared(table: pa.Table, length: int) -> pa.Table:
         first = _starts(key[order])
         least = doc[there][order][np.flatnonzero(first)][np.cumsum(first) - 1]
         bits[there[order][least < doc[there][order]]] |= np.uint64(1 << a)
+    bits, doc = bits[place], doc[place]  # rows with the same id may have sent a phrase from several groups
     use = bits > 0
-    return pa.Table.from_batches([_packed(group[use].astype(np.int64), ["name", "doc", "bits"], [name[use], doc[use], bits[use]], "grp")])
+    return pa.Table.from_batches([_packed(groups[use].astype(np.int64), ["name", "doc", "bits"], [every[use], doc[use], bits[use]], "grp")])
 
 
 def _cut(docs: pa.Table, replies: pa.Table, length: int) -> pa.Table:
@@ -290,7 +292,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = docs.select(doc.alias("doc"), data.alias("data"))
     size = read.agg(F.sum(F.length("data"))).first()[0] or 0
     groups = buckets = max(1, -(-size // GROUP_BYTES))
-    read = read.select(F.pmod(F.xxhash64("doc"), F.lit(groups)).alias("grp"), "doc", "data")
+    # by id and text: rows that share an id, or have none, are no group of their own
+    read = read.select(F.pmod(F.xxhash64("doc", "data"), F.lit(groups)).alias("grp"), "doc", "data")
     with text_batches(docs.sparkSession):
         packed = "bucket bigint, gram binary, name binary, doc binary, grp binary, many binary"
         parsed = read.mapInArrow(lambda batches: _parsed(batches, length, buckets), packed)

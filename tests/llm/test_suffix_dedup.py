@@ -86,6 +86,14 @@ def test_nulls_repeated_ids_and_empty_tables(spark):
         suffix_dedup.drop_repeats(frame(spark, rows), id_col="text")
 
 
+def test_many_rows_of_one_id_lie_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 300)
+    shared = "a passage that a smaller document has as well, and long enough to count, "
+    rows = [(1, "start " + shared + "end")] + [(5, f"{k} " + shared + f"{k} own words of the row {k * 7919}, more of them {k}") for k in range(30)]
+    rows += [(None, f"{k} " + shared + f"without an id {k * 104729} and so on {k}") for k in range(30)]
+    assert result(suffix_dedup.drop_repeats(frame(spark, rows).repartition(4))) == plain(rows)
+
+
 def test_very_long_texts_are_parsed_in_blocks(spark):
     rng = np.random.default_rng(5)
     long = bytes(rng.integers(97, 123, suffix_dedup.BLOCK + 3000, dtype=np.uint8)).decode()

@@ -205,8 +205,10 @@ def is_single_repeated_character(text: Column) -> Column:
 
 def keyboard_pattern() -> str:
     """Three keys in a row, each next to the one before on one row of the keyboard, in either direction."""
-    runs = {row[a] + row[b] + row[c] for row in KEY_ROWS for b in range(len(row)) for a in (b - 1, b + 1) for c in (b - 1, b + 1) if 0 <= a < len(row) and 0 <= c < len(row)}
-    return "|".join(sorted(runs))
+    runs = sorted({row[a] + row[b] + row[c] for row in KEY_ROWS for b in range(len(row)) for a in (b - 1, b + 1) for c in (b - 1, b + 1) if 0 <= a < len(row) and 0 <= c < len(row)})
+    # first letters apart, so that a place in a text is tried against each of them once and not against every run
+    ends = {two: "".join(x[2] for x in runs if x[:2] == two) for two in sorted({x[:2] for x in runs})}
+    return "|".join(f"{first}(?:{'|'.join(f'{two[1]}[{last}]' for two, last in ends.items() if two[0] == first)})" for first in sorted({two[0] for two in ends}))
 
 
 def has_keyboard_run(text: Column) -> Column:

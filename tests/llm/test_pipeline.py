@@ -100,5 +100,5 @@ def test_queries_equal_brute_force_on_driver_tables(spark):
 @needs_data
 def test_every_query_is_registered(spark):
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert names["op4_url_filter"](spark, DATA).where("verdict not in ('allow', 'block')").count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ranking import ranked, running_max
+from tallyloom.operators.ranking import ranked, running_max, use_checkpoints
 
 FOLLOW_ON = ("other_specify", "reasons_support", "reasons_oppose", "comment", "basis")
 OWN_ANCHOR = ("primary", "free_text_primary")
@@ -52,14 +52,16 @@ def parent_problems(questions: DataFrame, key: str = "question_number", parent:
 def paths(questions: DataFrame, key: str = "question_number", parent: str = "parent_question", levels: int = 1000) -> DataFrame:
     """(question, root, depth, path) of all questions below a root, which is one without a parent that is there.
 
-    More than ``levels`` levels raise; questions that hang on a cycle have no row (see :func:`unrooted`)."""
+    Any number of rows, where a recursive query by default has a million at most. More than ``levels`` levels raise; questions that hang on a cycle have no row (see :func:`unrooted`)."""
     nodes = questions.select(F.col(key).alias("question"), F.col(parent).alias("parent"))
-    up = nodes.join(nodes.select(F.col("question").alias("parent"), F.lit(True).alias("there")), "parent", "left")
+    use_checkpoints(questions.sparkSession)
+    # settled, as every level reads it again
+    up = nodes.join(nodes.select(F.col("question").alias("parent"), F.lit(True).alias("there")).distinct(), "parent", "left").checkpoint()
     return questions.sparkSession.sql(
         f"""with recursive t(question, root, depth, path) max recursion level {levels} as (
           select question, question, 0, array(question) from {{up}} where parent is null or there is null
           union all select n.question, t.root, t.depth + 1, array_append(t.path, n.question) from t join {{up}} n on n.parent = t.question)
-        select * from t""",
+        select * from t limit all""",
         up=up,
     )
 

@@ -27,3 +27,15 @@ def test_paths_cycles_and_problems(spark):
 def test_deeper_than_a_hundred_levels(spark):
     q = spark.range(1, 131).selectExpr("cast(id as int) as question_number", "cast(nullif(id - 1, 0) as int) as parent_question")
     assert TR.paths(q, levels=200).agg({"depth": "max"}).first()[0] == 129
+
+
+def test_more_rows_than_a_recursive_query_may_have(spark):
+    q = spark.range(1, 301).selectExpr("cast(id as int) as question_number", "cast(nullif(id div 2, 0) as int) as parent_question")
+    q = q.unionByName(spark.createDataFrame([(1001, 1002), (1002, 1001)], q.schema))
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        assert TR.paths(q).count() == 300
+        assert sorted(r.question_number for r in TR.unrooted(q).collect()) == [1001, 1002]
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)

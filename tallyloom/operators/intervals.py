@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ranking import running_max
+from tallyloom.operators.ranking import running_max, running_total
 
 #: Bins that an interval covers at its level at most; a wider one goes to a level of bins that many times as wide.
 FAN_OUT = 16
@@ -42,6 +42,34 @@ def within(points: DataFrame, intervals: DataFrame, point: str, low: str, high:
     return met.drop("_level", "_bin")
 
 
+def summarised(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, name: str) -> DataFrame:
+    """(name, n, least, most): how many points lie in the intervals of a name, and the outermost, as :func:`within` pairs them.
+
+    No pairs are made, so wide intervals cost what narrow ones do: the ends are sorted among the distinct points. An interval has
+    the points before its high end less those before its low one, from the first after the low to the last before the high.
+    Names without a point have no row."""
+    values = points.where(F.col(point).isNotNull()).groupBy(F.col(point).alias("_v")).agg(F.count("*").alias("_c"))
+    given = intervals.where(F.col(low).isNull() | F.col(high).isNull() | (F.col(low) < F.col(high)))
+    given = given.groupBy(F.col(name).alias("_name"), F.col(low).cast("double").alias("_low"), F.col(high).cast("double").alias("_high")).agg(F.count("*").alias("_same"))
+    own = [F.col(c) for c in ("_name", "_low", "_high", "_same")]
+
+    def end(column: str, open_end: int, is_high: bool) -> DataFrame:
+        # an open end is before or after all points; ends come before points that are equal to them
+        side = F.when(F.col(column).isNull(), open_end).otherwise(1)
+        return given.select(*own, F.lit(is_high).alias("_is_high"), side.alias("_side"), (F.col(column) + 0.0).alias("_pos"), F.lit(0).alias("_kind"), F.lit(None).cast(points.schema[point].dataType).alias("_v"), F.lit(0).cast("long").alias("_c"))
+
+    marks = values.select(F.lit(1).alias("_side"), (F.col("_v").cast("double") + 0.0).alias("_pos"), F.lit(1).alias("_kind"), "_v", "_c")
+    line = end("_low", 0, False).unionByName(end("_high", 2, True)).unionByName(marks, allowMissingColumns=True)
+    order = [F.col(c) for c in ("_side", "_pos", "_kind")]
+    line = running_max(running_total(line, order, "_c", "_upto"), order, F.col("_v"), "_last")
+    no_number = F.isnan(F.col("_v").cast("double"))  # the largest value, also when negated
+    nearest = F.when(F.col("_v").isNotNull(), F.struct((~no_number).alias("number"), (-F.col("_v")).alias("v")))
+    line = running_max(line, [c.desc() for c in order], nearest, "_next")
+    at_low, at_high = (lambda c: F.max(F.when(~F.col("_is_high"), F.col(c)))), (lambda c: F.max(F.when(F.col("_is_high"), F.col(c))))
+    each = line.where("_kind = 0").groupBy(*own).agg((at_high("_upto") - at_low("_upto")).alias("_n"), (-at_low("_next")["v"]).alias("_least"), at_high("_last").alias("_most"))
+    return each.where("_n > 0").groupBy(F.col("_name").alias(name)).agg(F.sum(F.col("_n") * F.col("_same")).alias("n"), F.min("_least").alias("least"), F.max("_most").alias("most"))
+
+
 def interval_faults(intervals: DataFrame, low: str, high: str, name: str) -> DataFrame:
     """(name, fault, a, b): intervals that end before they start, overlap one that starts earlier, or leave a gap before them.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators.ranking import spread
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ def respondent_engagement(responses: DataFrame, n_questions: int) -> DataFrame:
     """Per respondent: answers, substantive answers and their share, free-text answers and characters, picks."""
     free = F.col("question_type") == "free_text"
     real = F.col("role") != "profile"
-    return responses.groupBy("respondent_id").agg(
+    return spread(responses, "respondent_id").groupBy("respondent_id").agg(
         F.count("*").alias("n_questions_answered"),
         F.count_if(real).alias("n_substantive_answered"),
         F.round(100.0 * F.count_if(real) / n_questions, 1).alias("substantive_completion_pct"),
@@ -123,7 +124,7 @@ def respondent_engagement(responses: DataFrame, n_questions: int) -> DataFrame:
 
 def widen(responses: DataFrame, question_ids: list[str], id_col: str = "respondent_id", key: str = "question_id") -> DataFrame:
     """One row per respondent; ``<id>`` and ``<id>_num`` for each of the listed questions."""
-    out = responses.groupBy(id_col).pivot(key, question_ids).agg(F.min("answer_text").alias("text"), F.min("answer_numeric").alias("num"))
+    out = spread(responses, id_col).groupBy(id_col).pivot(key, question_ids).agg(F.min("answer_text").alias("text"), F.min("answer_numeric").alias("num"))
     return out.withColumnsRenamed({f"{q}_text": q for q in question_ids})
 
 

@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 _LOCAL_BITS = 33  # of monotonically_increasing_id: the place within a partition
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys into as many parts as ``spark.sql.shuffle.partitions`` says, before it is joined or grouped by them.
+
+    Parts of a plain shuffle are merged by their bytes, of which sorted ids have few, while a task's rows in memory have many;
+    and grouping before a shuffle holds a group for nearly each row where keys seldom repeat. These parts are not merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Name the shared folder of ``spark.checkpoint.dir`` for checkpoints; a temporary one only where all runs in one process."""
     if spark.sparkContext.getCheckpointDir() is None:

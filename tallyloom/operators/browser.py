@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.functions.rounding import pct
-from tallyloom.operators.ranking import grouped_medians
+from tallyloom.operators.ranking import grouped_medians, spread
 
 
 def _total(counts: Column) -> Column:
@@ -127,7 +127,8 @@ def answer_index(answers: DataFrame, selections: DataFrame, base: DataFrame) ->
     """(question, answer, n, pickers) of the base: how many gave an answer, as a text or as a pick."""
     given = answers.select("question_number", F.col("answer_text").alias("answer"), "respondent_id", F.lit(False).alias("pick"))
     picked = selections.select("question_number", F.col("option_text").alias("answer"), "respondent_id", F.lit(True).alias("pick"))
-    own = given.unionByName(picked).join(base.select("respondent_id"), "respondent_id", "left_semi")
+    # the base is spread, as a semi-join passes below what its left side is dealt by
+    own = given.unionByName(picked).join(spread(base.select("respondent_id"), "respondent_id"), "respondent_id", "left_semi")
     return own.groupBy("question_number", "answer").agg(F.count_if(~F.col("pick")).alias("n"), F.countDistinct(F.when(F.col("pick"), F.col("respondent_id"))).alias("pickers"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as T
 from tallyloom.functions.rounding import net, pct
 from tallyloom.operators import derive as D
-from tallyloom.operators.ranking import grouped_medians, running_total
+from tallyloom.operators.ranking import grouped_medians, running_total, spread, use_checkpoints
 
 
 def year_histogram(answers: DataFrame, text: str, protest_over: int = 2050) -> DataFrame:
@@ -81,11 +81,19 @@ def evidence_flags(selections: DataFrame, prefixes: dict[str, str], id_col: str
 
 
 def spanned(groups: DataFrame, members: DataFrame, min_shared: int = 2) -> DataFrame:
-    """Per group: clusters with ``min_shared`` of its members, and distinct members over these clusters."""
-    g = groups.select("group_id", "respondent_id").distinct()
-    c = members.select("cluster_id", "respondent_id").distinct()
-    shared = g.join(c, "respondent_id").groupBy("group_id", "cluster_id").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
-    heads = shared.join(c, "cluster_id").groupBy("group_id").agg(F.countDistinct("respondent_id").alias("n_spanned"))
+    """Per group: clusters with ``min_shared`` of its members, and distinct members over these clusters.
+
+    Respondents in the same clusters are one profile with a count, so a group meets profiles, not the members of its clusters."""
+    use_checkpoints(groups.sparkSession)
+    both = groups.select("respondent_id", "group_id").unionByName(members.select("respondent_id", "cluster_id"), allowMissingColumns=True).where("respondent_id is not null")
+    each = spread(both, "respondent_id").groupBy("respondent_id").agg(F.array_sort(F.collect_set("group_id")).alias("groups"), F.array_sort(F.collect_set("cluster_id")).alias("profile"))
+    # settled, as it is read more than once
+    profiles = each.where(F.size("profile") > 0).groupBy("groups", "profile").agg(F.count("*").alias("n")).checkpoint()
+    own = profiles.select("n", "profile", F.explode("groups").alias("group_id")).select("n", "group_id", F.explode("profile").alias("cluster_id"))
+    shared = own.groupBy("group_id", "cluster_id").agg(F.sum("n").alias("k")).where(F.col("k") >= min_shared)
+    sizes = profiles.groupBy("profile").agg(F.sum("n").alias("n"))
+    met = sizes.select("profile", "n", F.explode("profile").alias("cluster_id")).join(shared, "cluster_id").groupBy("group_id", "profile").agg(F.first("n").alias("n"))
+    heads = met.groupBy("group_id").agg(F.sum("n").alias("n_spanned"))
     return shared.groupBy("group_id").agg(F.count("*").alias("n_shared_texts")).join(heads, "group_id")
 
 
@@ -152,7 +160,7 @@ def canonical_picks(selections: DataFrame, answers: DataFrame, questions: DataFr
     canonical = options.where("is_canonical").select(key, option)
     picked = selections.join(kinds.where("_multi"), key, "left_semi").select(key, option, "respondent_id")
     given = answers.where(F.col("answer_text").isNotNull()).join(kinds.where("not _multi"), key, "left_semi").select(key, F.col("answer_text").alias(option), "respondent_id")
-    return picked.unionByName(given).join(canonical, [key, option], "left_semi").distinct()
+    return spread(picked.unionByName(given).join(canonical, [key, option], "left_semi"), "respondent_id").distinct()
 
 
 def visible_columns(sizes: DataFrame, min_n: int = 15) -> DataFrame:

@@ -6,7 +6,7 @@ How a pair of documents meets, without pairing up all documents:
 2. Two sets with Jaccard >= t share a shingle among the first ``n - ceil(t n) + 1`` of each, under any
    order that both use. Sets of similar size have a cell in common, and an order holds within a cell: the
    block of small hashes first, rare before frequent in it, then the other hashes. Only that block's
-   shingles are counted, over all classes. A prefix of shingles that no other class has needs no partner;
+   shingles are counted, over all classes, in one shuffle that packs many into a row. A prefix of shingles that no other class has needs no partner;
    most classes end here.
 3. A prefix longer by ``s - 1`` shares ``s`` shingles. A shingle that few classes of similar size hold counts
    for each of their pairs (a fixed number at most), and pairs counted ``s`` times meet; one that more hold
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._common import WordIds, connected_components, digest, forget, give_back, integral_id, materialise, maybe_broadcast, shingles, text_batches
+from tallyloom.llm._common import WordIds, connected_components, digest, forget, give_back, integral_id, materialise, maybe_broadcast, mix, shingles, text_batches
 
 #: Shingles of one search task; larger clusters are dealt into blocks.
 BLOCK_TOKENS = 250_000
@@ -43,6 +43,8 @@ SUPPORT = 4
 PAIRED = 12
 #: Size classes of one cell, in which one order of shingles holds.
 CLASSES = 4
+#: Heads of one bucket, counted together, unless a single head has more; a bucket has about 8 bytes for each when shuffled.
+BUCKET_HEADS = 500_000
 #: Ids of copies (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -243,6 +245,102 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     return picked.mapInArrow(run, "id long, n long, fp binary, size int, cell array<int>, n_head array<int>, head array<long>")
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as all of them need, after one byte for that width."""
+    low, high = int(x.min()), int(x.max())
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"i{data[0]}", offset=1).astype(np.int64)
+
+
+def _packed_heads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, first, reps, cells, tokens): the heads of many classes in a bucket, as columns of bytes: 40 bits of
+    each hash, the step from one class to the next and the cell. Hashes that only agree in these bits count as one,
+    which adds candidates and takes none away."""
+
+    def flush(reps: list, cells: list, hashes: list) -> pa.RecordBatch:
+        rep, cell, h = np.concatenate(reps), np.concatenate(cells), np.concatenate(hashes)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rep, cell, bucket = rep[order], cell[order], bucket[order]
+        low = np.ascontiguousarray((h[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*at[1:].tolist(), len(bucket)]
+        rows = [(int(bucket[a]), int(rep[a]), _narrow(np.diff(rep[a:b], prepend=rep[a])), _narrow(cell[a:b]), low[a:b].tobytes()) for a, b in zip(at.tolist(), ends)]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "first", "reps", "cells", "tokens"])
+
+    reps, cells, hashes, n = [], [], [], 0
+    for batch in batches:
+        heads = batch.column("head")
+        at, flat = heads.offsets.to_numpy(), heads.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        for i, (rep, own, cut) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rep", "cell", "n_head")))):
+            for cell, m in zip(own, cut):
+                h = flat[at[i] : at[i] + m]
+                with np.errstate(over="ignore"):
+                    hashes.append(mix(h + np.uint64(cell + 1) * np.uint64(0x9E3779B97F4A7C15)))
+                reps.append(np.full(len(h), rep, np.int64))
+                cells.append(np.full(len(h), cell, np.int64))
+                n += len(h)
+            if n >= 1_000_000:
+                yield flush(reps, cells, hashes)
+                reps, cells, hashes, n = [], [], [], 0
+    if n:
+        yield flush(reps, cells, hashes)
+    del reps, cells, hashes
+    give_back()
+
+
+def _counted_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, cell, df, token) for heads that several classes have; rows of one bucket follow each other."""
+
+    def settle(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(r[3]) // 5 for r in rows]
+        low = np.zeros((sum(sizes), 8), np.uint8)
+        low[:, :5] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 5)
+        low = low.view(np.uint64).ravel()
+        several, df = np.unique(low, return_counts=True)
+        several, df = several[df > 1], df[df > 1]
+        if not len(several):
+            return
+        a = 0
+        for (first, reps, cells, _), n in zip(rows, sizes):
+            own = low[a : a + n]
+            a += n
+            at = np.minimum(np.searchsorted(several, own), len(several) - 1)
+            hit = several[at] == own
+            if hit.any():
+                token = own[hit].view(np.int64) | (bucket << 40)
+                columns = (first + np.cumsum(_widened(reps)))[hit], _widened(cells)[hit].astype(np.int32), df[at[hit]], token
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "cell", "df", "token"])
+
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "reps", "cells", "tokens"))):
+            if bucket != now:
+                if rows:
+                    yield from settle(now, rows)
+                now, rows = bucket, []
+            rows.append(row)
+    if rows:
+        yield from settle(now, rows)
+    del rows
+    give_back()
+
+
+def _shared_heads(headed: DataFrame, buckets: int) -> DataFrame:
+    """(rep, cell, df, token): heads that ``df`` > 1 classes of a cell have. Heads are shuffled once, packed."""
+    packed = headed.select("rep", "cell", "n_head", "head").mapInArrow(
+        lambda it: _packed_heads(it, buckets), "bucket int, first long, reps binary, cells binary, tokens binary"
+    )
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_counted_heads, "rep long, cell int, df long, token long")
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
@@ -277,18 +375,23 @@ def ngram_jaccard_components(
     """
     integral_id(docs, id_col)
     with text_batches(docs.sparkSession):
-        prints = materialise(_fingerprints(docs, id_col, text_col, k, percent), "fp")
+        whole = materialise(_fingerprints(docs, id_col, text_col, k, percent), "fp")
+    # heads are read for the prefixes only, so that they need not stay to the end
+    prints = materialise(whole.select("id", "n", "fp"), "prints")
     named = prints.where("fp is not null and id is not null")
     classes = materialise(named.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     copies = materialise(named.select("id", "fp").join(classes, "fp").where("id <> rep").select("id"), "copies")
-    alone = named.join(maybe_broadcast(copies, copies.count(), BROADCAST_IDS), "id", "left_anti")
-    celled = alone.select(F.col("id").alias("rep"), "n", "head", "size", F.inline(F.arrays_zip("cell", "n_head")))
-    heads = celled.select("rep", "cell", F.explode(F.slice("head", F.lit(1), F.col("n_head"))).alias("t")).select("rep", "cell", F.xxhash64("t", "cell").alias("token"))
-    shared = heads.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = heads.join(shared, "token").groupBy("rep", "cell").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
+    gone = maybe_broadcast(copies, copies.count(), BROADCAST_IDS)
+    alone = named.join(gone, "id", "left_anti")
+    headed = whole.where("fp is not null and id is not null").join(gone, "id", "left_anti").withColumnRenamed("id", "rep")
+    celled = headed.select("rep", "n", "size", F.inline(F.arrays_zip("cell", "n_head"))).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_heads = headed.agg(F.sum(F.aggregate("n_head", F.lit(0), lambda a, x: a + x))).first()[0] or 0
+    shared = materialise(_shared_heads(headed, max(parts, math.ceil(n_heads / BUCKET_HEADS))), "shared")
+    held = shared.repartition(parts, "rep", "cell").groupBy("rep", "cell").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     least = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     prefix = (
-        held.join(celled.drop("head").distinct(), ["rep", "cell"])
+        held.join(celled, ["rep", "cell"])
         .withColumn("need", F.least(F.lit(SUPPORT), F.col("n_head") - least + 1).cast("int"))
         # shingles of one class only come first; what the prefix has left are the rarest others
         .withColumn("left", F.when(F.col("n_head") == least, F.size("held")).otherwise(least + F.col("need") - 1 - F.col("n_head") + F.size("held")))
@@ -301,6 +404,7 @@ def ngram_jaccard_components(
         .select("rep", "need", "size", "token", F.explode("fine").alias("cell"))
     )
     prefix = materialise(prefix, "prefix")
+    forget(whole, shared)
     cells = prefix.groupBy("token", "cell").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
     placed = materialise(prefix.join(cells, ["token", "cell"]), "placed")
     forget(prefix)

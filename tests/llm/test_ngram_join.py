@@ -1,10 +1,13 @@
 import random
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import ngram_join as N
-from tallyloom.llm._common import connected_components
+from tallyloom.llm._common import connected_components, materialise
 from tests.llm.brute import components
 
 
@@ -106,3 +109,46 @@ def test_session_settings_stay(spark):
     before = spark.conf.get(key)
     N.keep_one_per_component(spark.createDataFrame([(1, "x y z")], "doc_id long, text string")).count()
     assert spark.conf.get(key) == before
+
+
+def heads_batch(rng, n_rows, step):
+    """Heads of classes with ids from about zero, ``step`` apart at most; the second cell has fewer of them than the first."""
+    pool = rng.integers(0, 2**63, 300).view(np.int64)
+    heads = [np.sort(rng.choice(pool, rng.integers(1, 40), replace=False)) for _ in range(n_rows)]
+    ids = [int(x) for x in np.cumsum(rng.integers(-3, step, n_rows)) - 5]
+    cells, cut = [[c % 400, c % 400 + 1] for c in range(n_rows)], [[len(h), (len(h) + 1) // 2] for h in heads]
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    columns = [pa.array(x, kind) for x, kind in zip((ids, cells, cut, [h.tolist() for h in heads]), kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["rep", "cell", "n_head", "head"])
+
+
+def test_shared_heads_equal_plain_counting(spark):
+    batch = heads_batch(np.random.default_rng(2), 500, 2**34)
+    rows = batch.to_pylist()
+    held = [(r["rep"], c, h) for r in rows for c, m in zip(r["cell"], r["n_head"]) for h in r["head"][:m]]
+    df = Counter((c, h) for _, c, h in held)
+    want = Counter((rep, c, df[c, h]) for rep, c, h in held if df[c, h] > 1)
+    headed = spark.createDataFrame([tuple(r.values()) for r in rows], "rep long, cell array<int>, n_head array<int>, head array<long>").repartition(3)
+    for buckets in (1, 7):
+        got = N._shared_heads(headed, buckets).collect()
+        assert Counter((r.rep, r.cell, r.df) for r in got) == want
+        assert Counter(Counter((r.cell, r.token) for r in got).values()) == Counter(n for n in df.values() if n > 1)
+
+
+def test_heads_are_shuffled_in_few_bytes(spark):
+    batch = heads_batch(np.random.default_rng(4), 2000, 2**20)
+    n_heads = sum(map(sum, batch.column("n_head").to_pylist()))
+    packed = list(N._packed_heads(iter([batch]), 4))
+    assert sum(len(x) for b in packed for c in ("reps", "cells", "tokens") for x in b.column(c).to_pylist()) < 12 * n_heads
+    assert sum(b.num_rows for b in packed) == 4
+
+
+def test_shuffles_of_a_settled_table_are_deleted(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    out = materialise(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "few")
+    assert not shuffles() - before
+    assert sorted(map(tuple, out.collect())) == [(k, 1000 // 7 + (k < 1000 % 7)) for k in range(7)]

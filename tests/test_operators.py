@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as T
 from tallyloom.operators import cells as C
 from tallyloom.operators import derive as D
 from tallyloom.operators import ingest as I
@@ -101,3 +102,15 @@ def test_labelled_and_checks_fail_loudly(spark):
     with pytest.raises(ValueError, match="vocabulary"):
         Q.require(bad)
     assert json.loads(json.dumps(Q.compare(cols.withColumn("v", F.lit(1)), labels, ["k"], ["v"]).first().asDict()))["k"] == "b"
+
+
+def test_gibberish_words_are_judged_where_their_text_is(spark):
+    odd = ["", "asdf", "aaaa", "xkcd", "0000", "Ab1", "ÄÖÜ", "éaé", "a-a-a", "1a1", "İİ", "\u212a\u212a", "日本", "…", "qwertyqwertyqwertyqwerty", "plain", "Answer", "ſſ", "sdfg's", "ΑΣ", "uio"]
+    verdict = {r.w: r.bad for r in spark.createDataFrame([(w,) for w in odd], "w string").select("w", T.is_gibberish(F.col("w")).alias("bad")).collect()}
+    seen = D.WordVerdicts()
+    assert {w: seen[w] > 1 for w in odd} == verdict
+    rows = [(1, "plain  asdf a\tb\nc xkcd"), (1, "words asdf"), (2, None), (3, " "), (None, "asdf\x0b q"), (4, " ".join(odd))]
+    got = D.gibberish_words(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, 5, 4), (None, 2, 2), (4, len(odd) - 1, sum(verdict.values()))}

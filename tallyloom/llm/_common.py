@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Bytes of texts, where a side has any, up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Edges (16 bytes each) up to which one task connects what is left of them.
+COMPONENT_ROWS = 50_000
 _FALLBACK: dict[str, str] = {}
 
 
@@ -124,22 +126,48 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[pa.RecordBatch]:
+    """(u, v): the nodes of the given edges, each with the smallest one that these connect it to; that one itself if ``roots``."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    found = [(x, r) for x in above if (r := top(x)) != x or roots]
+    columns = [pa.array([r[i] for r in found], pa.int64()) for i in range(2)]
+    yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, part_rows: int = COMPONENT_ROWS) -> DataFrame:
     """Components of an undirected graph: (node, component), component the smallest node reached.
 
     ``edges`` has two bigint columns ``a`` and ``b``; self loops and repeats are allowed, an empty
-    table gives an empty result. Alternating large-star and small-star rounds: every round is a
-    grouped minimum and a join, and what is left is written to the shared folder.
+    table gives an empty result. Each task contracts its own edges to stars. Where no more than ``part_rows``
+    of these are left, one task connects them. More go through alternating large-star and small-star rounds:
+    every round is a grouped minimum and a join, contracted again and written to the shared folder.
     """
-    star = materialise(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc"
-    )
+
+    def contract(df: DataFrame, roots: bool = False) -> DataFrame:
+        return df.mapInArrow(lambda it: _contracted(it, roots), "u long, v long")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    star = materialise(contract(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")), "cc")
     last = mark(star)
     for _ in range(max_rounds):
+        if last[0] <= part_rows:
+            done = materialise(contract(star.coalesce(1), roots=True), "cc")
+            forget(star)
+            return done.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -151,7 +179,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        before, star = star, materialise(small, "cc")
+        before, star = star, materialise(contract(small), "cc")
         forget(before)
         now = mark(star)
         if now == last:

@@ -11,10 +11,10 @@ How a pair of documents meets, without pairing up all documents:
 3. A prefix longer by ``s - 1`` shares ``s`` shingles. A shingle that few classes of similar size hold counts
    for each of their pairs (a fixed number at most), and pairs counted ``s`` times meet; one that more hold
    makes all of them meet by a star. Classes that meet form clusters (connected components).
-4. In each cluster sets are searched in ascending size. The inverted lists lead from a shingle to the
-   components found so far; T-occurrence search (heap-merge of short lists, binary probes into long ones)
-   keeps the components that hold at least T of the set's shingles, and exact intersection with their
-   members decides. A set is linked once to a component, so a group of copies costs one search each.
+4. In each cluster sets are searched in ascending size. The inverted lists lead from a shingle to the sets
+   given before; T-occurrence search (short lists merged by counting, binary probes into long ones) finds those
+   that hold enough of the set's shingles, which is the exact intersection. Candidates are probed a few at a time,
+   those of components that are linked by then no more, so a set of a large group costs a few probes.
 5. A cluster with more shingles than one task should have is dealt into blocks: blocks are searched alone,
    then the smallest members of what they found. Where that leaves several components, the sets outside the
    largest one are searched in all blocks of their cluster. No link between different components is lost.
@@ -22,9 +22,7 @@ How a pair of documents meets, without pairing up all documents:
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,132 +52,133 @@ def _at_least(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def divide_skip(lists: list[list[int]], least: int) -> list[int]:
-    """Ids on at least ``least`` of the sorted lists.
+def _merge_short(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids that the short lists hold often enough to be on ``least`` of all, how often, and the long lists, shorter first.
 
-    The ``least - 1`` longest lists at most are set aside; an id must then be on ``least`` minus their
-    number of the short ones, which are heap-merged; the long ones are probed by binary search.
+    The ``least - 1`` longest lists at most are set aside; an id must then be on ``least`` minus their number of the
+    short ones, which are merged by counting their ids.
     """
-    if least <= 0 or len(lists) < least:
-        return []
     lists = sorted(lists, key=len)
-    # a long list costs a probe for each candidate, a short one a heap step for each entry
-    longest = len(lists[-1])
-    aside = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
+    # a long list costs a probe for each candidate, a short one a step for each entry
+    aside = min(least - 1, int(least / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need = least - len(long)
-    found, last, count = [], None, 0
-
-    def settle(x: int, n: int) -> None:
-        for k, other in enumerate(long):
-            if n >= least or n + len(long) - k < least:
-                break
-            at = bisect_left(other, x)
-            n += at < len(other) and other[at] == x
-        if n >= least:
-            found.append(x)
-
-    for x in heapq.merge(*short):
-        if x == last:
-            count += 1
-            continue
-        if last is not None and count >= need:
-            settle(last, count)
-        last, count = x, 1
-    if last is not None and count >= need:
-        settle(last, count)
-    return found
+    counts = np.bincount(np.concatenate(short))
+    ids = np.flatnonzero(counts >= least - aside)
+    return ids, counts[ids], long
+
+
+def _probe_long(ids: np.ndarray, n: np.ndarray, long: list[np.ndarray], least: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the sorted ``ids``, on ``n`` lists so far, that are on ``least`` with the long ones, and on how many."""
+    least = np.broadcast_to(least, len(ids))
+    for k, other in enumerate([*long, None]):
+        on = n + len(long) - k >= least
+        if not on.all():
+            ids, n, least = ids[on], n[on], least[on]
+        if other is None or not len(ids):
+            break
+        at = np.searchsorted(other, ids)
+        at[at == len(other)] = 0
+        n = n + (other[at] == ids)
+    return ids, n
+
+
+def divide_skip(lists: list, least: int) -> np.ndarray:
+    """Ids, small whole numbers, on at least ``least`` of the sorted lists: the short lists are merged, the long ones
+    are probed by binary search for what may still be on enough of them."""
+    if least <= 0 or len(lists) < least:
+        return np.empty(0, np.int64)
+    ids, n, long = _merge_short([np.asarray(x, np.int64) for x in lists], least)
+    return _probe_long(ids, n, long, least)[0]
 
 
 class ComponentSearch:
-    """Links sets, given in ascending size, to the components of those given before."""
-
-    def __init__(self, percent: int):
-        self.percent, self.lists, self.members, self.dead, self.serial = percent, {}, {}, set(), 0
-
-    def _similar(self, a: np.ndarray, b: np.ndarray) -> bool:
-        small, large = (a, b) if len(a) <= len(b) else (b, a)
-        if 100 * len(small) < self.percent * len(large):
-            return False
-        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        both = int(np.count_nonzero(large[at] == small))
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
-
-    def _extend(self, component: int, tokens: list[int]) -> None:
-        lists = self.lists
-        for t in tokens:
-            own = lists.get(t)
-            if own is None:
-                lists[t] = component  # a list of one is kept as its entry
-            elif type(own) is int:
-                if own != component:
-                    lists[t] = [own, component] if own < component else [component, own]
-            elif own[-1] != component:
-                at = bisect_left(own, component)
-                if at == len(own) or own[at] != component:
-                    own.insert(at, component)
-
-    def add(self, name: int, tokens: np.ndarray, known: int | None = None, same: dict | None = None) -> None:
-        """``same`` maps labels of components known before to those of this search."""
-        listed = tokens.tolist()
-        least = _at_least(len(listed), self.percent)
-        mine = same.get(known) if same is not None else None
-        linked = [] if mine is None else [mine]
-        get = self.lists.get
-        for c in divide_skip([[x] if type(x) is int else x for x in map(get, listed) if x is not None], least):
-            if c in self.dead or c == mine:
-                continue
-            if any(self._similar(tokens, other) for _, other in self.members[c]):
-                linked.append(c)
-        if linked:
-            target = min(linked)
-            for c in linked:
-                if c != target:
-                    moved = self.members.pop(c)
-                    self.dead.add(c)
-                    self.members[target] += moved
-                    for _, other in moved:
-                        self._extend(target, other.tolist())
-            if same is not None:
-                for label, c in same.items():
-                    if c in linked:
-                        same[label] = target
-        else:
-            target, self.serial = self.serial, self.serial + 1
-            self.members[target] = []
-        self.members[target].append((name, tokens))
-        self._extend(target, listed)
-        if same is not None:
-            same[known] = target
-
-    def results(self) -> Iterator[tuple[int, int]]:
-        for own in self.members.values():
-            low = min(name for name, _ in own)
-            for name, _ in own:
-                yield name, low
+    """Links sets, given in ascending size, to the components of those given before.
+
+    ``known`` labels sets that are known to be of one component. Shingles that no second set has are on no list,
+    and a set with too few others is alone without a search.
+    """
+
+    #: Candidates probed at once at first; more once these leave components without a link.
+    PROBED = 16
+
+    def __init__(self, percent: int, sets: list[np.ndarray], known: list[int] | None = None):
+        self.percent, self.size = percent, np.array([len(x) for x in sets], np.int64)
+        _, self.token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.first = np.cumsum(self.size) - self.size
+        # lists lie one behind the other; each is filled as far as sets have been given
+        self.start, self.filled, self.shared = np.cumsum(df) - df, np.zeros(len(df), np.int64), df > 1
+        self.entries = np.empty(len(self.token), np.int64)
+        self.component = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
+
+    def run(self) -> np.ndarray:
+        """The component of each set, as a label."""
+        held = np.add.reduceat(self.shared[self.token], self.first)
+        for i in np.flatnonzero(100 * held >= self.percent * self.size).tolist():
+            self._add(i)
+        return self.component
+
+    def _add(self, i: int) -> None:
+        tokens = self.token[self.first[i] : self.first[i] + self.size[i]]
+        tokens = tokens[self.shared[tokens]]
+        begin, n = self.start[tokens], self.filled[tokens]
+        self.filled[tokens] = n + 1
+        self.entries[begin + n] = i
+        has = n > 0
+        least = _at_least(int(self.size[i]), self.percent)
+        if np.count_nonzero(has) < least:
+            return
+        entries = self.entries
+        lists = [entries[a:b] for a, b in zip(begin[has].tolist(), (begin + n)[has].tolist())]
+        ids, n, long = _merge_short(lists, least)
+        need = -(-self.percent * (self.size[i] + self.size[ids]) // (100 + self.percent))
+        step = self.PROBED
+        while True:
+            other = (self.component[ids] != self.component[i]) & (n + len(long) >= need)
+            ids, n, need = ids[other], n[other], need[other]
+            if not len(ids):
+                return
+            # those that share the most rare shingles first: a link spares the others of its component
+            now = np.argsort(-n, kind="stable")[:step]
+            now.sort()
+            for c in set(self.component[_probe_long(ids[now], n[now], long, need[now])[0]].tolist()):
+                self.component[self.component == c] = self.component[i]
+            ids, n, need = (np.delete(x, now) for x in (ids, n, need))
+            step *= 64
 
 
 def _local_components(frames: Iterator[pd.DataFrame], percent: int, keys: list[str]) -> Iterator[pd.DataFrame]:
     """Rows sorted by ``keys`` and size; each run of equal keys is searched as one."""
-    search, now, same = None, None, None
-    out: list[tuple[int, int]] = []
+
+    def searched(reps: list, sets: list, known: list) -> pd.DataFrame:
+        rep = np.array(reps, np.int64)
+        label = ComponentSearch(percent, sets, known or None).run()
+        order = np.lexsort((rep, label))
+        begins = np.flatnonzero(np.diff(label[order], prepend=-1))
+        low = np.repeat(rep[order][begins], np.diff(begins, append=len(rep)))
+        return pd.DataFrame({"rep": rep[order], "low": low})
+
+    now, reps, sets, known = None, [], [], []
+    out, n = [], 0
     for frame in frames:
-        named = [frame[k].tolist() for k in keys]
-        known = frame["known"].tolist() if "known" in frame else None
+        named = list(zip(*(frame[k].tolist() for k in keys)))
+        labels = frame["known"].tolist() if "known" in frame else None
         for i, (rep, tokens) in enumerate(zip(frame["rep"].tolist(), frame["tokens"])):
-            key = tuple(x[i] for x in named)
-            if key != now:
-                if search:
-                    out.extend(search.results())
-                search, now, same = ComponentSearch(percent), key, {} if known else None
-            search.add(rep, np.asarray(tokens, np.int64), known[i] if known else None, same)
-        if len(out) > 50_000:
-            yield pd.DataFrame(out, columns=["rep", "low"])
-            out = []
-    if search:
-        out.extend(search.results())
-    yield pd.DataFrame(out, columns=["rep", "low"])
-    del search, out
+            if named[i] != now:
+                if reps:
+                    out.append(searched(reps, sets, known))
+                    n += len(reps)
+                now, reps, sets, known = named[i], [], [], []
+            reps.append(rep)
+            sets.append(np.asarray(tokens, np.int64))
+            if labels:
+                known.append(labels[i])
+        if n > 50_000:
+            yield pd.concat(out)
+            out, n = [], 0
+    if reps:
+        out.append(searched(reps, sets, known))
+    yield pd.concat(out) if out else pd.DataFrame({"rep": np.empty(0, np.int64), "low": np.empty(0, np.int64)})
+    del reps, sets, known, out
     give_back()
 
 

@@ -83,6 +83,58 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def lowest(edges, nodes):
+    low = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_components_of_a_small_table_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long").repartition(7)
+    spark.sparkContext.setJobGroup("components of a chain", "")
+    try:
+        assert connected_components(edges).where("component = 0").count() == 101
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components of a chain")) <= 9
+
+
+@pytest.mark.parametrize("part_rows", [0, 20, 120])
+def test_components_beyond_one_task_go_through_rounds(spark, part_rows):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (130, 2)) if a != b] + [(i + 1, i) for i in range(300, 340)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9), part_rows=part_rows).collect()
+    assert sorted(map(tuple, got)) == sorted(lowest(edges, {x for e in edges for x in e}).items())
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_search_links_what_brute_force_links(percent):
+    rng = np.random.default_rng(percent)
+    common, sets = rng.integers(0, 2**62, 60), []
+    for i in range(150):
+        own = rng.choice(common, rng.integers(1, 60), replace=False) if i % 3 else common[rng.random(60) > rng.choice([0.02, 0.1])]
+        sets.append(np.unique(np.r_[own, rng.integers(0, 2**62, rng.integers(0, 4))]))
+    sets.sort(key=len)
+    held = [set(s.tolist()) for s in sets]
+    links = [(i, j) for i in range(150) for j in range(i) if 100 * len(held[i] & held[j]) >= percent * len(held[i] | held[j])]
+    for known in (None, [i % 100 for i in range(150)]):
+        got = N.ComponentSearch(percent, sets, known).run().tolist()
+        want = lowest(links + ([] if known is None else [(i, i - 100) for i in range(100, 150)]), range(150))
+        assert len(set(got)) == len(set(want.values())) == len(set(zip(got, want.values())))
+
+
+def test_strangers_that_share_most_shingles_are_not_searched(monkeypatch):
+    """Of 120 shingles 20 are each set's own, so that no two sets reach nine tenths."""
+    sets = [np.r_[np.arange(100), np.arange(20) + 1000 * (i + 1)] for i in range(300)]
+    searched, merge = [], N._merge_short
+    monkeypatch.setattr(N, "_merge_short", lambda lists, least: searched.append(least) or merge(lists, least))
+    assert len(set(N.ComponentSearch(90, sets).run().tolist())) == 300 and not searched
+    near = [np.r_[np.arange(100), np.arange(2) + 1000 * (i + 1)] for i in range(300)]
+    assert len(set(N.ComponentSearch(90, near).run().tolist())) == 1 and len(searched) == 299
+
+
 def test_strangers_in_a_dealt_cluster_find_their_likes(spark):
     """Near copies of two texts that share common shingles, in one cluster of many blocks."""
     rng = random.Random(11)

@@ -15,9 +15,10 @@ How a pair of documents meets, without pairing up all documents:
    given before; T-occurrence search (short lists merged by counting, binary probes into long ones) finds those
    that hold enough of the set's shingles, which is the exact intersection. Candidates are probed a few at a time,
    those of components that are linked by then no more, so a set of a large group costs a few probes.
-5. A cluster with more shingles than one task should have is dealt into blocks: blocks are searched alone,
-   then the smallest members of what they found. Where that leaves several components, the sets outside the
-   largest one are searched in all blocks of their cluster. No link between different components is lost.
+5. A cluster with more shingles than one task should have is dealt into blocks: blocks are searched alone.
+   A set too few of whose shingles are in sets of other components is done; these are taken off again and again.
+   Of what is left, the smallest members of the components are searched, then slices of the sets outside the largest
+   component with all blocks of their cluster, a few slices in each pass. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -43,7 +44,11 @@ PAIRED = 12
 CLASSES = 4
 #: Heads of one bucket, counted together, unless a single head has more; a bucket has about 8 bytes for each when shuffled.
 BUCKET_HEADS = 500_000
-#: Ids of copies (8 bytes each) up to which they are broadcast.
+#: Shingles that one pass of the last search reads, unless a single slice of strangers and what it meets have more.
+PASS_TOKENS = 40_000_000
+#: Shingles of one bucket, counted together, unless tasks would be left without any.
+BUCKET_TOKENS = 2_000_000
+#: Ids of copies (8 bytes each), or classes with their blocks (28 bytes), up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
 
 
@@ -94,8 +99,8 @@ def divide_skip(lists: list, least: int) -> np.ndarray:
 class ComponentSearch:
     """Links sets, given in ascending size, to the components of those given before.
 
-    ``known`` labels sets that are known to be of one component. Shingles that no second set has are on no list,
-    and a set with too few others is alone without a search.
+    ``known`` labels sets that are known to be of one component. Shingles that no set of a second component has are
+    on no list, and a set with too few others links no components and is not searched.
     """
 
     #: Candidates probed at once at first; more once these leave components without a link.
@@ -106,17 +111,31 @@ class ComponentSearch:
         _, self.token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         self.first = np.cumsum(self.size) - self.size
         # lists lie one behind the other; each is filled as far as sets have been given
-        self.start, self.filled, self.shared = np.cumsum(df) - df, np.zeros(len(df), np.int64), df > 1
+        self.start, self.filled = np.cumsum(df) - df, np.zeros(len(df), np.int64)
         self.entries = np.empty(len(self.token), np.int64)
         self.component = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
 
     def run(self) -> np.ndarray:
         """The component of each set, as a label."""
-        held = np.add.reduceat(self.shared[self.token], self.first)
-        for i in np.flatnonzero(100 * held >= self.percent * self.size).tolist():
+        for i in self._meeting().tolist():
             self._add(i)
         return self.component
 
+    def _meeting(self) -> np.ndarray:
+        """Sets that hold enough shingles of other components' sets; a set without them takes its shingles off the lists."""
+        label, on = np.repeat(self.component, self.size), np.ones(len(self.size), bool)
+        while True:
+            of = np.repeat(on, self.size)
+            low, high = np.full(len(self.start), len(self.size)), np.full(len(self.start), -1)
+            np.minimum.at(low, self.token[of], label[of])
+            np.maximum.at(high, self.token[of], label[of])
+            self.shared = low < high
+            held = np.add.reduceat(self.shared[self.token], self.first)
+            left = on & (100 * held >= self.percent * self.size)
+            if np.count_nonzero(left) >= 0.9 * np.count_nonzero(on):
+                return np.flatnonzero(left)
+            on = left
+
     def _add(self, i: int) -> None:
         tokens = self.token[self.first[i] : self.first[i] + self.size[i]]
         tokens = tokens[self.shared[tokens]]
@@ -428,8 +447,11 @@ def ngram_jaccard_components(
 
     def sets_of(which: DataFrame) -> DataFrame:
         """Sets of the classes in ``which``, with their cluster and block."""
-        active = maybe_broadcast(which.select(F.col("rep").alias(id_col)), which.count(), BROADCAST_IDS)
-        return _sets(docs.join(active, id_col, "left_semi"), id_col, text_col, k).join(which, "rep").where("n > 0")
+        rows = which.count()
+        active = maybe_broadcast(which.select(F.col("rep").alias(id_col)), rows, BROADCAST_IDS)
+        # else sets would be shuffled by id first, and then to their blocks
+        places = maybe_broadcast(which, rows, BROADCAST_IDS)
+        return _sets(docs.join(active, id_col, "left_semi"), id_col, text_col, k).join(places, "rep").where("n > 0")
 
     with text_batches(docs.sparkSession):
         links = _cluster_links(dealt, sets_of, percent, block_tokens)
@@ -444,33 +466,159 @@ def ngram_jaccard_components(
     )
 
 
+def _packed_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, reps, known, counts, tokens): shingles of many sets in a bucket, as columns of bytes, with 40 bits of each
+    hash. Hashes that only agree in these bits count as one, which keeps sets and takes none away."""
+    for batch in batches:
+        rep, known, cluster = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "known", "cluster"))
+        held = batch.column("tokens")
+        size = np.diff(held.offsets.to_numpy())
+        if not size.sum():
+            continue
+        flat = held.values.to_numpy(zero_copy_only=False)[held.offsets[0].as_py() : held.offsets[-1].as_py()].view(np.uint64)
+        with np.errstate(over="ignore"):
+            h = mix(flat + np.repeat(mix(cluster.astype(np.int64).view(np.uint64)), size))
+        bucket, own = (h % np.uint64(buckets)).astype(np.int64), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(bucket, kind="stable")
+        bucket, own = bucket[order], own[order]
+        low = np.ascontiguousarray((h[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
+            begins = np.flatnonzero(np.diff(own[a:b], prepend=-1))
+            sets = own[a:b][begins]
+            rows.append((int(bucket[a]), rep[sets].tobytes(), known[sets].tobytes(), _narrow(np.diff(begins, append=b - a)), low[a:b].tobytes()))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "reps", "known", "counts", "tokens"])
+    give_back()
+
+
+def _held_elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, held): how many of a set's shingles in a bucket a set of another component has; rows of one bucket follow each other."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        rep, known = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (0, 1))
+        counts = np.concatenate([_widened(r[2]) for r in rows])
+        low = np.zeros((counts.sum(), 8), np.uint8)
+        low[:, :5] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 5)
+        low, label = low.view(np.uint64).ravel(), np.repeat(known, counts)
+        order = np.argsort(low, kind="stable")
+        low, label = low[order], label[order]
+        begins = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        several = np.minimum.reduceat(label, begins) < np.maximum.reduceat(label, begins)
+        shared = np.empty(len(low), bool)
+        shared[order] = np.repeat(several, np.diff(begins, append=len(low)))
+        held = np.add.reduceat(shared, np.cumsum(counts) - counts, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rep[held > 0]), pa.array(held[held > 0])], ["rep", "held"])
+
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "reps", "known", "counts", "tokens"))):
+            if bucket != now:
+                if rows:
+                    yield settle(rows)
+                now, rows = bucket, []
+            rows.append(row)
+    if rows:
+        yield settle(rows)
+    del rows
+    give_back()
+
+
+def _known(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("known"))
+
+
+def _labelled(sets: DataFrame, known: DataFrame) -> DataFrame:
+    return sets.drop("known").join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
+
+
+def _meeting(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``sets``, a settled table that is deleted, with their components, without those that link no two components:
+    too few of their shingles are in sets of other components of their cluster. Sets that go take their shingles along,
+    so this is repeated while it takes off a tenth."""
+
+    def shingles_of(df: DataFrame) -> int:
+        return df.agg(F.sum("n")).first()[0] or 0
+
+    now = materialise(_labelled(sets, known), "sets")
+    forget(sets)
+    size, parts = shingles_of(now), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while size:
+        buckets = max(min(parts, math.ceil(size / BLOCK_TOKENS)), math.ceil(size / BUCKET_TOKENS))
+        packed = now.select("rep", "known", "cluster", "tokens").mapInArrow(
+            lambda it, buckets=buckets: _packed_sets(it, buckets), "bucket int, reps binary, known binary, counts binary, tokens binary"
+        )
+        counted = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_held_elsewhere, "rep long, held long")
+        held = counted.groupBy("rep").agg(F.sum("held").alias("held"))
+        left = materialise(now.join(held, "rep").where(F.col("held") * 100 >= F.col("n") * percent).drop("held"), "sets")
+        forget(now)
+        before, now, size = size, left, shingles_of(left)
+        if size > 0.9 * before:
+            break
+    return now
+
+
 def _cluster_links(dealt: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block_tokens: int) -> DataFrame:
     """Links (a, b) that connect exactly what the sets' similar pairs connect; ``dealt`` has (rep, cluster, blocks, block).
 
-    Of a cluster with N shingles in B blocks, S of them outside its largest component after two searches, the
-    third search reads N + S * B shingles, so it is the strangers in a large cluster that cost.
+    Of a cluster, N shingles in sets that may link components are left after the blocks' own search, S of them outside
+    the largest component. The last search reads about 2 * N for each block's worth of S, and not more at once.
     """
+
+    def added(links: DataFrame, more: DataFrame) -> DataFrame:
+        out = materialise(links.unionByName(more.where("a <> b")), "links")
+        forget(links)
+        return out
+
+    def in_blocks(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+        return sets.join(F.broadcast(sizes), "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+
     keys = ["cluster", "block"]
-    first = materialise(_search(sets_of(dealt), percent, keys), "links")
+    links = materialise(_search(sets_of(dealt), percent, keys), "links")
     if not dealt.where("blocks > 1").limit(1).count():
-        return first
-    large = materialise(sets_of(dealt.where("blocks > 1")), "sets")
-    # the smallest members of what the blocks hold, together
-    hubs = large.join(first.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
-    fits = hubs.groupBy("cluster").agg(F.sum("n").alias("all")).where(F.col("all") <= block_tokens)
-    second = materialise(first.unionByName(_search(hubs.join(fits, "cluster", "left_semi").withColumn("block", F.lit(0)), percent, keys)), "links")
-    found = connected_components(second)
-    known = found.select(F.col("node").alias("rep"), F.col("component").alias("known"))
-    rest = large.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
-    per = rest.groupBy("cluster", "known").agg(F.sum("n").alias("size"))
-    several = per.groupBy("cluster").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = rest.join(several.select("cluster", "main"), "cluster")
-    own = rest.where("known = main")
-    strangers = rest.where("known <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    names = ["cluster", "block", "known", "n", "rep", "tokens"]
-    third = materialise(second.unionByName(_search(own.select(*names).unionByName(strangers.select(*names)), percent, keys)), "links")
-    forget(large, first, second)
-    return third
+        return links
+    large = materialise(sets_of(dealt.where("blocks > 1")).select("cluster", "n", "rep", "tokens"), "sets")
+    rest = _meeting(large, _known(links), percent)
+    # the smallest members of what the blocks hold, together; single sets are strangers anyhow
+    hubs = rest.groupBy("cluster", "known").agg(F.min("rep").alias("rep"), F.count("*").alias("sets")).where("sets > 1")
+    hubs = rest.join(hubs.select("rep"), "rep", "left_semi")
+    sizes = hubs.groupBy("cluster").agg(F.ceil(F.sum("n") / block_tokens).alias("blocks"))
+    links = added(links, _search(in_blocks(hubs, sizes), percent, keys))
+    rest = _meeting(rest, _known(links), percent)
+    several = F.col("sets") > 1
+    plan = rest.groupBy("cluster", "known").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
+    plan = plan.groupBy("cluster").agg(
+        F.sum("size").alias("size"),
+        F.max_by(F.when(several, F.col("known")), F.struct(F.when(several, F.col("size")).otherwise(0), "known")).alias("main"),
+        F.coalesce(F.max(F.when(several, F.col("size"))), F.lit(0)).alias("own"),
+    )
+    plan = materialise(
+        plan.select("cluster", "size", "main", F.ceil(F.col("size") / block_tokens).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("own")) / block_tokens).cast("int").alias("slices")).where("slices > 0"),
+        "plan",
+    )
+    slices, size = plan.agg(F.max("slices"), F.sum("size")).first()
+    step = max(1, PASS_TOKENS // (2 * (size or 1)))
+    names = ["cluster", "slice", "block", "known", "n", "rep", "tokens"]
+    for begin in range(0, slices or 0, step):
+        now, mains = rest, plan
+        if begin:
+            known = _known(links)
+            now = _labelled(rest, known)
+            renamed = known.select(F.col("rep").alias("main"), F.col("known").alias("new"))
+            mains = plan.join(renamed, "main", "left").withColumn("main", F.coalesce("new", "main")).drop("new")
+        end = F.least(F.lit(begin + step), F.col("slices")) - 1
+        now = in_blocks(now, mains.where(F.col("slices") > begin)).withColumn("own", F.expr("cast(block * slices div blocks as int)"))
+        in_main = F.col("known").eqNullSafe(F.col("main"))
+        # strangers of a slice meet each other, those of the slices after theirs, and the largest component
+        met = now.withColumn("slice", F.explode(F.sequence(F.lit(begin), end))).where(in_main | (F.col("own") > F.col("slice")))
+        first = F.when(F.col("main").isNull(), F.ceil(F.col("own") * F.col("blocks") / F.col("slices")).cast("int")).otherwise(0)
+        strangers = now.where(~in_main & F.col("own").between(F.lit(begin), end)).withColumn("slice", F.col("own"))
+        strangers = strangers.withColumn("block", F.explode(F.sequence(first, F.col("blocks") - 1)))
+        links = added(links, _search(met.select(*names).unionByName(strangers.select(*names)), percent, names[:3]))
+    forget(rest, plan)
+    return links
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", **settings: object) -> DataFrame:

@@ -151,6 +151,73 @@ def test_strangers_in_a_dealt_cluster_find_their_likes(spark):
     assert got == components(rows, 3, 80)
 
 
+def searches(monkeypatch):
+    """The shingles that each search reads from now on."""
+    read, search = [], N._search
+
+    def counted(sets, percent, keys):
+        read.append(sum(r.n for r in sets.select("n").collect()))
+        return search(sets, percent, keys)
+
+    monkeypatch.setattr(N, "_search", counted)
+    return read
+
+
+def test_strangers_of_a_cluster_are_not_searched_in_all_its_blocks(spark, monkeypatch):
+    """Texts that share 60 of 100 words, two of them near copies, in one cluster of 30 blocks and more."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"own{max(i, 1)}-{j}" for j in range(40)])) for i in range(200)]
+    rows[0] = (0, rows[0][1] + " end")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    read = searches(monkeypatch)
+    got = {r[0]: (r[1], r[2]) for r in N.ngram_jaccard_components(docs, k=3, percent=80, block_tokens=600).collect()}
+    assert got == components(rows, 3, 80)
+    assert read[0] > 30 * 600 and sum(read) < 4 * read[0]
+
+
+def test_passes_of_the_last_search_are_bounded(spark, monkeypatch):
+    """Variants of one text that share most shingles with some others, so that all have to be searched."""
+    rng = random.Random(7)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(70):
+        w = list(base)
+        for p in rng.sample(range(100), rng.randint(0, 6)):
+            w[p] = f"{rng.choice('ab')}{p // 10}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = components(rows, 3, 90)
+    assert 10 < len({c for _, c in want.values()}) < 60
+    monkeypatch.setattr(N, "PASS_TOKENS", 1, raising=False)
+    read = searches(monkeypatch)
+    got = {r[0]: (r[1], r[2]) for r in N.ngram_jaccard_components(docs, k=3, percent=90, block_tokens=900).collect()}
+    assert got == want
+    assert len(read) > 4 and max(read) < 3 * read[0]
+    passes = len(read)
+    monkeypatch.setattr(N, "PASS_TOKENS", 4 * read[0], raising=False)
+    assert {r[0]: (r[1], r[2]) for r in N.ngram_jaccard_components(docs, k=3, percent=90, block_tokens=900).collect()} == want
+    assert 2 < len(read) - passes < passes
+
+
+def test_shingles_of_other_components_equal_plain_counting():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 2**63, 400).view(np.int64)
+    sets = [np.sort(rng.choice(pool, rng.integers(0, 30), replace=False)) for _ in range(120)]
+    known, cluster = rng.integers(-40, 40, 120), rng.integers(0, 2, 120)
+    of = {}
+    for x, c, g in zip(sets, known.tolist(), cluster.tolist()):
+        for t in x.tolist():
+            of.setdefault((g, t), set()).add(c)
+    held = [sum(len(of[g, t]) > 1 for t in x.tolist()) for x, g in zip(sets, cluster.tolist())]
+    columns = [pa.array(np.arange(120) * 2**33 - 7), pa.array(known), pa.array(cluster), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["rep", "known", "cluster", "tokens"])
+    for buckets in (1, 9):
+        packed = pa.Table.from_batches(N._packed_sets(iter([batch.slice(0, 50), batch.slice(50)]), buckets)).sort_by("bucket")
+        got = Counter()
+        for b in N._held_elsewhere(packed.to_batches(max_chunksize=3)):
+            got.update(dict(zip(*(b.column(c).to_pylist() for c in ("rep", "held")))))
+        assert got == {i * 2**33 - 7: n for i, n in enumerate(held) if n}
+
+
 def test_ids_that_are_no_numbers_raise(spark):
     with pytest.raises(TypeError):
         N.ngram_jaccard_components(spark.createDataFrame([("a", "x y z")], "doc_id string, text string"))
